@@ -22,7 +22,7 @@ def etag(
     if not single_part:
         parts = F.ceil(F.octet_length(data) / F.lit(part_bytes)).cast("int")
         digests = F.transform(
-            F.sequence(F.lit(0), parts - 1),
+            F.slice(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0))), F.lit(1), parts),
             lambda i: F.unhex(F.md5(F.substring(data, i * part_bytes + 1, F.lit(part_bytes)))),
         )
         joined = F.aggregate(digests, F.unhex(F.lit("")), lambda total, one: F.concat(total, one))

@@ -1,0 +1,5 @@
+"""No streaming operator exists in this library.
+
+The nearest thing is the batch incremental load by high-water mark,
+``operators.catalog.mirror_increment``.
+"""

@@ -65,7 +65,7 @@ def tags_to_text(tags: Column | str) -> Column:
 
 def text_to_tags(text: Column | str) -> Column:
     """Comma text to trimmed tags."""
-    return F.transform(F.split(_col(text), ","), F.trim)
+    return F.transform(F.split(_col(text), ","), lambda tag: F.trim(tag))
 
 
 def matches_any(path: Column | str, patterns: Sequence[str]) -> Column:

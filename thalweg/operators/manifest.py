@@ -1,8 +1,8 @@
 """Flatten, check and compare project manifests.
 
-Inputs have ``project_id`` and ``project`` (see ``sources.manifests``), and the
-manifest text in ``xml`` where a check needs it.  Each operator walks a
-document within its row, so manifests are parsed once and nothing is shuffled.
+Inputs have ``project_id`` and the manifest text in ``xml`` (see
+``sources.manifests``).  Each operator parses the part of the schema that it
+needs, once, and walks the document within its row; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -17,8 +17,11 @@ from ..sources.manifests import (
     ANALYSIS_CONTAINERS,
     DATASET_TAGS,
     LAYER_TAGS,
+    META_ITEM,
     REALIZATION_CONTAINERS,
     REFERENCE_TAG,
+    layers_type,
+    parse_project_xml,
 )
 
 # Domains and patterns of the manifest schema.
@@ -47,8 +50,22 @@ VERSION_PATTERN = r"^[0-9]+\.[0-9]+\.[0-9]+[a-z-]*$"
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:?\d{2}(:?\d{2})?)?)?$"
 
 
-def _none() -> Column:
-    return F.lit(None).cast("string")
+def _none(kind: str = "string") -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _parsed(manifests: DataFrame, **parts: bool) -> DataFrame:
+    wanted = dict.fromkeys(("datasets", "layers", "meta", "bounds", "events"), False) | parts
+    return parse_project_xml(manifests.select("project_id", "xml"), **wanted)
+
+
+def _rows(df: DataFrame, entries: Column, marker: str) -> DataFrame:
+    """One row per struct of an array; ``marker`` is a field that is never null.
+
+    The outer form is deliberate: for the inner one the optimizer adds a
+    filter on the array's size, which computes the whole array a second time.
+    """
+    return df.select("project_id", F.inline_outer(entries)).where(F.col(marker).isNotNull())
 
 
 def _clean(text: Column) -> Column:
@@ -109,29 +126,40 @@ def _places() -> Column:
     )
 
 
-def dataset_entries() -> Column:
+def dataset_entries(layers: bool, meta: bool) -> Column:
     """Every dataset of a document, its position counted within its tag and container."""
 
     def entry(place: Column, tag: str) -> Callable[[Column, Column], Column]:
-        return lambda d, i: F.struct(
-            place["container"].alias("container"),
-            place["realization_id"].alias("realization_id"),
-            place["analysis_id"].alias("analysis_id"),
-            F.lit(tag).alias("tag"),
-            i.alias("position"),
-            _clean(d["_id"]).alias("dataset_id"),
-            _clean(d["Name"]).alias("name"),
-            _clean(d["Path"]).alias("path"),
-            _clean(d["_type"]).alias("type_attr"),
-            _clean(d["_extRef"]).alias("ext_ref"),
-            _clean(d["URL"]).alias("url"),
-            d["_ref"].alias("ref"),
-            _clean(d["Summary"]).alias("summary"),
-            _clean(d["Description"]).alias("description"),
-            _clean(d["Citation"]).alias("citation"),
-            d["MetaData"]["Meta"].alias("meta"),
-            d["Layers"].alias("layers"),
-        )
+        is_ref = tag == REFERENCE_TAG
+        own = lambda d, field: _none() if is_ref else _clean(d[field])
+
+        def build(d: Column, i: Column) -> Column:
+            fields = [
+                place["container"].alias("container"),
+                place["realization_id"].alias("realization_id"),
+                place["analysis_id"].alias("analysis_id"),
+                F.lit(tag).alias("tag"),
+                i.alias("position"),
+                own(d, "_id").alias("dataset_id"),
+                own(d, "Name").alias("name"),
+                own(d, "Path").alias("path"),
+                own(d, "_type").alias("type_attr"),
+                own(d, "_extRef").alias("ext_ref"),
+                own(d, "URL").alias("url"),
+                (d["_ref"] if is_ref else _none()).alias("ref"),
+                own(d, "Summary").alias("summary"),
+                own(d, "Description").alias("description"),
+                own(d, "Citation").alias("citation"),
+            ]
+            if meta:
+                items = _none(f"array<{META_ITEM}>") if is_ref else d["MetaData"]["Meta"]
+                fields.append(items.alias("meta"))
+            if layers:
+                inner = d["Layers"] if tag == "Geopackage" else _none(layers_type(meta))
+                fields.append(inner.alias("layers"))
+            return F.struct(*fields)
+
+        return build
 
     return F.flatten(
         F.transform(
@@ -152,21 +180,19 @@ def _dataset_place(d: Column) -> Column:
     return _slash(d["realization_id"], d["analysis_id"], d["container"], d["tag"], d["position"])
 
 
-def _with_datasets(manifests: DataFrame) -> DataFrame:
-    return manifests.withColumn("datasets", dataset_entries())
+def _with_datasets(manifests: DataFrame, layers: bool = False, meta: bool = False, **parts: bool) -> DataFrame:
+    parsed = _parsed(manifests, datasets=True, layers=layers, meta=meta, **parts)
+    return parsed.withColumn("datasets", dataset_entries(layers, meta))
 
 
 def xml_datasets(manifests: DataFrame) -> DataFrame:
     """One row per dataset or dataset reference in any container."""
-    return (
-        _with_datasets(manifests)
-        .select("project_id", F.inline("datasets"))
-        .drop("meta", "layers")
-    )
+    return _rows(_with_datasets(manifests), F.col("datasets"), "tag")
 
 
-def _layer_entries() -> Column:
+def _layer_entries(meta: bool) -> Column:
     def layer(d: Column, tag: str) -> Callable[[Column, Column], Column]:
+        items = lambda y: [y["MetaData"]["Meta"].alias("meta")] if meta else []
         return lambda y, i: F.struct(
             d["dataset_id"].alias("dataset_id"),
             d["path"].alias("path"),
@@ -179,7 +205,7 @@ def _layer_entries() -> Column:
             _clean(y["Summary"]).alias("summary"),
             _clean(y["Description"]).alias("description"),
             _clean(y["Citation"]).alias("citation"),
-            y["MetaData"]["Meta"].alias("meta"),
+            *items(y),
             _slash(_dataset_place(d), F.lit(tag), i).alias("place"),
         )
 
@@ -193,7 +219,8 @@ def _layer_entries() -> Column:
 
 def xml_layers(manifests: DataFrame) -> DataFrame:
     """One row per geopackage layer."""
-    return _with_datasets(manifests).select("project_id", F.inline(_layer_entries())).drop("meta", "place")
+    found = _with_datasets(manifests, layers=True)
+    return _rows(found, _layer_entries(meta=False), "layer_type").drop("place")
 
 
 def _meta_entries(level: str, owner: Column, items: Column, place: Column | None = None) -> Column:
@@ -232,10 +259,10 @@ def _all_metadata() -> Column:
     )
 
 
-def _with_all(manifests: DataFrame) -> DataFrame:
+def _with_all(manifests: DataFrame, bounds: bool = False) -> DataFrame:
     return (
-        _with_datasets(manifests)
-        .withColumn("layers", _layer_entries())
+        _with_datasets(manifests, layers=True, meta=True, events=True, bounds=bounds)
+        .withColumn("layers", _layer_entries(meta=True))
         .withColumn("metadata", _all_metadata())
     )
 
@@ -245,27 +272,35 @@ def xml_metadata(manifests: DataFrame) -> DataFrame:
 
     Analysis metrics have the level ``metric``.
     """
-    return _with_all(manifests).select("project_id", F.inline("metadata")).drop("place")
+    return _rows(_with_all(manifests), F.col("metadata"), "level").drop("place")
 
 
 def xml_bounds(manifests: DataFrame) -> DataFrame:
     """Centroid and bounding box of each project that states them, by element name."""
-    b = "project.ProjectBounds"
-    return manifests.where(F.col(b).isNotNull()).select(
-        "project_id",
-        F.col(f"{b}.Centroid.Lng").alias("centroid_lng"),
-        F.col(f"{b}.Centroid.Lat").alias("centroid_lat"),
-        F.col(f"{b}.BoundingBox.MinLng").alias("min_lng"),
-        F.col(f"{b}.BoundingBox.MinLat").alias("min_lat"),
-        F.col(f"{b}.BoundingBox.MaxLng").alias("max_lng"),
-        F.col(f"{b}.BoundingBox.MaxLat").alias("max_lat"),
-        F.trim(f"{b}.Path").alias("path"),
+    stated = F.explode_outer(F.array(F.col("project.ProjectBounds"))).alias("b")
+    return (
+        _parsed(manifests, bounds=True)
+        .select("project_id", stated)
+        .where("b IS NOT NULL")
+        .select(
+            "project_id",
+            F.col("b.Centroid.Lng").alias("centroid_lng"),
+            F.col("b.Centroid.Lat").alias("centroid_lat"),
+            F.col("b.BoundingBox.MinLng").alias("min_lng"),
+            F.col("b.BoundingBox.MinLat").alias("min_lat"),
+            F.col("b.BoundingBox.MaxLng").alias("max_lng"),
+            F.col("b.BoundingBox.MaxLat").alias("max_lat"),
+            F.trim("b.Path").alias("path"),
+        )
     )
 
 
 def xml_qaqc(manifests: DataFrame) -> DataFrame:
     """One row per QA event with its links, and whether its state is a known one."""
-    return manifests.select("project_id", F.inline("project.QAQCEvents.QAQCEvent")).select(
+    events = _parsed(manifests, events=True).select(
+        "project_id", F.explode_outer("project.QAQCEvents.QAQCEvent").alias("event")
+    )
+    return events.where("event IS NOT NULL").select("project_id", "event.*").select(
         "project_id",
         _clean(F.col("Name")).alias("name"),
         F.col("_datePerformed").alias("date_performed"),
@@ -294,17 +329,25 @@ def xml_resolve_refs(manifests: DataFrame) -> DataFrame:
                 "datasets",
                 lambda d: (d["container"] == "CommonDatasets") & (d["tag"] != REFERENCE_TAG) & d["dataset_id"].isNotNull(),
             ),
-            lambda d: F.struct(d["dataset_id"].alias("key"), F.struct(d["name"], d["path"], d["tag"]).alias("value")),
+            lambda d: F.struct(
+                d["dataset_id"].alias("key"),
+                F.struct(d["name"].alias("name"), d["path"].alias("path"), d["tag"].alias("tag")).alias("value"),
+            ),
         ),
         keep="first",
     )
     refs = F.filter("datasets", lambda d: d["tag"] == REFERENCE_TAG)
-    listed = _with_datasets(manifests).select("project_id", targets.alias("targets"), F.explode(refs).alias("r"))
+    listed = (
+        _with_datasets(manifests)
+        .select("project_id", targets.alias("targets"), refs.alias("refs"))
+        .select("project_id", "targets", F.explode_outer("refs").alias("r"))
+        .where("r IS NOT NULL")
+    )
     found = F.try_element_at("targets", F.col("r.ref"))
-    return listed.select(
+    return listed.withColumn("found", found).select(
         "project_id", "r.container", "r.realization_id", "r.analysis_id", "r.position", "r.ref",
-        found["name"].alias("name"), found["path"].alias("path"), found["tag"].alias("tag"),
-        found.isNull().alias("unresolved"),
+        F.col("found.name").alias("name"), F.col("found.path").alias("path"), F.col("found.tag").alias("tag"),
+        F.col("found").isNull().alias("unresolved"),
     )
 
 
@@ -334,10 +377,7 @@ def _repeated_meta(where: Column, items: Column) -> Column:
 
 
 def xml_audit(manifests: DataFrame) -> DataFrame:
-    """Rule violations of each manifest: ``project_id, severity, rule, location``.
-
-    A layer of an unknown type is only seen where the text is in ``xml``.
-    """
+    """Rule violations of each manifest: ``project_id, severity, rule, location``."""
     p, error = "project", "error"
     name = lambda x, key="Name": _clean(x[key])
     common_ids = F.transform(
@@ -426,13 +466,12 @@ def xml_audit(manifests: DataFrame) -> DataFrame:
     )
     groups = [project_rules, realization_rules, analysis_rules, dataset_rules, ref_rules, layer_rules, meta_rules,
               repeated, event_rules]
-    if "xml" in manifests.columns:
-        others = " or ".join(f"self::{tag}" for tag in LAYER_TAGS)
-        odd = F.xpath("xml", F.lit(f"//Geopackage/Layers/*[not({others})]/@lyrName"))
-        groups.append(_findings(odd, lambda layer: [_finding(error, "layer type invalid", layer, F.lit(True))]))
-    return _with_all(manifests).select(
-        "project_id", F.inline(F.filter(_concat(*groups), lambda f: f.isNotNull()))
-    )
+    # Layers of an unknown type have no place in the schema; they are found in the text.
+    others = " or ".join(f"self::{tag}" for tag in LAYER_TAGS)
+    odd = F.xpath("xml", F.lit(f"//Geopackage/Layers/*[not({others})]/@lyrName"))
+    groups.append(_findings(odd, lambda layer: [_finding(error, "layer type invalid", layer, F.lit(True))]))
+    found = F.filter(_concat(*groups), lambda f: f.isNotNull())
+    return _rows(_with_all(manifests, bounds=True), found, "rule")
 
 
 def manifest_parts(manifests: DataFrame) -> DataFrame:
@@ -486,9 +525,8 @@ def manifest_parts(manifests: DataFrame) -> DataFrame:
             text(name=m["name"], value=m["value"], type=m["type"], ext=m["ext"], locked=m["locked"]),
         ),
     )
-    return _with_all(manifests).select(
-        "project_id", F.inline(_concat(own, realizations, analyses, datasets, layers, metadata))
-    )
+    parts = _concat(own, realizations, analyses, datasets, layers, metadata)
+    return _rows(_with_all(manifests), parts, "kind")
 
 
 def manifest_diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ from pyspark.sql.types import (
     StructType,
 )
 
+from ..functions.wkb import strip_gp_header
+
 SPLIT_BYTES = 128 * 1024 * 1024
 
 
@@ -100,8 +102,6 @@ class _LayerReader(DataSourceReader):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        from thalweg.functions.wkb import strip_gp_header
-
         arrow = to_arrow_schema(self.schema)
         table = _quoted(self.layer)
         with _opened(piece.path) as connection:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 # The dataset tags of the manifest schema, and the reference tag.
 DATASET_TAGS = (
@@ -42,81 +43,87 @@ def _texts(*names: str) -> dict[str, str]:
     return dict.fromkeys(names, "STRING")
 
 
-_COMMON = _texts("Name", "Summary", "Description", "Citation")
+_HEADS = _texts("Name", "Summary", "Description", "Citation")
 META_ITEM = _struct(_texts("_VALUE", "_name", "_type", "_ext", "_locked"))
 _META = {"MetaData": _struct({"Meta": f"ARRAY<{META_ITEM}>"})}
-LAYER = _struct({**_texts("_lyrName", "_type", "_extRef"), **_COMMON, **_META})
-DATASET = _struct(
-    {
-        **_texts("_id", "_type", "_extRef", "_ref", "Path", "URL"),
-        **_COMMON,
-        **_META,
-        "Layers": _struct({tag: f"ARRAY<{LAYER}>" for tag in LAYER_TAGS}),
-    }
-)
-# One array per tag: a lone child and many children then parse alike.
-CONTAINER = _struct({tag: f"ARRAY<{DATASET}>" for tag in (*DATASET_TAGS, REFERENCE_TAG)})
-ANALYSIS = _struct(
-    {
-        **_texts("_id"),
-        **_COMMON,
-        **_META,
-        "Metrics": _struct({"Metric": f"ARRAY<{META_ITEM}>"}),
-        "Configuration": CONTAINER,
-        "Products": CONTAINER,
-    }
-)
 REALIZATION_CONTAINERS = ("Logs", "Datasets", "Inputs", "Intermediates", "Outputs")
 ANALYSIS_CONTAINERS = ("Configuration", "Products")
-REALIZATION = _struct(
-    {
+
+
+def layers_type(meta: bool) -> str:
+    layer = _struct({**_texts("_lyrName", "_type", "_extRef"), **_HEADS, **(_META if meta else {})})
+    return _struct({tag: f"ARRAY<{layer}>" for tag in LAYER_TAGS})
+
+
+def _doubles(*names: str) -> str:
+    return _struct(dict.fromkeys(names, "DOUBLE"))
+
+
+def project_schema(
+    datasets: bool = True, layers: bool = True, meta: bool = True, bounds: bool = True, events: bool = True
+) -> DataType:
+    """Type of a manifest, or of the parts of it that a caller needs.
+
+    The parser's cost grows with the schema, so each operator asks for its own
+    part; nothing prunes this for it.  Every dataset tag is an array: a lone
+    child and many children then parse alike.
+    """
+    extra = _META if meta else {}
+    own = {**_HEADS, **extra}
+    dataset = {**_texts("_id", "_type", "_extRef", "Path", "URL"), **own}
+
+    def container() -> str:
+        tags = {tag: f"ARRAY<{_struct(dataset)}>" for tag in DATASET_TAGS}
+        if layers:
+            tags["Geopackage"] = f"ARRAY<{_struct({**dataset, 'Layers': layers_type(meta)})}>"
+        tags[REFERENCE_TAG] = f"ARRAY<{_struct(_texts('_ref'))}>"
+        return _struct(tags)
+
+    def containers(names: tuple[str, ...]) -> dict[str, str]:
+        return dict.fromkeys(names, container()) if datasets else {}
+
+    analysis = {**_texts("_id"), **own, **containers(ANALYSIS_CONTAINERS)}
+    if meta:
+        analysis["Metrics"] = _struct({"Metric": f"ARRAY<{META_ITEM}>"})
+    realization = {
         **_texts("_id", "_dateCreated", "_productVersion"),
-        **_COMMON,
-        **_META,
-        **dict.fromkeys(REALIZATION_CONTAINERS, CONTAINER),
-        "Analyses": _struct({"Analysis": f"ARRAY<{ANALYSIS}>"}),
-    }
-)
-EVENT = _struct(
-    {
-        **_texts("_datePerformed", "_state", "PerformedBy"),
-        **_COMMON,
-        **_META,
-        "Links": _struct({"URL": f"ARRAY<{_struct(_texts('_VALUE', '_text'))}>"}),
+        **own,
+        **containers(REALIZATION_CONTAINERS),
+        "Analyses": _struct({"Analysis": f"ARRAY<{_struct(analysis)}>"}),
     }
-)
-_DOUBLES = lambda *names: _struct(dict.fromkeys(names, "DOUBLE"))
-PROJECT = _struct(
-    {
-        **_COMMON,
-        **_META,
+    project = {
+        **own,
         "ProjectType": "STRING",
         "Warehouse": _struct(_texts("_id", "_apiUrl")),
-        "ProjectBounds": _struct(
+        **containers(("CommonDatasets",)),
+        "Realizations": _struct({"Realization": f"ARRAY<{_struct(realization)}>"}),
+    }
+    if bounds:
+        project["ProjectBounds"] = _struct(
             {
-                "Centroid": _DOUBLES("Lat", "Lng"),
-                "BoundingBox": _DOUBLES("MinLat", "MinLng", "MaxLat", "MaxLng"),
+                "Centroid": _doubles("Lat", "Lng"),
+                "BoundingBox": _doubles("MinLat", "MinLng", "MaxLat", "MaxLng"),
                 "Path": "STRING",
             }
-        ),
-        "CommonDatasets": CONTAINER,
-        "Realizations": _struct({"Realization": f"ARRAY<{REALIZATION}>"}),
-        "QAQCEvents": _struct({"QAQCEvent": f"ARRAY<{EVENT}>"}),
-    }
-)
+        )
+    if events:
+        links = _struct({"URL": f"ARRAY<{_struct(_texts('_VALUE', '_text'))}>"})
+        event = {**_texts("_datePerformed", "_state", "PerformedBy"), **own, "Links": links}
+        project["QAQCEvents"] = _struct({"QAQCEvent": f"ARRAY<{_struct(event)}>"})
+    return DataType.fromDDL(_struct(project))
 
 
-def parse_project_xml(df: DataFrame, column: Column | str = "xml") -> DataFrame:
-    """Add ``project``, the typed content of a column of manifest text."""
+def parse_project_xml(df: DataFrame, column: Column | str = "xml", **parts: bool) -> DataFrame:
+    """Add ``project``, the typed content of a column of manifest text (see ``project_schema``)."""
     text = F.col(column) if isinstance(column, str) else column
-    schema = PROJECT.removeprefix("STRUCT<").removesuffix(">")
-    return df.withColumn("project", F.from_xml(text, schema, {"mode": "PERMISSIVE"}))
+    return df.withColumn("project", F.from_xml(text, project_schema(**parts), {"mode": "PERMISSIVE"}))
 
 
 def read_project_xml(spark: SparkSession, path: str, pattern: str = "*.rs.xml") -> DataFrame:
     """Manifests under a folder, one row per file: ``project_id, xml, project``.
 
-    The file's path identifies the project.
+    The file's path identifies the project.  The typed ``project`` is computed
+    only where it is used; the manifest operators parse what they need from ``xml``.
     """
     files = (
         spark.read.option("wholetext", "true")

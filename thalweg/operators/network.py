@@ -14,12 +14,40 @@ from ..session import stored
 MAX_KM = 999.0
 
 
+def _with_way(known: DataFrame, ways: DataFrame, max_km: float) -> DataFrame:
+    """Known reaches, and those one way further upstream.
+
+    Staying is an element of the list of ways at each reach, so ``known`` is
+    read once and the plan stays linear over the rounds.
+    """
+    k, w = known.alias("k"), ways.alias("w")
+    joined = k.join(w, F.col("k.comid") == F.col("w.tocomid"), "left").select(
+        "k.start",
+        F.inline(
+            F.array(
+                F.struct(F.col("k.comid").alias("comid"), F.col("k.distance_km").alias("distance_km")),
+                F.struct(
+                    F.col("w.comid").alias("comid"), (F.col("k.distance_km") + F.col("w.km")).alias("distance_km")
+                ),
+            )
+        ),
+    )
+    return (
+        joined.where((F.col("distance_km") <= max_km) & F.col("comid").isNotNull())
+        .groupBy("start", "comid")
+        .agg(F.min("distance_km").alias("distance_km"))
+    )
+
+
 def upstream_many(edges: DataFrame, starts: DataFrame, max_km: float = MAX_KM) -> DataFrame:
     """All reaches that drain to each start within ``max_km``: ``start, comid, distance_km``.
 
-    Doubles the known path length each round: after round k every way of fewer
-    than 2^k steps is known, so a river of ten thousand reaches takes fourteen
-    rounds instead of ten thousand.  Parallel channels keep the shortest way.
+    Ways of 1, 2, 4, ... steps are each built from two halves and stored, until
+    none is left; every number of steps is a sum of these, so a river of ten
+    thousand reaches takes fourteen rounds instead of ten thousand.  Parallel
+    channels keep the shortest way.  Lengths are not negative, so the shortest
+    way never repeats a reach and has fewer steps than there are edges: that
+    ends the search in data that runs in circles.
     """
     jumps = stored(
         edges.where("comid IS NOT NULL AND tocomid IS NOT NULL")
@@ -28,26 +56,12 @@ def upstream_many(edges: DataFrame, starts: DataFrame, max_km: float = MAX_KM) -
         .where(F.col("km") <= max_km),
         "jumps",
     )
-    known = starts.select(F.col("comid").alias("start")).where("start IS NOT NULL").distinct()
-    known = stored(known.select("start", F.col("start").alias("comid"), F.lit(0.0).alias("distance_km")), "known")
-    size = (known.count(), 0)
-    while True:
-        j, k = jumps.alias("j"), known.alias("k")
-        reached = j.join(k, F.col("j.tocomid") == F.col("k.comid")).select(
-            F.col("k.start"), F.col("j.comid"), (F.col("j.km") + F.col("k.distance_km")).alias("distance_km")
-        )
-        known = stored(
-            known.unionByName(reached.where(F.col("distance_km") <= max_km))
-            .groupBy("start", "comid")
-            .agg(F.min("distance_km").alias("distance_km")),
-            "known",
-        )
-        # Decimal sums do not depend on the order of rows, so equal means unchanged.
-        total = F.coalesce(F.sum(F.col("distance_km").cast("decimal(28,9)")), F.lit(0))
-        found = tuple(known.agg(F.count(F.lit(1)), total).first())
-        if found == size:
-            return known
-        size = found
+    longest = jumps.count()
+    begin = starts.select(F.col("comid").alias("start")).where("start IS NOT NULL").distinct()
+    known = begin.select("start", F.col("start").alias("comid"), F.lit(0.0).alias("distance_km"))
+    steps = 1
+    while steps <= longest and not jumps.isEmpty():
+        known = _with_way(known, jumps, max_km)
         a, b = jumps.alias("a"), jumps.alias("b")
         jumps = stored(
             a.join(b, F.col("a.tocomid") == F.col("b.comid"))
@@ -57,11 +71,14 @@ def upstream_many(edges: DataFrame, starts: DataFrame, max_km: float = MAX_KM) -
             .agg(F.min("km").alias("km")),
             "jumps",
         )
+        steps *= 2
+    return known
 
 
 def upstream(edges: DataFrame, start: int, max_km: float = MAX_KM) -> DataFrame:
     """The start and all reaches that drain to it within ``max_km``: ``comid, distance_km``."""
-    starts = edges.sparkSession.range(1).select(F.lit(start).cast("bigint").alias("comid"))
+    # A range keeps the start a column: as a literal it would turn the first join into a filter and a broadcast.
+    starts = edges.sparkSession.range(start, start + 1).select(F.col("id").alias("comid"))
     return upstream_many(edges, starts, max_km).select("comid", "distance_km")
 
 

@@ -54,46 +54,50 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(low / size).cast("bigint"), F.floor(high / size).cast("bigint")))
 
 
-def _inside_intervals(start: np.ndarray, end: np.ndarray, rings: list[np.ndarray]) -> list[tuple[float, float]]:
-    """Stretches of a segment that lie in a polygon, as fractions of its length."""
-    step = end - start
-    cuts = [0.0, 1.0]
-    for ring in rings:
-        a, edge = ring[:-1], np.diff(ring, axis=0)
-        cross = step[0] * edge[:, 1] - step[1] * edge[:, 0]
-        offset = a - start
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (offset[:, 0] * edge[:, 1] - offset[:, 1] * edge[:, 0]) / cross
-            u = (offset[:, 0] * step[1] - offset[:, 1] * step[0]) / cross
-        hit = (cross != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)
-        cuts += t[hit].tolist()
-        # An edge along the segment has no crossing: its ends cut instead.
-        length = float(step @ step)
-        along = (cross == 0) & (np.abs(step[0] * offset[:, 1] - step[1] * offset[:, 0]) <= 1e-12 * max(length, 1e-300))
-        if length > 0 and along.any():
-            ends = np.concatenate([a[along], a[along] + edge[along]])
-            cuts += [v for v in ((ends - start) @ step / length).tolist() if 0 < v < 1]
-    order = sorted(set(cuts))
-    found: list[tuple[float, float]] = []
-    for t0, t1 in zip(order, order[1:]):
-        middle = start + step * ((t0 + t1) / 2)
-        inside = edge_of = False
-        for ring in rings:
-            x1, y1, x2, y2 = ring[:-1, 0], ring[:-1, 1], ring[1:, 0], ring[1:, 1]
-            spans = (y1 > middle[1]) != (y2 > middle[1])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                crossing = x1 + (middle[1] - y1) * (x2 - x1) / (y2 - y1)
-            inside ^= bool(np.count_nonzero(spans & (middle[0] < crossing)) % 2)
-            area = (x2 - x1) * (middle[1] - y1) - (y2 - y1) * (middle[0] - x1)
-            within = (np.minimum(x1, x2) <= middle[0]) & (middle[0] <= np.maximum(x1, x2)) & (
-                np.minimum(y1, y2) <= middle[1]) & (middle[1] <= np.maximum(y1, y2))
-            edge_of |= bool((within & (np.abs(area) <= 1e-12)).any())
-        if inside or edge_of:
-            if found and found[-1][1] == t0:
-                found[-1] = (found[-1][0], t1)
-            else:
-                found.append((t0, t1))
-    return found
+def _inside_spans(segments: np.ndarray, rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of segments that lie in a polygon: segment index, and two fractions of its length.
+
+    Each segment is cut at its crossings with the polygon's edges, and at the
+    ends of edges that run along it; a stretch belongs to the polygon if its
+    middle does.
+    """
+    start, step = segments[:, :2], segments[:, 2:] - segments[:, :2]
+    a = np.concatenate([ring[:-1] for ring in rings])
+    edge = np.concatenate([np.diff(ring, axis=0) for ring in rings])
+    sx, sy, ex, ey = step[:, :1], step[:, 1:], edge[:, 0], edge[:, 1]
+    ox, oy = a[:, 0] - start[:, :1], a[:, 1] - start[:, 1:]
+    cross = sx * ey - sy * ex
+    square = np.maximum((step**2).sum(axis=1, keepdims=True), 1e-300)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = (ox * ey - oy * ex) / cross, (ox * sy - oy * sx) / cross
+    hit = (cross != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)
+    along = (cross == 0) & (np.abs(sx * oy - sy * ox) <= 1e-12 * square)
+    ends = [(ox * sx + oy * sy) / square, ((ox + ex) * sx + (oy + ey) * sy) / square]
+    cuts = np.concatenate(
+        [
+            np.zeros_like(sx),
+            np.ones_like(sx),
+            np.where(hit, t, np.nan),
+            *[np.where(along & (v > 0) & (v < 1), v, np.nan) for v in ends],
+        ],
+        axis=1,
+    )
+    cuts.sort(axis=1)
+    cuts = cuts[:, : int(np.isfinite(cuts).sum(axis=1).max())]
+    t0, t1 = cuts[:, :-1], cuts[:, 1:]
+    middle = (t0 + t1) / 2
+    mx, my = (start[:, :1] + sx * middle)[:, :, None], (start[:, 1:] + sy * middle)[:, :, None]
+    x1, y1 = a[:, 0], a[:, 1]
+    x2, y2 = x1 + ex, y1 + ey
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left_of = mx < x1 + (my - y1) * ex / ey
+    odd = (((y1 > my) != (y2 > my)) & left_of).sum(axis=2) % 2 == 1
+    beside = (
+        (np.minimum(x1, x2) <= mx) & (mx <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= my)
+        & (my <= np.maximum(y1, y2)) & (np.abs(ex * (my - y1) - ey * (mx - x1)) <= 1e-12)
+    ).any(axis=2)
+    index, piece = np.nonzero((odd | beside) & (t1 > t0))
+    return index, t0[index, piece], t1[index, piece]
 
 
 def clip_flowlines(
@@ -147,22 +151,21 @@ def clip_flowlines(
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        corners, keys = ["x1", "y1", "x2", "y2"], ["g", "comid", "part", "seq", "x1", "y1", "x2", "y2"]
         for batch in batches:
-            rows = []
-            known: dict[bytes, list] = {}
-            for r in batch.itertuples(index=False):
-                blob = bytes(r.polygon)
-                if blob not in known:
-                    known[blob] = [rings for kind, rings in parts_of(blob) if kind == POLYGON]
-                start, end = np.array([r.x1, r.y1]), np.array([r.x2, r.y2])
-                for rings in known[blob]:
-                    rows += [
-                        (r.g, r.comid, r.part, r.seq, r.x1, r.y1, r.x2, r.y2, t0, t1)
-                        for t0, t1 in _inside_intervals(start, end, rings)
-                    ]
-            yield pd.DataFrame(
-                rows, columns=["g", "comid", "part", "seq", "x1", "y1", "x2", "y2", "t0", "t1"]
-            )
+            found = []
+            for blob, rows in batch.groupby("polygon", sort=False):
+                segments = rows[corners].to_numpy("f8")
+                for kind, rings in parts_of(bytes(blob)):
+                    if kind != POLYGON:
+                        continue
+                    # Few enough segments at a time that the tables of crossings stay small.
+                    few = max(1, 200_000 // sum(len(r) for r in rings) ** 2)
+                    for at in range(0, len(segments), few):
+                        index, t0, t1 = _inside_spans(segments[at : at + few], rings)
+                        found.append(rows.iloc[at + index][keys].assign(t0=t0, t1=t1))
+            if found:
+                yield pd.concat(found)
 
     inside = pairs.mapInPandas(
         cut,

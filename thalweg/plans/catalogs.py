@@ -24,6 +24,7 @@ from ..operators import batch, catalog, filesync, manifest
 from ..session import fresh_folder
 from ..sources.files import file_digests
 from ..sources.manifests import parse_project_xml
+from ..sources.projects import parse_projects
 from ..sources.readings import list_files
 from ..sources.sinks import sql_report, unload
 from .inputs import HUC10, Inputs
@@ -49,7 +50,8 @@ OWNER = "concat('owner', CAST(o_custkey % 9 AS STRING))"
     ),
 )
 def catalog_projects(spark, folder):
-    return Inputs(spark, folder).catalog.select(
+    documents = parse_projects(Inputs(spark, folder).documents_json, "json")
+    return documents.select(
         "id", "name", "archived", "totalSize", F.col("projectType.id").alias("project_type"),
         F.col("ownedBy.name").alias("owner"), F.col("bounds.area").alias("area"), F.col("bounds.id").alias("bounds_id"),
         ts_to_epoch_ms("createdOn").alias("created_on"), F.size("meta").alias("meta_items"),

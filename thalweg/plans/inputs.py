@@ -1,7 +1,8 @@
 """Inputs of the registered queries, derived from the shared test tables.
 
 ``VIEWS`` holds SQL that Spark and the checking engine both understand;
-``{...}`` marks the few expressions that they spell differently.
+``{...}`` marks the few expressions that they spell differently.  Temperatures
+are multiples of an eighth, so their sums are exact whatever the order of rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.wkb import line_wkb, polygon_wkb
 from ..session import fresh_folder
+from ..sources.projects import document_schema
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -37,7 +39,7 @@ HUC10 = (
 VIEWS = {
     "daily_temp": """
         SELECT concat('p', CAST(l_suppkey % 3 AS STRING)) AS project, l_suppkey AS comid, l_shipdate AS date,
-               CASE WHEN l_linenumber = 7 THEN CAST(-999 AS DOUBLE) ELSE l_quantity * CAST(0.6 AS DOUBLE) END
+               CASE WHEN l_linenumber = 7 THEN CAST(-999 AS DOUBLE) ELSE l_quantity * CAST(0.625 AS DOUBLE) END
                    AS stream_temp
         FROM lineitem""",
     "contributing_area": """
@@ -172,10 +174,14 @@ class Inputs:
 
     # --- inputs that need more than SQL ---------------------------------
 
+    def _spread_orders(self) -> DataFrame:
+        """Orders over all cores: parsing a document costs far more per byte than reading it."""
+        return self.orders.repartition(self.spark.sparkContext.defaultParallelism, "o_orderkey")
+
     @property
-    def documents_json(self) -> DataFrame:
-        """One catalog document per order, as JSON text."""
-        stamp = "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
+    def catalog(self) -> DataFrame:
+        """One catalog document per order, typed as read from JSON."""
+        stamp = "timestamp_seconds((CAST(unix_date(CAST(o_orderdate AS DATE)) AS BIGINT) + {}) * 86400)"
         typed = self.orders.selectExpr(
             "concat('p', o_orderkey) AS id",
             "concat('Project ', o_orderkey % 97) AS name",
@@ -189,29 +195,35 @@ class Inputs:
                 'id', concat('b', o_custkey % 50),
                 'bbox', array(o_custkey % 120 - 150D, o_custkey % 40 + 10D, o_custkey % 120 - 149D, o_custkey % 40 + 11D),
                 'centroid', array(o_custkey % 120 - 149.7D, o_custkey % 40 + 10.7D),
-                'area', o_totalprice) AS bounds""",
+                'area', o_totalprice, 'geoHash', CAST(NULL AS STRING)) AS bounds""",
             f"""array(
-                named_struct('key', 'HUC', 'value', {HUC10.format("o_custkey")}),
-                named_struct('key', 'Model Version', 'value', concat('1.0', o_custkey % 3, '.00')),
-                named_struct('key', 'Runner', 'value', 'first'),
-                named_struct('key', 'Runner', 'value', concat('r', o_custkey % 6))) AS meta""",
+                named_struct('key', 'HUC', 'value', {HUC10.format("o_custkey")}, 'type', CAST(NULL AS STRING)),
+                named_struct('key', 'Model Version', 'value', concat('1.0', o_custkey % 3, '.00'), 'type', CAST(NULL AS STRING)),
+                named_struct('key', 'Runner', 'value', 'first', 'type', CAST(NULL AS STRING)),
+                named_struct('key', 'Runner', 'value', concat('r', o_custkey % 6), 'type', CAST(NULL AS STRING))) AS meta""",
             "named_struct('id', o_orderpriority) AS projectType",
-            stamp.format("o_orderdate") + " AS createdOn",
-            stamp.format("o_orderdate + make_interval(0, 0, 0, CAST(o_custkey % 30 AS INT))") + " AS updatedOn",
+            stamp.format("0") + " AS createdOn",
+            stamp.format("o_custkey % 30") + " AS updatedOn",
             "named_struct('id', concat('u', o_custkey % 9), 'name', concat('owner', o_custkey % 9), '__typename',"
             " CASE WHEN o_custkey % 9 < 4 THEN 'User' ELSE 'Organization' END) AS ownedBy",
             "array(named_struct('id', concat('c', o_orderkey % 12))) AS collections",
             "array(named_struct('organization', named_struct('id', concat('org', o_custkey % 8)),"
             " 'roles', array('OWNER'))) AS attribution",
         )
-        return typed.select(F.to_json(F.struct("*")).alias("json"))
+        return typed.select(*[F.col(f.name).cast(f.dataType) if f.name in typed.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                              for f in document_schema().fields])
 
     @property
-    def catalog(self) -> DataFrame:
-        """Catalog documents parsed from their text."""
-        from ..sources.projects import parse_projects
-
-        return parse_projects(self.documents_json, "json")
+    def documents_json(self) -> DataFrame:
+        """The catalog documents as JSON text."""
+        stamped = self.catalog.withColumns(
+            {
+                c: F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+                for c in ("createdOn", "updatedOn")
+            }
+        )
+        spread = stamped.repartition(self.spark.sparkContext.defaultParallelism, "id")
+        return spread.select(F.to_json(F.struct(*stamped.columns)).alias("json"))
 
     @property
     def manifests(self) -> DataFrame:
@@ -251,9 +263,7 @@ class Inputs:
             CASE o_orderstatus WHEN 'O' THEN 'passed' WHEN 'F' THEN 'failed' ELSE 'unsure' END,
             '"><Name>Review</Name><PerformedBy>owner', o_custkey % 5, '</PerformedBy><Links><URL text="report">',
             'https://example.org/', o_orderkey, '</URL></Links></QAQCEvent></QAQCEvents></Project>') AS xml"""
-        # Parsing costs far more per byte than reading, so few input files are spread over all cores.
-        cores = self.spark.sparkContext.defaultParallelism
-        return self.orders.repartition(cores, "o_orderkey").selectExpr("concat('p', o_orderkey) AS project_id", body)
+        return self._spread_orders().selectExpr("concat('p', o_orderkey) AS project_id", body)
 
     @property
     def catchments(self) -> DataFrame:

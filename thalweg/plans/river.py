@@ -57,10 +57,8 @@ def _rounded_growth(coefficients) -> str:
     return ", ".join(f"round({growth_sql(f'{s}_avg', coefficients)}, 6) AS {s}_fish_avg" for s in SEASONS)
 
 
-def _round(df, *keep):
-    return df.select(
-        *[F.round(c, 6).alias(c) if kind == "double" and c not in keep else F.col(c) for c, kind in df.dtypes]
-    )
+def _round(df):
+    return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 # --- sources ---------------------------------------------------------------
@@ -175,7 +173,7 @@ LONG_SQL = "\nUNION ALL\n".join(
 )
 def season_metric_long(spark, folder):
     table = seasonal.seasonal_growth_reach(Inputs(spark, folder).daily_temp, DECADE, RED_BAND_TROUT)
-    return _round(seasonal.season_metric_long(table))
+    return seasonal.season_metric_long(_round(table))
 
 
 @query(

@@ -466,9 +466,14 @@ def xml_audit(manifests: DataFrame) -> DataFrame:
     )
     groups = [project_rules, realization_rules, analysis_rules, dataset_rules, ref_rules, layer_rules, meta_rules,
               repeated, event_rules]
-    # Layers of an unknown type have no place in the schema; they are found in the text.
-    others = " or ".join(f"self::{tag}" for tag in LAYER_TAGS)
-    odd = F.xpath("xml", F.lit(f"//Geopackage/Layers/*[not({others})]/@lyrName"))
+    # Layers of an unknown type have no place in the schema; they are found in the text, by
+    # pattern rather than by path, since a path expression fails the job on a broken document.
+    tagged = r"""<(\w+)\b[^>]*\blyrName\s*=\s*["']([^"']*)["']"""
+    layers = F.arrays_zip(
+        F.regexp_extract_all("xml", F.lit(tagged), F.lit(1)).alias("tag"),
+        F.regexp_extract_all("xml", F.lit(tagged), F.lit(2)).alias("layer"),
+    )
+    odd = F.transform(F.filter(layers, lambda y: ~y["tag"].isin(*LAYER_TAGS)), lambda y: y["layer"])
     groups.append(_findings(odd, lambda layer: [_finding(error, "layer type invalid", layer, F.lit(True))]))
     found = F.filter(_concat(*groups), lambda f: f.isNotNull())
     return _rows(_with_all(manifests, bounds=True), found, "rule")

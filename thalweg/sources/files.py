@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digest import PART_BYTES, PART_THRESHOLD, etag
+from .paths import empty_files, located
 
 
 def file_digests(
@@ -35,6 +36,9 @@ def file_digests(
     small = files.where(F.col("length") < threshold).select(
         "path", "length", etag("content", part_bytes, threshold, single_part=True).alias("etag")
     )
+    none = spark.createDataFrame([(name,) for name in empty_files(path, pattern)], "path string").select(
+        "path", F.lit(0).cast("bigint").alias("length"), etag(F.unhex(F.lit("")), part_bytes, threshold, single_part).alias("etag")
+    )
     # A digest over the whole of a large file has to read it in order: one part.
     size = F.col("length") if single_part else F.lit(part_bytes).cast("bigint")
     count = F.greatest(F.ceil(F.col("length") / size), F.lit(1)).cast("bigint")
@@ -47,13 +51,11 @@ def file_digests(
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        from pyarrow import fs
-
         block = 4 * 1024 * 1024
         for batch in batches:
             sums = []
             for row in batch.itertuples(index=False):
-                system, inner = fs.FileSystem.from_uri(row.path)
+                system, inner = located(row.path)
                 total = hashlib.md5()
                 with system.open_input_file(inner) as source:
                     source.seek(int(row.part) * int(row.size))
@@ -79,4 +81,4 @@ def file_digests(
     else:
         whole = F.concat(F.md5(F.unhex(text)), F.lit("-"), F.col("parts").cast("string"))
     large = joined.select("path", "length", F.concat(F.lit('"'), whole, F.lit('"')).alias("etag"))
-    return small.unionByName(large)
+    return small.unionByName(large).unionByName(none)

@@ -24,6 +24,7 @@ from pyspark.sql.types import (
 )
 
 from ..functions.wkb import strip_gp_header
+from .paths import located
 
 SPLIT_BYTES = 128 * 1024 * 1024
 
@@ -58,7 +59,7 @@ class _opened:
 
         from pyarrow import fs
 
-        system, inner = fs.FileSystem.from_uri(self.path)
+        system, inner = located(self.path)
         self.copy = None
         if not isinstance(system, fs.LocalFileSystem):
             self.copy = tempfile.NamedTemporaryFile(suffix=".gpkg")
@@ -153,7 +154,7 @@ class GeopackageSource(DataSource):
 
             path = "file://" + os.path.abspath(path)
         scheme = path.split(":", 1)[0]
-        system, inner = fs.FileSystem.from_uri(path)
+        system, inner = located(path)
         prefix = "file://" if isinstance(system, fs.LocalFileSystem) else path[: path.index(inner)] if inner in path else f"{scheme}://"
         info = system.get_file_info(inner)
         if info.type == fs.FileType.File:

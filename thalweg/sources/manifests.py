@@ -126,9 +126,8 @@ def read_project_xml(spark: SparkSession, path: str, pattern: str = "*.rs.xml")
     only where it is used; the manifest operators parse what they need from ``xml``.
     """
     files = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
+        spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .text(path)
+        .text(path, wholetext=True)
     )
     return parse_project_xml(files.select(F.col("_metadata.file_path").alias("project_id"), F.col("value").alias("xml")))

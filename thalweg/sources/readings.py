@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .paths import empty_files
+
 
 def project_of(root: str, path: Column) -> Column:
     """Name of the folder right under ``root`` that holds the file."""
@@ -36,4 +38,6 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
         .option("pathGlobFilter", pattern)
         .load(root)
     )
-    return files.select(project_of(root, F.col("path")).alias("project"), "path", "length")
+    none = spark.createDataFrame([(name, 0) for name in empty_files(root, pattern)], "path string, length bigint")
+    found = files.select("path", "length").unionByName(none)
+    return found.select(project_of(root, F.col("path")).alias("project"), "path", "length")

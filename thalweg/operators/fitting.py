@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.growth import Curve
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, stored
 
 
 def fit_growth_curve(points: DataFrame, degree: int = 6) -> DataFrame:
@@ -22,7 +22,9 @@ def fit_growth_curve(points: DataFrame, degree: int = 6) -> DataFrame:
     coefficients, scaled_coefficients`` with the constant term first.
     """
     valid = points.where("temperature IS NOT NULL AND growth_rate IS NOT NULL")
-    domain = valid.groupBy("species").agg(F.min("temperature").alias("low"), F.max("temperature").alias("high"))
+    domain = stored(
+        valid.groupBy("species").agg(F.min("temperature").alias("low"), F.max("temperature").alias("high")), "domain"
+    )
     u = (2 * F.col("temperature") - F.col("low") - F.col("high")) / (F.col("high") - F.col("low"))
     scaled = (
         valid.join(broadcast_if_small(domain), "species")

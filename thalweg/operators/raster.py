@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import is_close
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, stored
 
 
 def _with_nodata(cells: DataFrame, rasters: DataFrame) -> DataFrame:
@@ -85,7 +85,8 @@ def raster_stats(cells: DataFrame, rasters: DataFrame) -> DataFrame:
     """
     numbers = _with_nodata(cells, rasters)
     value = F.when(~F.isnan("v"), F.col("v"))
-    lowest = numbers.groupBy("raster_id").agg(F.min(value).alias("lowest"))
+    # Stored, so that proving its size and joining it do not scan the cells again.
+    lowest = stored(numbers.groupBy("raster_id").agg(F.min(value).alias("lowest")), "lowest")
     low, stated = F.col("lowest").cast("double"), F.col("nodata").cast("double")
     marker = F.when(is_close(low, stated, relative=1e-3), F.col("lowest")).otherwise(F.col("nodata"))
     masked = F.isnan("v") | F.coalesce(F.col("v") == marker, F.lit(False))

@@ -7,23 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions.growth import Curve, growth
 from ..functions.numeric import label_or_na
+from ..session import broadcast_if_small, is_small
 from .filters import drop_nodata, water_year_window
 
 
 def reach_semi(readings: DataFrame, reaches: DataFrame) -> DataFrame:
     """Readings of the listed reaches, each reading once."""
-    return readings.join(reaches.select("comid"), "comid", "left_semi")
+    return readings.join(broadcast_if_small(reaches.select("comid")), "comid", "left_semi")
 
 
 def reach_growth_stats(readings: DataFrame, reaches: DataFrame, year: int, curve: Curve) -> DataFrame:
-    """Mean and sample variance of daily growth per reach over one water year."""
-    daily = reach_semi(drop_nodata(water_year_window(readings, year), "sentinel"), reaches)
+    """Mean and sample variance of daily growth per reach over one water year.
+
+    A short list of reaches is broadcast and filters the readings as they are
+    read.  A long one meets the finished statistics instead: either way no
+    reading is shuffled for the sake of the list.
+    """
+    daily = drop_nodata(water_year_window(readings, year), "sentinel")
+    listed = reaches.select("comid")
+    few = is_small(listed)
+    if few:
+        daily = daily.join(F.broadcast(listed), "comid", "left_semi")
     rate = growth("stream_temp", curve)
-    return (
+    stats = (
         daily.select("comid", rate.alias("fish_growth"))
         .groupBy("comid")
         .agg(F.avg("fish_growth").alias("Growth_Mean"), F.var_samp("fish_growth").alias("Growth_Var"))
     )
+    return stats if few else stats.join(listed, "comid", "left_semi")
 
 
 def reach_stats_table(catchments: DataFrame, stats: DataFrame) -> DataFrame:
@@ -42,7 +53,7 @@ def network_daily_growth(readings: DataFrame, scope: DataFrame, year: int, curve
     ``scope`` has one row per reach: ``comid, is_upstream``.
     """
     daily = drop_nodata(water_year_window(readings, year), "floor").join(
-        scope.select("comid", "is_upstream"), "comid"
+        broadcast_if_small(scope.select("comid", "is_upstream")), "comid"
     )
     return (
         daily.select("is_upstream", "date", growth("stream_temp", curve).alias("fish_growth"))

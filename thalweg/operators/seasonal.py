@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import SEASONS, in_season
 from ..functions.growth import Curve, growth
+from ..session import is_small
 from .filters import decade_window, drop_nodata, selected_reaches
 
 REACH_KEYS = ("project", "comid")
@@ -80,10 +81,20 @@ def seasonal_growth_huc12(readings: DataFrame, area: DataFrame, year: int, curve
 
 
 def feature_export(readings: DataFrame, area: DataFrame, selected_id: str, year: int, curve: Curve) -> DataFrame:
-    """Season means and growth of the reaches that an id selects, without geometry."""
+    """Season means and growth of the reaches that an id selects, without geometry.
+
+    A short selection filters the readings as they are read; a long one
+    filters the finished means, which are far fewer than the readings.
+    """
     chosen = selected_reaches(area, selected_id)
-    picked = decade_readings(readings, year).join(chosen, list(REACH_KEYS), "left_semi")
-    return with_seasonal_growth(seasonal_means(picked), curve)
+    picked = decade_readings(readings, year)
+    few = is_small(chosen)
+    if few:
+        picked = picked.join(F.broadcast(chosen), list(REACH_KEYS), "left_semi")
+    means = seasonal_means(picked)
+    if not few:
+        means = means.join(chosen, list(REACH_KEYS), "left_semi")
+    return with_seasonal_growth(means, curve)
 
 
 def huc12_tagged(readings: DataFrame, area: DataFrame) -> DataFrame:

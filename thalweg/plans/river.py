@@ -17,7 +17,7 @@ from .registry import growth_sql, query
 
 DECADE = 1995
 YEAR = 1996
-HUC12 = "000000000005"
+HUC12 = "000000000018"
 REACH = 2
 SEASONS = ("winter", "spring", "summer", "autumn")
 

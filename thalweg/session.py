@@ -47,12 +47,21 @@ def stored(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+BROADCAST_ROWS = 100_000
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Does the table have at most ``max_rows`` rows?  Runs a count that stops beyond them.
+
+    Meant for lookups, id lists and stored tables: a costly plan would run twice.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a lookup whose row count is proven to be small.
 
     Beyond ``max_rows`` the table is returned without a hint, so the planner
     uses a shuffled join and adaptive execution splits skewed partitions.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_small(df, max_rows) else df

@@ -118,6 +118,14 @@ def test_clip_to_tiles_and_holes(spark):
         assert [p[1][0].tolist() for p in parts_of(got["K", 2][1])] == [[[0.5, 0.5], [0.5, 3.5], [0.0, 3.5]]]
 
 
+def test_clip_gives_copies_back(spark):
+    square = spark.createDataFrame([("H", bytearray(SQUARE))] * 2, "HUC12 string, geom binary")
+    line, other = bytearray(line_wkb([(-1.0, 1.0), (1.0, 1.0)])), bytearray(line_wkb([(1.0, 1.0), (1.0, 1.5)]))
+    lines = spark.createDataFrame([(1, line)] * 3 + [(1, other), (2, line)], "comid bigint, geom binary")
+    got = sorted((r.comid, r.length) for r in spatial.clip_flowlines(lines, square).collect())
+    assert got == [(1, 0.5), (1, 1.0), (1, 1.0), (1, 1.0), (2, 1.0)]
+
+
 MANIFEST = """<?xml version="1.0" ?>
 <Project xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:noNamespaceSchemaLocation="p.xsd">
   <Name>Test</Name><ProjectType>vbet</ProjectType>

@@ -17,23 +17,15 @@ MAX_KM = 999.0
 def _with_way(known: DataFrame, ways: DataFrame, max_km: float) -> DataFrame:
     """Known reaches, and those one way further upstream.
 
-    Staying is an element of the list of ways at each reach, so ``known`` is
-    read once and the plan stays linear over the rounds.
+    ``ways`` has a way of no length from each reach to itself, so ``known`` is
+    read once and the plan stays linear over the rounds; and the join is an
+    inner one, of which adaptive execution can split either side.
     """
     k, w = known.alias("k"), ways.alias("w")
-    joined = k.join(w, F.col("k.comid") == F.col("w.tocomid"), "left").select(
-        "k.start",
-        F.inline(
-            F.array(
-                F.struct(F.col("k.comid").alias("comid"), F.col("k.distance_km").alias("distance_km")),
-                F.struct(
-                    F.col("w.comid").alias("comid"), (F.col("k.distance_km") + F.col("w.km")).alias("distance_km")
-                ),
-            )
-        ),
-    )
     return (
-        joined.where((F.col("distance_km") <= max_km) & F.col("comid").isNotNull())
+        k.join(w, F.col("k.comid") == F.col("w.tocomid"))
+        .select("k.start", "w.comid", (F.col("k.distance_km") + F.col("w.km")).alias("distance_km"))
+        .where(F.col("distance_km") <= max_km)
         .groupBy("start", "comid")
         .agg(F.min("distance_km").alias("distance_km"))
     )
@@ -59,9 +51,12 @@ def upstream_many(edges: DataFrame, starts: DataFrame, max_km: float = MAX_KM) -
     longest = jumps.count()
     begin = starts.select(F.col("comid").alias("start")).where("start IS NOT NULL").distinct()
     known = begin.select("start", F.col("start").alias("comid"), F.lit(0.0).alias("distance_km"))
+    reaches = edges.select("comid").unionByName(edges.select(F.col("tocomid").alias("comid")))
+    reaches = reaches.unionByName(begin.select(F.col("start").alias("comid"))).where("comid IS NOT NULL").distinct()
+    stay = stored(reaches.select("comid", F.col("comid").alias("tocomid"), F.lit(0.0).alias("km")), "stay")
     steps = 1
     while steps <= longest and not jumps.isEmpty():
-        known = _with_way(known, jumps, max_km)
+        known = _with_way(known, jumps.unionByName(stay), max_km)
         a, b = jumps.alias("a"), jumps.alias("b")
         jumps = stored(
             a.join(b, F.col("a.tocomid") == F.col("b.comid"))

@@ -110,10 +110,14 @@ def clip_flowlines(
     count twice.  Segments and catchments meet through grid cells: both list
     the cells of their boxes, cells meet by equality, and a pair is kept only
     where the boxes overlap, in the one cell that holds the lower left corner
-    of the overlap.
+    of the overlap.  Copies of a line are cut once and given back as often as
+    they came; copies of a catchment are dropped.
     """
-    shapes = catchments.where(F.col("geom").isNotNull()).select(
-        F.col(group).alias("g"), F.col("geom").alias("polygon"), wkb_box("geom").alias("p")
+    shapes = (
+        catchments.where(F.col("geom").isNotNull())
+        .select(F.col(group).alias("g"), F.col("geom").alias("polygon"))
+        .distinct()
+        .withColumn("p", wkb_box("polygon"))
     )
     if cell_size is None:
         # Cells about as wide as a catchment keep the lists of cells short on both sides.
@@ -121,8 +125,10 @@ def clip_flowlines(
         cell_size = span.first()[0] or 1.0
     pieces = (
         flowlines.where(F.col("geom").isNotNull())
-        .select("comid", F.explode(line_segments("geom")).alias("s"))
-        .select("comid", "s.*")
+        .groupBy("comid", "geom")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .select("comid", F.md5("geom").alias("line"), "copies", F.explode(line_segments("geom")).alias("s"))
+        .select("comid", "line", "copies", "s.*")
     )
     left = pieces.select(
         "*",
@@ -146,34 +152,42 @@ def clip_flowlines(
         & (F.col("cy") == F.floor(F.greatest("sy0", "min_y") / size))
     )
     pairs = left.join(right, ["cx", "cy"]).where(overlaps).select(
-        "g", "comid", "part", "seq", "x1", "y1", "x2", "y2", "polygon"
+        "g", "comid", "line", "copies", "part", "seq", "x1", "y1", "x2", "y2", "polygon"
     )
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        corners, keys = ["x1", "y1", "x2", "y2"], ["g", "comid", "part", "seq", "x1", "y1", "x2", "y2"]
+        corners = ["x1", "y1", "x2", "y2"]
+        keys = ["g", "comid", "line", "copies", "part", "seq", *corners]
         for batch in batches:
-            found = []
-            for blob, rows in batch.groupby("polygon", sort=False):
-                segments = rows[corners].to_numpy("f8")
+            segments = batch[corners].to_numpy("f8")
+            codes, blobs = pd.factorize(batch["polygon"])
+            order = np.argsort(codes, kind="stable")
+            ends = np.searchsorted(codes[order], np.arange(len(blobs) + 1))
+            rows, starts, stops = [], [], []
+            for n, blob in enumerate(blobs):
+                here = order[ends[n] : ends[n + 1]]
                 for kind, rings in parts_of(bytes(blob)):
                     if kind != POLYGON:
                         continue
                     # Few enough segments at a time that the tables of crossings stay small.
                     few = max(1, 200_000 // sum(len(r) for r in rings) ** 2)
-                    for at in range(0, len(segments), few):
-                        index, t0, t1 = _inside_spans(segments[at : at + few], rings)
-                        found.append(rows.iloc[at + index][keys].assign(t0=t0, t1=t1))
-            if found:
-                yield pd.concat(found)
+                    for at in range(0, len(here), few):
+                        index, t0, t1 = _inside_spans(segments[here[at : at + few]], rings)
+                        rows.append(here[at + index])
+                        starts.append(t0)
+                        stops.append(t1)
+            if rows:
+                found = batch.iloc[np.concatenate(rows)][keys]
+                yield found.assign(t0=np.concatenate(starts), t1=np.concatenate(stops))
 
     inside = pairs.mapInPandas(
         cut,
-        f"g {kinds['g']}, comid {kinds['comid']}, part int, seq int, x1 double, y1 double, x2 double, y2 double,"
-        " t0 double, t1 double",
+        f"g {kinds['g']}, comid {kinds['comid']}, line string, copies bigint, part int, seq int,"
+        " x1 double, y1 double, x2 double, y2 double, t0 double, t1 double",
     )
-    # One row per clipped line: no longer than the line it comes from.
-    gathered = inside.groupBy("g", "comid").agg(
+    # One row per line, which held its points in one row before.
+    gathered = inside.groupBy("g", "comid", "line", "copies").agg(
         F.array_sort(F.collect_list(F.struct("part", "seq", "t0", "t1", "x1", "y1", "x2", "y2"))).alias("cuts")
     )
 
@@ -203,9 +217,11 @@ def clip_flowlines(
                         lines.append([first, final])
                     length += float(np.hypot(final[0] - first[0], final[1] - first[1]))
                     last = (part, seq, t1)
-                rows.append((r.g, r.comid, length, multi_line_wkb(lines)))
-            yield pd.DataFrame(rows, columns=[group, "comid", "length", "geom"])
+                rows.append((r.g, r.comid, r.copies, length, multi_line_wkb(lines)))
+            yield pd.DataFrame(rows, columns=[group, "comid", "copies", "length", "geom"])
 
-    return gathered.mapInPandas(
-        rebuild, f"`{group}` {kinds['g']}, comid {kinds['comid']}, length double, geom binary"
+    rebuilt = gathered.mapInPandas(
+        rebuild, f"`{group}` {kinds['g']}, comid {kinds['comid']}, copies bigint, length double, geom binary"
     )
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
+    return rebuilt.select("*", again.alias("copy")).drop("copies", "copy")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding, simhash
+from . import bpe, sharding, simhash, toxicity
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -23,6 +23,23 @@ def op1(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def vocabulary(name="byte_bpe_50k.json"):
+    """Where a public vocabulary file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_bpe")
+def op3(spark, folder):
+    return bpe.round_trip(table(spark, folder, "documents"), vocabulary())
+
+
+@query("op4_toxicity")
+def op4(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op7_rendezvous")
 def op7(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding, simhash, toxicity
+from . import bpe, decontamination, secrets, sharding, simhash, toxicity
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -23,6 +23,11 @@ def op1(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op2_secrets")
+def op2(spark, folder):
+    return secrets.scan(table(spark, folder, "documents"))
+
+
 def vocabulary(name="byte_bpe_50k.json"):
     """Where a public vocabulary file lies on this machine."""
     import public_tokenizers
@@ -43,3 +48,8 @@ def op4(spark, folder):
 @query("op7_rendezvous")
 def op7(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"))
+
+
+@query("op8_decontamination")
+def op8(spark, folder):
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -23,7 +23,7 @@ from .common import ids_and_texts, map_texts, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Rows of the count-min table and cells in each: the model's size in any corpus.
-TABLES, CELLS = 2, 1 << 21
+TABLES, CELLS = 2, 1 << 19
 #: Different words a task holds before it hands its counts on.
 HELD_WORDS = 400_000
 #: Labelled rows that the final weights are fitted on, at most about.
@@ -50,9 +50,8 @@ def words_before(text: str) -> dict[str, int]:
     return found
 
 
-def contexts(bits: np.ndarray) -> np.ndarray:
-    """How many different words the bits stand for, by linear counting."""
-    return -64 * np.log(np.maximum(1 - np.bitwise_count(bits) / 64, 1 / 128))
+#: How many different words 0 to 64 set bits stand for, by linear counting.
+CONTEXTS = -64 * np.log(np.maximum(1 - np.arange(65) / 64, 1 / 128))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -89,20 +88,22 @@ def _counted(rows: DataFrame) -> DataFrame:
 
     made = rows.select("text", "toxic").mapInArrow(run, schema)
     return made.groupBy("cell").agg(
-        F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.expr("bit_or(before)").alias("before")
+        F.sum("ordinary").cast("int").alias("ordinary"),
+        F.sum("toxic").cast("int").alias("toxic"),
+        F.expr("CAST(bit_count(bit_or(before)) AS TINYINT)").alias("before"),
     )
 
 
 class Model:
     """Log-likelihood ratios of words, toxic against ordinary."""
 
-    def __init__(self, cell, counts, bits):
+    def __init__(self, cell, counts, before):
         self.counts = np.zeros((2, TABLES * CELLS), np.int32)
         self.counts[:, cell] = counts
-        self.contexts = np.zeros(TABLES * CELLS, np.float32)
-        self.contexts[cell] = contexts(bits)
+        self.before = np.zeros(TABLES * CELLS, np.uint8)
+        self.before[cell] = before
         first = cell < CELLS  # each table counts every word once
-        self.shared = float(self.contexts[:CELLS].sum()) or 1.0
+        self.shared = float(CONTEXTS[self.before[:CELLS]].sum()) or 1.0
         self.totals, self.discounts, self.backoff = [], [], []
         for y in (0, 1):
             c = counts[y][first]
@@ -123,7 +124,7 @@ class Model:
             count[own] = max(count[own] - 1, 0)
         if not any(count):
             return 0.0  # both models back off alike
-        shared = float(self.contexts[at].min()) / self.shared
+        shared = CONTEXTS[self.before[at].min()] / self.shared
         p = [
             max(c - self.discounts[y][min(c, 3)], 0) / self.totals[y] + self.backoff[y] * shared
             for y, c in enumerate(count)
@@ -191,10 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, few_labe
     many = known.count()
     rows = ids_and_texts(docs)
     rows = rows.join(F.broadcast(known) if many <= few_labels else known, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
-    table = _counted(rows).toPandas()
-    cell = table["cell"].to_numpy()
-    counts = np.stack([table["ordinary"].to_numpy(), table["toxic"].to_numpy()]).astype(np.int32)
-    model = Model(cell, counts, table["before"].to_numpy().view(np.uint64))
+    cell, ordinary, toxic, before = (c.to_numpy() for c in _counted(rows).toArrow().columns)
+    model = Model(cell, np.stack([ordinary, toxic]), before)
     sent = spark.sparkContext.broadcast(model)
     share = min(1.0, fit_rows / max(many, 1))
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))

@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from .common import ids_and_texts, map_texts
 
 NEVER = 1 << 60
-#: Words that a task remembers.
-HELD_WORDS = 300_000
+#: Words whose encoding a task remembers.
+HELD_WORDS = 600_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -48,6 +48,8 @@ class Automaton:
         for time, (a, b) in enumerate(merges):
             self._add_gadget(time, tokens[a], tokens[b], tokens[a + b])
         self.barred: dict[tuple[int, int], int] = {}
+        #: transitions: behind each token, whether another may follow; entries are made when first needed
+        self.rows: dict[int, dict[int, bool]] = {i: {} for i in self.label}
         #: longest token by its last byte
         self.reach = [0] * 256
         for b in tokens:
@@ -80,18 +82,26 @@ class Automaton:
 
     def encode(self, word: bytes) -> tuple[int, ...]:
         """Labels of the one path that spells the word."""
-        ids, n = self.ids, len(word)
+        find, rows, n = self.ids.get, self.rows, len(word)
         if not n:
             return ()
         last = [-1] * (n + 1)
         for end in range(1, n + 1):
             for start in range(max(0, end - self.reach[word[end - 1]]), end):
-                token = ids.get(word[start:end])
-                if token is None or (start and last[start] < 0):
+                token = find(word[start:end])
+                if token is None:
                     continue
-                if not start or self.barred_from(last[start], token) == NEVER:
-                    last[end] = token
-                    break
+                if start:
+                    before = last[start]
+                    if before < 0:
+                        continue
+                    follows = rows[before].get(token)
+                    if follows is None:
+                        follows = rows[before][token] = self.barred_from(before, token) == NEVER
+                    if not follows:
+                        continue
+                last[end] = token
+                break
         path, at = [], n
         while at:
             if last[at] < 0:
@@ -141,6 +151,19 @@ class Splitter:
             return self.exact
 
 
+class Words(dict):
+    """Encodings of the words met so far."""
+
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        found = self[word] = self.automaton.encode(word.encode("utf-8"))
+        return found
+
+
 class Coder:
     """Encodes and decodes texts; lives in a task."""
 
@@ -158,22 +181,11 @@ class Coder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.label = self.automaton.label | {i: t.encode() for t, i in self.added.items()}
         self.digits = {i: str(i) for i in self.label}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            data = word.encode("utf-8")
-            whole = self.automaton.ids.get(data)
-            found = self.automaton.encode(data) if whole is None or self.automaton.born[whole] < 0 and len(data) > 1 else (whole,)
-            if len(self.known) > HELD_WORDS:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        self.known = Words(self.automaton)
 
     def ordinary(self, text: str) -> list[int]:
         """Ids of a text whose special tokens are plain text."""
-        return list(chain.from_iterable(map(self.word, self.splitter.pattern(text).findall(text))))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.splitter.pattern(text).findall(text))))
 
     def encode(self, text: str) -> list[int]:
         if self.special is None or not any(name in text for name in self.added):

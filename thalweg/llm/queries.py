@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, secrets, sharding, simhash, toxicity
+from . import bpe, decontamination, neighbours, pii, secrets, sharding, simhash, toxicity
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -53,3 +53,13 @@ def op7(spark, folder):
 @query("op8_decontamination")
 def op8(spark, folder):
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op9_neighbours")
+def op9(spark, folder):
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
+@query("op10_pii")
+def op10(spark, folder):
+    return pii.personal_data(table(spark, folder, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, neighbours, pii, secrets, sharding, simhash, toxicity
+from . import bpe, decontamination, neighbours, pii, secrets, sharding, simhash, token_counts, toxicity
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -45,6 +45,11 @@ def op4(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op5_token_counts")
+def op5(spark, folder):
+    return token_counts.edited_counts(table(spark, folder, "documents"), vocabulary())
+
+
 @query("op7_rendezvous")
 def op7(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"))

@@ -367,16 +367,16 @@ def bounds_groups(documents: DataFrame, limit: int) -> DataFrame:
 
 def suggest_terms(documents: DataFrame, prefix: str) -> DataFrame:
     """How many projects use each tag, metadata key and metadata value with the prefix."""
+    meta = F.coalesce("meta", F.array().cast(documents.schema["meta"].dataType))
     terms = F.concat(
         F.transform(F.coalesce("tags", F.array().cast("array<string>")),
                     lambda t: F.struct(F.lit("tags").alias("kind"), t.alias("text"))),
-        F.transform(F.col("meta"), lambda m: F.struct(F.lit("metaKey").alias("kind"), m["key"].alias("text"))),
-        F.transform(F.col("meta"), lambda m: F.struct(F.lit("metaValues").alias("kind"), m["value"].alias("text"))),
+        F.transform(meta, lambda m: F.struct(F.lit("metaKey").alias("kind"), m["key"].alias("text"))),
+        F.transform(meta, lambda m: F.struct(F.lit("metaValues").alias("kind"), m["value"].alias("text"))),
     )
     # Distinct within the document, so the counts are projects.
     return (
-        documents.where("meta IS NOT NULL")
-        .select(F.inline(F.array_distinct(terms)))
+        documents.select(F.inline(F.array_distinct(terms)))
         .where(F.startswith(F.lower("text"), F.lit(prefix.lower())))
         .groupBy("kind", "text")
         .agg(F.count(F.lit(1)).alias("freq"))
@@ -386,20 +386,27 @@ def suggest_terms(documents: DataFrame, prefix: str) -> DataFrame:
 def duplicate_projects(projects: DataFrame, meta: DataFrame) -> DataFrame:
     """Mark all but the newest project of each owner, type, HUC and model version for deletion.
 
-    The newest is found by aggregation and joined back on the project id, which
-    is unique; no group is ever sorted or held in one task.  Equal times keep
+    The newest is found by aggregation and joined back on the group and the
+    project id; no group is ever sorted or held in one task.  A project with
+    several HUC values is judged in each group on its own.  Equal times keep
     the lowest id.
     """
     valued = lambda key, name: (
         meta.where(F.col("key") == key).select(F.col("project_id").alias("id"), F.col("value").alias(name))
     )
     tagged = projects.join(valued("HUC", "HUC"), "id").join(valued("Model Version", "model_version_meta"), "id")
-    newest = tagged.groupBy("owned_by_name", "project_type_id", "HUC", "model_version_meta").agg(
+    group = ["owned_by_name", "project_type_id", "HUC", "model_version_meta"]
+    newest = tagged.groupBy(*group).agg(
         F.max(F.struct(F.col("created_on"), (-F.col("id")).alias("minus_id"))).alias("top")
     )
-    keep = newest.select((-F.col("top.minus_id")).alias("id"), F.lit("KEEP").alias("kept")).distinct()
+    keep = newest.select(
+        (-F.col("top.minus_id")).alias("kept_id"), *[F.col(c).alias(f"kept_{c}") for c in group], F.lit("KEEP").alias("kept")
+    )
+    same = F.col("id") == F.col("kept_id")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"kept_{c}"))
     return (
-        tagged.join(keep, "id", "left")
+        tagged.join(keep, same, "left")
         .select(
             "id",
             F.date_format(F.timestamp_millis("created_on"), "yyyy-MM-dd HH:mm:ss").alias("createdDate"),

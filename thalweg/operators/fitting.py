@@ -18,17 +18,24 @@ def fit_growth_curve(points: DataFrame, degree: int = 6) -> DataFrame:
 
     Spark sums the powers of the temperature, mapped to [-1, 1], in one
     aggregation; what is left per species is one small linear system, solved in
-    the task that holds its row of sums.  Returns ``species, low, high,
+    the task that holds its row of sums.  A species whose points share one
+    temperature is fitted over that temperature and one to either side.  Returns ``species, low, high,
     coefficients, scaled_coefficients`` with the constant term first.
     """
     valid = points.where("temperature IS NOT NULL AND growth_rate IS NOT NULL")
     domain = stored(
-        valid.groupBy("species").agg(F.min("temperature").alias("low"), F.max("temperature").alias("high")), "domain"
+        valid.groupBy("species")
+        .agg(F.min("temperature").alias("low"), F.max("temperature").alias("high"))
+        .select(
+            "species",
+            F.when(F.col("low") == F.col("high"), F.col("low") - 1).otherwise(F.col("low")).alias("low"),
+            F.when(F.col("low") == F.col("high"), F.col("high") + 1).otherwise(F.col("high")).alias("high"),
+        ),
+        "domain",
     )
     u = (2 * F.col("temperature") - F.col("low") - F.col("high")) / (F.col("high") - F.col("low"))
     scaled = (
         valid.join(broadcast_if_small(domain), "species")
-        .where("high > low")
         .select("species", "low", "high", F.col("growth_rate").alias("y"), u.alias("u"))
     )
     powers = [F.lit(1.0)]

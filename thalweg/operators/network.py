@@ -37,14 +37,19 @@ def upstream_many(edges: DataFrame, starts: DataFrame, max_km: float = MAX_KM) -
     Ways of 1, 2, 4, ... steps are each built from two halves and stored, until
     none is left; every number of steps is a sum of these, so a river of ten
     thousand reaches takes fourteen rounds instead of ten thousand.  Parallel
-    channels keep the shortest way.  Lengths are not negative, so the shortest
-    way never repeats a reach and has fewer steps than there are edges: that
-    ends the search in data that runs in circles.
+    channels keep the shortest way.  An unknown length (null or NaN) counts as
+    none: the reach and the river above it are kept.  A negative one fails the
+    job.  So the shortest way never repeats a reach and has fewer steps than
+    there are edges: that ends the search in data that runs in circles.  The
+    ways between members of a loop can be as many as its pairs within
+    ``max_km``; the limit is what bounds them.
     """
+    km = F.coalesce(F.nanvl(F.col("length_km").cast("double"), F.lit(0.0)), F.lit(0.0))
+    km = F.when(km < 0, F.raise_error(F.lit("negative length_km"))).otherwise(km)
     jumps = stored(
         edges.where("comid IS NOT NULL AND tocomid IS NOT NULL")
         .groupBy("comid", "tocomid")
-        .agg(F.min(F.col("length_km").cast("double")).alias("km"))
+        .agg(F.min(km).alias("km"))
         .where(F.col("km") <= max_km),
         "jumps",
     )

@@ -1,4 +1,8 @@
-"""Yearly growth statistics: per reach, and for a river network against the rest."""
+"""Yearly growth statistics: per reach, and for a river network against the rest.
+
+A reach may lie in several projects, each with readings of its own: statistics
+are kept apart by project throughout.
+"""
 
 from __future__ import annotations
 
@@ -11,35 +15,38 @@ from ..session import broadcast_if_small, is_small
 from .filters import drop_nodata, water_year_window
 
 
+KEYS = ["project", "comid"]
+
+
 def reach_semi(readings: DataFrame, reaches: DataFrame) -> DataFrame:
-    """Readings of the listed reaches, each reading once."""
-    return readings.join(broadcast_if_small(reaches.select("comid")), "comid", "left_semi")
+    """Readings of the listed reaches of each project, each reading once."""
+    return readings.join(broadcast_if_small(reaches.select(*KEYS)), KEYS, "left_semi")
 
 
 def reach_growth_stats(readings: DataFrame, reaches: DataFrame, year: int, curve: Curve) -> DataFrame:
-    """Mean and sample variance of daily growth per reach over one water year.
+    """Mean and sample variance of daily growth per project and reach over one water year.
 
     A short list of reaches is broadcast and filters the readings as they are
     read.  A long one meets the finished statistics instead: either way no
     reading is shuffled for the sake of the list.
     """
     daily = drop_nodata(water_year_window(readings, year), "sentinel")
-    listed = reaches.select("comid")
+    listed = reaches.select(*KEYS)
     few = is_small(listed)
     if few:
-        daily = daily.join(F.broadcast(listed), "comid", "left_semi")
+        daily = daily.join(F.broadcast(listed), KEYS, "left_semi")
     rate = growth("stream_temp", curve)
     stats = (
-        daily.select("comid", rate.alias("fish_growth"))
-        .groupBy("comid")
+        daily.select(*KEYS, rate.alias("fish_growth"))
+        .groupBy(*KEYS)
         .agg(F.avg("fish_growth").alias("Growth_Mean"), F.var_samp("fish_growth").alias("Growth_Var"))
     )
-    return stats if few else stats.join(listed, "comid", "left_semi")
+    return stats if few else stats.join(listed, KEYS, "left_semi")
 
 
 def reach_stats_table(catchments: DataFrame, stats: DataFrame) -> DataFrame:
-    """Every catchment with its reach's statistics and their display text."""
-    return catchments.join(stats, "comid", "left").withColumns(
+    """Every catchment with its reach's statistics in its project and their display text."""
+    return catchments.join(stats, KEYS, "left").withColumns(
         {
             "Growth_Mean_text": label_or_na(F.col("Growth_Mean")),
             "Growth_Var_text": label_or_na(F.col("Growth_Var")),
@@ -48,22 +55,23 @@ def reach_stats_table(catchments: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def network_daily_growth(readings: DataFrame, scope: DataFrame, year: int, curve: Curve) -> DataFrame:
-    """Mean growth per day, for upstream reaches and for the others.
+    """Mean growth per project and day, for upstream reaches and for the others.
 
-    ``scope`` has one row per reach: ``comid, is_upstream``.
+    ``scope`` has one row per reach: ``comid, is_upstream``; the river is the
+    same for every project.
     """
     daily = drop_nodata(water_year_window(readings, year), "floor").join(
         broadcast_if_small(scope.select("comid", "is_upstream")), "comid"
     )
     return (
-        daily.select("is_upstream", "date", growth("stream_temp", curve).alias("fish_growth"))
-        .groupBy("is_upstream", "date")
+        daily.select("project", "is_upstream", "date", growth("stream_temp", curve).alias("fish_growth"))
+        .groupBy("project", "is_upstream", "date")
         .agg(F.avg("fish_growth").alias("daily_fish_growth"))
     )
 
 
 def network_growth_summary(daily: DataFrame) -> DataFrame:
-    """Mean and variance of the daily means; always one row upstream and one for the rest."""
+    """Mean and variance of the daily means of each project; always one row upstream and one for the rest."""
     sides = []
     for flag in (True, False):
         value = F.when(F.col("is_upstream") == flag, F.col("daily_fish_growth"))
@@ -75,4 +83,4 @@ def network_growth_summary(daily: DataFrame) -> DataFrame:
                 F.coalesce(F.var_samp(value), F.lit(0.0)).alias("growth_var"),
             )
         )
-    return daily.agg(F.array(*sides).alias("sides")).select(F.inline("sides"))
+    return daily.groupBy("project").agg(F.array(*sides).alias("sides")).select("project", F.inline("sides"))

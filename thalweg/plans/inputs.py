@@ -41,7 +41,10 @@ VIEWS = {
         SELECT concat('p', CAST(l_suppkey % 3 AS STRING)) AS project, l_suppkey AS comid, l_shipdate AS date,
                CASE WHEN l_linenumber = 7 THEN CAST(-999 AS DOUBLE) ELSE l_quantity * CAST(0.625 AS DOUBLE) END
                    AS stream_temp
-        FROM lineitem""",
+        FROM lineitem
+        UNION ALL
+        SELECT concat('p', CAST((l_suppkey + 1) % 3 AS STRING)), l_suppkey, l_shipdate, l_quantity * CAST(0.25 AS DOUBLE)
+        FROM lineitem WHERE l_suppkey % 4 = 0""",
     "contributing_area": """
         SELECT concat('p', CAST(s_suppkey % 3 AS STRING)) AS project, s_suppkey AS featureid,
                CASE WHEN s_nationkey = 0 THEN NULL ELSE lpad(CAST(s_nationkey AS STRING), 12, '0') END AS HUC12
@@ -53,7 +56,7 @@ VIEWS = {
     "flow_edges": """
         SELECT s_suppkey AS comid,
                CASE WHEN s_suppkey = 0 THEN NULL ELSE CAST(floor((s_suppkey - 1) / 2) AS BIGINT) END AS tocomid,
-               CAST(1 + s_nationkey AS DOUBLE) AS length_km
+               CASE WHEN s_suppkey % 17 = 5 THEN NULL ELSE CAST(1 + s_nationkey AS DOUBLE) END AS length_km
         FROM supplier""",
     "dgos": """
         SELECT o_orderkey AS fid, o_orderpriority AS FCode, o_totalprice AS centerline_length,

@@ -342,14 +342,14 @@ def fit_growth(spark, folder):
 
 HUC_REACHES = f"SELECT featureid AS comid FROM contributing_area WHERE HUC12 = '{HUC12}'"
 UP_SQL = f"""up AS (SELECT CAST({REACH} AS BIGINT) AS comid, CAST(0 AS DOUBLE) AS distance_km
-    UNION ALL SELECT e.comid, e.length_km + up.distance_km FROM flow_edges e JOIN up ON e.tocomid = up.comid)"""
+    UNION ALL SELECT e.comid, coalesce(e.length_km, 0) + up.distance_km FROM flow_edges e JOIN up ON e.tocomid = up.comid)"""
 NEAR_SQL = "near AS (SELECT comid, distance_km FROM up WHERE distance_km <= 999)"
 SCOPE_SQL = f"""scope AS (SELECT comid, bool_or(is_upstream) AS is_upstream FROM (
     SELECT comid, TRUE AS is_upstream FROM near UNION ALL SELECT comid, FALSE FROM ({HUC_REACHES}))
     GROUP BY comid)"""
-DAILY_SQL = f"""daily AS (SELECT s.is_upstream, d.date, avg({growth_sql('d.stream_temp', RED)}) AS daily_fish_growth
+DAILY_SQL = f"""daily AS (SELECT d.project, s.is_upstream, d.date, avg({growth_sql('d.stream_temp', RED)}) AS daily_fish_growth
     FROM daily_temp d JOIN scope s ON d.comid = s.comid WHERE {YEAR_SQL.replace('date', 'd.date', 1)}
-    AND d.stream_temp > -50 GROUP BY 1, 2)"""
+    AND d.stream_temp > -50 GROUP BY 1, 2, 3)"""
 
 
 def _huc_reaches(i: Inputs):
@@ -368,7 +368,8 @@ def _scope(i: Inputs):
 
 @query(
     "reach_semi",
-    f"SELECT project, comid, {DAY_SQL}, stream_temp FROM daily_temp WHERE comid IN ({HUC_REACHES})",
+    f"SELECT project, comid, {DAY_SQL}, stream_temp FROM daily_temp"
+    f" WHERE (project, comid) IN (SELECT (project, featureid) FROM contributing_area WHERE HUC12 = '{HUC12}')",
 )
 def reach_semi(spark, folder):
     i = Inputs(spark, folder)
@@ -384,12 +385,12 @@ def _label(value: str) -> str:
 
 @query(
     "reach_stats",
-    f"""WITH s AS (SELECT comid, avg(g) AS m, var_samp(g) AS v FROM (
-        SELECT comid, {growth_sql('stream_temp', RED)} AS g FROM daily_temp
-        WHERE {YEAR_SQL} AND stream_temp <> -999) GROUP BY comid)
+    f"""WITH s AS (SELECT project, comid, avg(g) AS m, var_samp(g) AS v FROM (
+        SELECT project, comid, {growth_sql('stream_temp', RED)} AS g FROM daily_temp
+        WHERE {YEAR_SQL} AND stream_temp <> -999) GROUP BY project, comid)
     SELECT a.featureid AS comid, a.project, a.HUC12, round(m, 6) AS Growth_Mean, round(v, 6) AS Growth_Var,
            {_label('m')} AS Growth_Mean_text, {_label('v')} AS Growth_Var_text
-    FROM contributing_area a LEFT JOIN s ON a.featureid = s.comid""",
+    FROM contributing_area a LEFT JOIN s ON a.featureid = s.comid AND a.project = s.project""",
 )
 def reach_stats_query(spark, folder):
     i = Inputs(spark, folder)
@@ -406,8 +407,8 @@ def upstream(spark, folder):
 @query(
     "upstream_many",
     """WITH RECURSIVE up AS (SELECT s_suppkey AS start, s_suppkey AS comid, CAST(0 AS DOUBLE) AS distance_km FROM supplier
-    UNION ALL SELECT up.start, e.comid, e.length_km + up.distance_km FROM flow_edges e JOIN up ON e.tocomid = up.comid
-    WHERE e.length_km + up.distance_km <= 40) SELECT start, comid, distance_km FROM up""",
+    UNION ALL SELECT up.start, e.comid, coalesce(e.length_km, 0) + up.distance_km FROM flow_edges e
+    JOIN up ON e.tocomid = up.comid WHERE coalesce(e.length_km, 0) + up.distance_km <= 40) SELECT start, comid, distance_km FROM up""",
 )
 def upstream_many(spark, folder):
     i = Inputs(spark, folder)
@@ -436,7 +437,7 @@ def network_role(spark, folder):
 @query(
     "network_daily",
     f"""WITH RECURSIVE {UP_SQL}, {NEAR_SQL}, {SCOPE_SQL}, {DAILY_SQL}
-    SELECT is_upstream, {DAY_SQL}, round(daily_fish_growth, 6) AS daily_fish_growth FROM daily""",
+    SELECT project, is_upstream, {DAY_SQL}, round(daily_fish_growth, 6) AS daily_fish_growth FROM daily""",
 )
 def network_daily(spark, folder):
     i = Inputs(spark, folder)
@@ -447,9 +448,10 @@ def network_daily(spark, folder):
 @query(
     "network_summary",
     f"""WITH RECURSIVE {UP_SQL}, {NEAR_SQL}, {SCOPE_SQL}, {DAILY_SQL}
-    SELECT f.flag AS is_upstream, round(coalesce(avg(daily_fish_growth), 0), 6) AS growth_mean,
+    SELECT p.project, f.flag AS is_upstream, round(coalesce(avg(daily_fish_growth), 0), 6) AS growth_mean,
            round(coalesce(var_samp(daily_fish_growth), 0), 6) AS growth_var
-    FROM (VALUES (TRUE), (FALSE)) f(flag) LEFT JOIN daily ON daily.is_upstream = f.flag GROUP BY f.flag""",
+    FROM (SELECT DISTINCT project FROM daily) p CROSS JOIN (VALUES (TRUE), (FALSE)) f(flag)
+    LEFT JOIN daily ON daily.is_upstream = f.flag AND daily.project = p.project GROUP BY p.project, f.flag""",
 )
 def network_summary(spark, folder):
     i = Inputs(spark, folder)

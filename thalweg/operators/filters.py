@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import DECADE, DECADE_YEARS, ONE_YEAR, window_bounds, within_days
 from ..functions.numeric import parse_id
+from ..session import broadcast_if_small
 
 # The no-data marker, and the floor below which a reading is no data.
 NODATA = -999
@@ -90,7 +91,8 @@ def selected_reaches(area: DataFrame, selected_id: str, strip: bool = True) -> D
 
 def select_feature(df: DataFrame, area: DataFrame, selected_id: str, strip: bool = True) -> DataFrame:
     """Readings of the selected watershed or reach."""
-    return df.join(selected_reaches(area, selected_id, strip), ["project", "comid"], "left_semi")
+    selected = broadcast_if_small(selected_reaches(area, selected_id, strip))
+    return df.join(selected, ["project", "comid"], "left_semi")
 
 
 def skip_processed(df: DataFrame, ledger: DataFrame, key: str = "huc10") -> DataFrame:

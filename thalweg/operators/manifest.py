@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metadata import unique_map
 from ..sources.manifests import (
+    UNREADABLE,
     ANALYSIS_CONTAINERS,
     DATASET_TAGS,
     LAYER_TAGS,
@@ -54,9 +55,9 @@ def _none(kind: str = "string") -> Column:
     return F.lit(None).cast(kind)
 
 
-def _parsed(manifests: DataFrame, **parts: bool) -> DataFrame:
+def _parsed(manifests: DataFrame, keep: tuple[str, ...] = (), **parts: bool) -> DataFrame:
     wanted = dict.fromkeys(("datasets", "layers", "meta", "bounds", "events"), False) | parts
-    return parse_project_xml(manifests.select("project_id", "xml"), **wanted)
+    return parse_project_xml(manifests.select("project_id", "xml", *keep), **wanted)
 
 
 def _rows(df: DataFrame, entries: Column, marker: str) -> DataFrame:
@@ -81,14 +82,22 @@ def _realizations() -> Column:
     return F.col("project.Realizations.Realization")
 
 
+def _numbered(x: Column, i: Column) -> Column:
+    """An id with its place in its list: ids may be missing or repeated."""
+    return F.concat(F.coalesce(x["_id"], F.lit("")), F.lit("#"), i.cast("string"))
+
+
 def _analyses() -> Column:
-    """Every analysis with the id of its realization."""
+    """Every analysis with the id of its realization, and where it stands."""
     return F.flatten(
         F.filter(
             F.transform(
                 _realizations(),
-                lambda r: F.transform(
-                    r["Analyses"]["Analysis"], lambda a: F.struct(r["_id"].alias("realization_id"), a.alias("a"))
+                lambda r, i: F.transform(
+                    r["Analyses"]["Analysis"],
+                    lambda a, j: F.struct(
+                        r["_id"].alias("realization_id"), a.alias("a"), _slash(_numbered(r, i), _numbered(a, j)).alias("spot")
+                    ),
                 ),
             ),
             lambda found: found.isNotNull(),
@@ -96,8 +105,9 @@ def _analyses() -> Column:
     )
 
 
-def _place(container: str, realization: Column, analysis: Column, data: Column) -> Column:
+def _place(container: str, realization: Column, analysis: Column, data: Column, spot: Column) -> Column:
     return F.struct(
+        spot.alias("spot"),
         F.lit(container).alias("container"),
         realization.alias("realization_id"),
         analysis.alias("analysis_id"),
@@ -108,18 +118,20 @@ def _place(container: str, realization: Column, analysis: Column, data: Column)
 def _places() -> Column:
     """Every dataset container of a document with its owner's ids."""
     return _concat(
-        F.array(_place("CommonDatasets", _none(), _none(), F.col("project.CommonDatasets"))),
+        F.array(_place("CommonDatasets", _none(), _none(), F.col("project.CommonDatasets"), F.lit("/"))),
         F.flatten(
             F.transform(
                 _realizations(),
-                lambda r: F.array(*[_place(c, r["_id"], _none(), r[c]) for c in REALIZATION_CONTAINERS]),
+                lambda r, i: F.array(
+                    *[_place(c, r["_id"], _none(), r[c], _slash(_numbered(r, i), _none())) for c in REALIZATION_CONTAINERS]
+                ),
             )
         ),
         F.flatten(
             F.transform(
                 _analyses(),
                 lambda x: F.array(
-                    *[_place(c, x["realization_id"], x["a"]["_id"], x["a"][c]) for c in ANALYSIS_CONTAINERS]
+                    *[_place(c, x["realization_id"], x["a"]["_id"], x["a"][c], x["spot"]) for c in ANALYSIS_CONTAINERS]
                 ),
             )
         ),
@@ -135,6 +147,7 @@ def dataset_entries(layers: bool, meta: bool) -> Column:
 
         def build(d: Column, i: Column) -> Column:
             fields = [
+                place["spot"].alias("spot"),
                 place["container"].alias("container"),
                 place["realization_id"].alias("realization_id"),
                 place["analysis_id"].alias("analysis_id"),
@@ -177,17 +190,19 @@ def _slash(*parts: Column) -> Column:
 
 def _dataset_place(d: Column) -> Column:
     """Where a dataset stands in its document; no other dataset stands there."""
-    return _slash(d["realization_id"], d["analysis_id"], d["container"], d["tag"], d["position"])
+    return _slash(d["spot"], d["container"], d["tag"], d["position"])
 
 
-def _with_datasets(manifests: DataFrame, layers: bool = False, meta: bool = False, **parts: bool) -> DataFrame:
-    parsed = _parsed(manifests, datasets=True, layers=layers, meta=meta, **parts)
+def _with_datasets(
+    manifests: DataFrame, layers: bool = False, meta: bool = False, keep: tuple[str, ...] = (), **parts: bool
+) -> DataFrame:
+    parsed = _parsed(manifests, keep, datasets=True, layers=layers, meta=meta, **parts)
     return parsed.withColumn("datasets", dataset_entries(layers, meta))
 
 
 def xml_datasets(manifests: DataFrame) -> DataFrame:
     """One row per dataset or dataset reference in any container."""
-    return _rows(_with_datasets(manifests), F.col("datasets"), "tag")
+    return _rows(_with_datasets(manifests), F.col("datasets"), "tag").drop("spot")
 
 
 def _layer_entries(meta: bool) -> Column:
@@ -245,9 +260,9 @@ def _all_metadata() -> Column:
     nested = lambda found: F.flatten(F.filter(found, lambda x: x.isNotNull()))
     return _concat(
         _meta_entries("project", _none(), F.col("project.MetaData.Meta")),
-        nested(F.transform(_realizations(), lambda r: _meta_entries("realization", r["_id"], r["MetaData"]["Meta"]))),
-        nested(F.transform(_analyses(), lambda x: _meta_entries("analysis", x["a"]["_id"], x["a"]["MetaData"]["Meta"]))),
-        nested(F.transform(_analyses(), lambda x: _meta_entries("metric", x["a"]["_id"], x["a"]["Metrics"]["Metric"]))),
+        nested(F.transform(_realizations(), lambda r, i: _meta_entries("realization", r["_id"], r["MetaData"]["Meta"], _numbered(r, i)))),
+        nested(F.transform(_analyses(), lambda x: _meta_entries("analysis", x["a"]["_id"], x["a"]["MetaData"]["Meta"], x["spot"]))),
+        nested(F.transform(_analyses(), lambda x: _meta_entries("metric", x["a"]["_id"], x["a"]["Metrics"]["Metric"], x["spot"]))),
         nested(F.transform("datasets", lambda d: _meta_entries("dataset", d["dataset_id"], d["meta"], _dataset_place(d)))),
         nested(F.transform("layers", lambda y: _meta_entries("layer", y["layer_name"], y["meta"], y["place"]))),
         nested(
@@ -259,9 +274,9 @@ def _all_metadata() -> Column:
     )
 
 
-def _with_all(manifests: DataFrame, bounds: bool = False) -> DataFrame:
+def _with_all(manifests: DataFrame, bounds: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     return (
-        _with_datasets(manifests, layers=True, meta=True, events=True, bounds=bounds)
+        _with_datasets(manifests, keep=keep, layers=True, meta=True, events=True, bounds=bounds)
         .withColumn("layers", _layer_entries(meta=True))
         .withColumn("metadata", _all_metadata())
     )
@@ -377,7 +392,11 @@ def _repeated_meta(where: Column, items: Column) -> Column:
 
 
 def xml_audit(manifests: DataFrame) -> DataFrame:
-    """Rule violations of each manifest: ``project_id, severity, rule, location``."""
+    """Rule violations of each manifest: ``project_id, severity, rule, location``.
+
+    A document that is missing or not well-formed has one: ``document
+    unreadable``; no other rule is applied to what is left of it.
+    """
     p, error = "project", "error"
     name = lambda x, key="Name": _clean(x[key])
     common_ids = F.transform(
@@ -475,16 +494,14 @@ def xml_audit(manifests: DataFrame) -> DataFrame:
     )
     odd = F.transform(F.filter(layers, lambda y: ~y["tag"].isin(*LAYER_TAGS)), lambda y: y["layer"])
     groups.append(_findings(odd, lambda layer: [_finding(error, "layer type invalid", layer, F.lit(True))]))
-    found = F.filter(_concat(*groups), lambda f: f.isNotNull())
+    broken = F.col(f"{p}.{UNREADABLE}").isNotNull() | F.col("xml").isNull()
+    unreadable = F.array(_finding(error, "document unreadable", _none(), F.lit(True)))
+    found = F.when(broken, unreadable).otherwise(F.filter(_concat(*groups), lambda f: f.isNotNull()))
     return _rows(_with_all(manifests, bounds=True), found, "rule")
 
 
-def manifest_parts(manifests: DataFrame) -> DataFrame:
-    """Every comparable part of a document: ``project_id, kind, address, content``.
-
-    The address holds the place, id and position, so it names one part; the
-    content is everything that equality looks at.
-    """
+def _parts() -> Column:
+    """The comparable parts of a document as an array; needs the columns of ``_with_all``."""
     text = lambda **fields: F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
 
     def part(kind: str, address: Column, content: Column) -> Column:
@@ -496,11 +513,11 @@ def manifest_parts(manifests: DataFrame) -> DataFrame:
     realizations = F.transform(
         _realizations(),
         lambda r, i: part(
-            "realization", _slash(r["_id"], i), text(**heads(r), date=r["_dateCreated"], version=_clean(r["_productVersion"]))
+            "realization", _numbered(r, i), text(**heads(r), date=r["_dateCreated"], version=_clean(r["_productVersion"]))
         ),
     )
     analyses = F.transform(
-        _analyses(), lambda x, i: part("analysis", _slash(x["realization_id"], x["a"]["_id"], i), text(**heads(x["a"])))
+        _analyses(), lambda x: part("analysis", x["spot"], text(**heads(x["a"])))
     )
     datasets = F.transform(
         "datasets",
@@ -530,22 +547,51 @@ def manifest_parts(manifests: DataFrame) -> DataFrame:
             text(name=m["name"], value=m["value"], type=m["type"], ext=m["ext"], locked=m["locked"]),
         ),
     )
-    parts = _concat(own, realizations, analyses, datasets, layers, metadata)
-    return _rows(_with_all(manifests), parts, "kind")
+    return _concat(own, realizations, analyses, datasets, layers, metadata)
+
+
+def manifest_parts(manifests: DataFrame) -> DataFrame:
+    """Every comparable part of a document: ``project_id, kind, address, content``.
+
+    The address holds the place, id and position, so it names one part; the
+    content is everything that equality looks at.
+    """
+    return _rows(_with_all(manifests), _parts(), "kind")
 
 
 def manifest_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Parts by which two versions of each project's manifest differ; equal trees give no rows."""
-    keys = ["project_id", "kind", "address"]
-    a = manifest_parts(left).withColumnRenamed("content", "left_content")
-    b = manifest_parts(right).withColumnRenamed("content", "right_content")
-    status = (
-        F.when(F.col("left_content").isNull(), "added")
-        .when(F.col("right_content").isNull(), "removed")
-        .otherwise("changed")
+    """Parts by which two versions of each project's manifest differ; equal trees give no rows.
+
+    The two documents meet in one row; equal texts are left at once and of the
+    others only the differing parts are compared by address.  A document that
+    cannot be read has no parts but an empty project.
+    """
+    sides = [df.select("project_id", F.col("xml").alias(name)) for df, name in ((left, "left_xml"), (right, "right_xml"))]
+    both = sides[0].join(sides[1], "project_id", "full_outer")
+    both = both.where(~F.col("left_xml").eqNullSafe(F.col("right_xml")))
+    kept = ["project_id"]
+    for side, other in (("left", ["right_xml"]), ("right", [])):
+        parsed = _with_all(both.withColumn("xml", F.col(f"{side}_xml")), keep=tuple(kept[1:] + other))
+        none = F.array().cast("array<struct<kind:string,address:string,content:string>>")
+        parts = F.when(F.col("xml").isNotNull(), _parts()).otherwise(none)
+        kept.append(f"{side}_parts")
+        both = parsed.withColumn(f"{side}_parts", parts).select(*kept, *other)
+    both = both.select(
+        "project_id",
+        F.array_except("left_parts", "right_parts").alias("gone"),
+        F.array_except("right_parts", "left_parts").alias("come"),
     )
-    return (
-        a.join(b, keys, "full_outer")
-        .where(~F.col("left_content").eqNullSafe(F.col("right_content")))
-        .select(*keys, "left_content", "right_content", status.alias("status"))
+    same = lambda x, y: (x["kind"] == y["kind"]) & (x["address"] == y["address"])
+    entry = lambda x, a, b, status: F.struct(
+        x["kind"].alias("kind"), x["address"].alias("address"), a.alias("left_content"), b.alias("right_content"), status.alias("status")
+    )
+
+    def changed(x: Column) -> Column:
+        found = F.get(F.filter("come", lambda y: same(x, y)), F.lit(0))
+        return entry(x, x["content"], found["content"], F.when(found.isNull(), "removed").otherwise("changed"))
+
+    added = F.filter("come", lambda y: ~F.exists("gone", lambda x: same(x, y)))
+    rows = _concat(
+        F.transform("gone", changed), F.transform(added, lambda y: entry(y, _none(), y["content"], F.lit("added")))
     )
+    return _rows(both, rows, "kind")

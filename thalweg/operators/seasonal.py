@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import SEASONS, in_season
 from ..functions.growth import Curve, growth
-from ..session import is_small
+from ..session import broadcast_if_small, is_small
 from .filters import decade_window, drop_nodata, selected_reaches
 
 REACH_KEYS = ("project", "comid")
@@ -100,7 +100,7 @@ def feature_export(readings: DataFrame, area: DataFrame, selected_id: str, year:
 def huc12_tagged(readings: DataFrame, area: DataFrame) -> DataFrame:
     """Readings with the sub-watershed of their reach; repeated catchments repeat readings."""
     catchments = area.select("project", F.col("featureid").cast("bigint").alias("comid"), "HUC12")
-    return readings.join(catchments, list(REACH_KEYS), "left")
+    return readings.join(broadcast_if_small(catchments), list(REACH_KEYS), "left")
 
 
 def reach_map_table(area: DataFrame, stats: DataFrame) -> DataFrame:

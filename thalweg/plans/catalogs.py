@@ -354,11 +354,13 @@ def hucs_with_project(spark, folder):
 
 @query(
     "task_costs",
-    """SELECT j.name AS job_name, t.cpu, t.memory, t.name AS task_name, t.status,
-        round((t.ended_on - t.started_on) / 1000.0, 0) AS "durationS",
-        round((t.cpu / CAST(1024 AS DOUBLE) * CAST(0.04048 AS DOUBLE) + t.memory / CAST(1000 AS DOUBLE) * CAST(0.004445 AS DOUBLE))
-              * ((t.ended_on - t.started_on) / CAST(3600000 AS DOUBLE)), 2) AS estimated_cost
-    FROM cc_jobs j JOIN cc_tasks t ON j.jid = t.jid WHERE j.task_script_id = '1-URGENT' AND j.task_def_id = 'O'""",
+    """WITH prices AS (SELECT CAST(0.04048 AS DOUBLE) AS core_hour, CAST(0.004445 AS DOUBLE) AS gigabyte_hour),
+    wanted AS (SELECT jid, name AS job_name FROM cc_jobs WHERE task_def_id = 'O' AND task_script_id = '1-URGENT'),
+    used AS (SELECT jid, name AS task_name, status, cpu, memory, (ended_on - started_on) / CAST(1000 AS DOUBLE) AS seconds,
+        CAST(cpu AS DOUBLE) / 1024 AS cores, CAST(memory AS DOUBLE) / 1000 AS gigabytes FROM cc_tasks),
+    priced AS (SELECT used.*, seconds / 3600 AS hours, cores * core_hour + gigabytes * gigabyte_hour AS per_hour FROM used, prices)
+    SELECT job_name, task_name, status, cpu, memory, round(seconds, 0) AS "durationS", round(per_hour * hours, 2) AS estimated_cost
+    FROM priced JOIN wanted USING (jid)""",
 )
 def task_costs(spark, folder):
     i = Inputs(spark, folder)
@@ -468,7 +470,7 @@ def pick_files(spark, folder):
        " FROM contributing_area) GROUP BY project")
 def list_files_query(spark, folder):
     root = Inputs(spark, folder).written_geopackages()
-    return list_files(spark, root, "*.gpkg").where("length > 0").groupBy("project").agg(F.count(F.lit(1)).alias("files"))
+    return list_files(spark, root, "*.gpkg").groupBy("project").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query(
@@ -497,12 +499,24 @@ def etag_column(spark, folder):
     return docs.select("doc_id", F.octet_length("text").cast("bigint").alias("length"), etag(F.col("text").cast("binary"), 1000, 3000).alias("etag"))
 
 
-@query("file_etag")
+SHELF = "CASE WHEN doc_id % 50 = 0 THEN 100 + doc_id ELSE doc_id % 7 END"
+
+
+@query(
+    "file_etag",
+    f"""WITH f AS (SELECT {SHELF} AS shelf, encode(string_agg(text || chr(10), '' ORDER BY doc_id)) AS data FROM documents GROUP BY 1),
+    n AS (SELECT shelf, data, octet_length(data) AS length, CAST(ceil(octet_length(data) / 4096.0) AS BIGINT) AS parts FROM f)
+    SELECT shelf, length, concat('"', CASE WHEN length < 65536 THEN md5(data) ELSE concat(md5(unhex(array_to_string(
+        list_transform(range(0, parts), lambda i: md5(unhex(substr(hex(data), i * 8192 + 1, 8192)))), ''))), '-', CAST(parts AS VARCHAR)) END,
+        '"') AS etag FROM n""",
+)
 def file_etag(spark, folder):
     """Entity tags of files written from the documents, large ones digested part by part."""
     root = fresh_folder(spark, "texts")
-    Inputs(spark, folder).documents.select("source", "text").write.partitionBy("source").text(root)
-    return file_digests(spark, root, part_bytes=4096, threshold=65536, pattern="*.txt")
+    shelved = Inputs(spark, folder).documents.selectExpr(f"{SHELF} AS shelf", "doc_id", "text")
+    shelved.repartition("shelf").sortWithinPartitions("shelf", "doc_id").select("shelf", "text").write.partitionBy("shelf").text(root)
+    found = file_digests(spark, root, part_bytes=4096, threshold=65536, pattern="*.txt")
+    return found.select(F.regexp_extract("path", "shelf=([0-9]+)/", 1).cast("bigint").alias("shelf"), "length", "etag")
 
 
 @query(
@@ -533,8 +547,7 @@ def file_sync_plan(spark, folder):
 def sidecar_files(spark, folder):
     files = Inputs(spark, folder).project_files
     datasets = files.where("localPath LIKE '%.tif'").select("project_id", F.col("localPath").alias("dataset_path"))
-    found = filesync.sidecar_files(files.where("localPath IS NOT NULL"), datasets)
-    return found.where("localPath NOT LIKE '%.gpkg'")
+    return filesync.sidecar_files(files.where("localPath IS NOT NULL"), datasets)
 
 
 @query(
@@ -611,12 +624,14 @@ def xml_layers(spark, folder):
         CASE WHEN o_orderstatus = 'P' THEN 'number' ELSE 'int' END, TRUE FROM orders
     UNION ALL SELECT {P}, 'project', NULL, 'Empty', '', NULL, FALSE FROM orders
     UNION ALL SELECT {P}, 'dataset', 'g1', 'Rows', CAST(o_custkey AS STRING), NULL, FALSE FROM orders
-    UNION ALL SELECT {P}, 'metric', 'a1', 'price', 'price', 'float', FALSE FROM orders""",
+    UNION ALL SELECT {P}, 'metric', 'a1', 'price', CAST(CAST(round(o_totalprice, 2) AS DECIMAL(18, 2)) AS VARCHAR), 'float', FALSE
+        FROM orders""",
 )
 def xml_metadata(spark, folder):
     rows = manifest.xml_metadata(Inputs(spark, folder).manifests)
-    # The engines write prices differently, so only their presence is compared.
-    value = F.when((F.col("level") == "metric") & F.col("value").try_cast("double").isNotNull(), "price").otherwise(F.col("value"))
+    # The engines write prices differently: they are compared as numbers of two decimals.
+    price = F.round(F.col("value").try_cast("double"), 2).cast("decimal(18,2)").cast("string")
+    value = F.when(F.col("level") == "metric", price).otherwise(F.col("value"))
     return rows.select("project_id", "level", "owner", "name", value.alias("value"), "type", "locked")
 
 
@@ -671,7 +686,7 @@ def xml_audit(spark, folder):
 
 @query(
     "manifest_diff",
-    f"""SELECT {P} AS project_id, 'dataset' AS kind, concat({R}, '//Outputs/Vector/1') AS address, 'changed' AS status
+    f"""SELECT {P} AS project_id, 'dataset' AS kind, concat({R}, '#0//Outputs/Vector/1') AS address, 'changed' AS status
     FROM orders WHERE o_orderstatus = 'F'""",
 )
 def manifest_diff(spark, folder):

@@ -100,8 +100,9 @@ def growth_points(spark, folder):
         "p_type", F.col("p_size").alias("Temperature.C"), F.col("p_retailprice").alias("Specific.Growth.Rate.g.g.d")
     )
     parts.write.partitionBy("p_type").option("header", "true").csv(root)
-    species = [r[0] for r in parts.select("p_type").distinct().collect()]
-    return read_growth_curves(spark, {s: f"{root}/p_type={s}" for s in species})
+    # one folder per species: the few names come from the written folders, not from the rows
+    folders = spark.read.text(root, wholetext=True).select("p_type").distinct().collect()
+    return read_growth_curves(spark, {r[0]: f"{root}/p_type={r[0]}" for r in folders})
 
 
 # --- filters ---------------------------------------------------------------
@@ -326,16 +327,31 @@ def growth_curve(spark, folder):
     )
 
 
-@query("fit_growth")
+@query(
+    "fit_growth",
+    """SELECT l_returnflag AS species, round(min(l_quantity) * 0.6, 6) AS low, round(max(l_quantity) * 0.6, 6) AS high, power,
+        CAST(0 AS DOUBLE) AS rest FROM lineitem CROSS JOIN (SELECT unnest(range(0, 7)) AS power) GROUP BY l_returnflag, power""",
+)
 def fit_growth(spark, folder):
-    """A curve per return flag through discount against temperature."""
+    """A curve per return flag through discount against temperature.
+
+    The fit is the least squares one exactly if what it leaves of the rates has
+    no part along any power of the temperature: each such sum is compared with zero.
+    """
     points = Inputs(spark, folder).lineitem.select(
         F.col("l_returnflag").alias("species"),
         (F.col("l_quantity") * 0.6).alias("temperature"),
         F.col("l_discount").alias("growth_rate"),
     )
     fits = fitting.fit_growth_curve(points)
-    return fits.select("species", "low", "high", F.posexplode("coefficients").alias("power", "coefficient"))
+    u = (2 * F.col("temperature") - F.col("low") - F.col("high")) / (F.col("high") - F.col("low"))
+    left = points.join(F.broadcast(fits), "species").withColumn("u", u)
+    fitted = F.aggregate(F.reverse("scaled_coefficients"), F.lit(0.0), lambda total, c: total * F.col("u") + c)
+    left = left.withColumn("left", F.col("growth_rate") - fitted)
+    powers = F.array(*[F.sum(F.pow("u", F.lit(k)) * F.col("left")) for k in range(7)])
+    sums = left.groupBy("species", "low", "high").agg(powers.alias("sums"))
+    return sums.select("species", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"),
+                       F.posexplode("sums").alias("power", "rest")).withColumn("rest", F.round("rest", 6) + F.lit(0.0))
 
 
 # --- one year, one network ---------------------------------------------------

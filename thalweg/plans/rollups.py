@@ -29,7 +29,7 @@ SUMMARY_SQL = {
     rollup.SUM_METRIC: "sum(v)",
     rollup.MULTIPLIED_BY_LENGTH: "sum(v * len)",
     rollup.MULTIPLIED_BY_AREA: "sum(v * area)",
-    rollup.SUM_AREA_ZERO_COUNT: "coalesce(sum(CASE WHEN v = 0 THEN area ELSE 0 END), 0)",
+    rollup.SUM_AREA_ZERO_COUNT: "coalesce(sum(area) FILTER (WHERE v = 0), 0)",
 }
 
 
@@ -120,17 +120,18 @@ def _summary_sql() -> str:
         FROM dgos d JOIN dgo_metric_values ms ON ms.dgo_id = d.fid AND ms.metric_id = 2
         JOIN s ON CAST(s.code AS DOUBLE) = ms.metric_value JOIN f ON f.code = d.FCode)
     SELECT huc10, state_id, flow_id, metric_id, {cells} FROM (
-        SELECT b.*, m.metric_id, m.metric_value AS v FROM base b JOIN dgo_metric_values m ON m.dgo_id = b.fid
-        WHERE m.metric_id IN {SUMMARY_IDS}) GROUP BY huc10, state_id, flow_id, metric_id"""
+        SELECT b.huc10, b.state_id, b.flow_id, k.metric_id, m.metric_value AS v,
+            CASE WHEN m.dgo_id IS NOT NULL THEN b.len END AS len, CASE WHEN m.dgo_id IS NOT NULL THEN b.area END AS area
+        FROM base b CROSS JOIN (SELECT unnest([{', '.join(map(str, SUMMARY_IDS))}]) AS metric_id) k
+        LEFT JOIN dgo_metric_values m ON m.dgo_id = b.fid AND m.metric_id = k.metric_id)
+    GROUP BY huc10, state_id, flow_id, metric_id"""
 
 
 @query("metric_summaries", _summary_sql())
 def metric_summaries(spark, folder):
     i = Inputs(spark, folder)
     table = rollup.metric_summaries(i.dgos, i.dgo_metric_values, i.us_states, i.flows, SUMMARY_IDS)
-    # A group without any row of a metric has no summary to compare.
-    present = table.where(F.col("sum_metric_value").isNotNull())
-    return present.select(
+    return table.select(
         "huc10", "state_id", "flow_id", "metric_id",
         *[F.round(m, 4 if "avg" in m else 2).alias(m) for m in rollup.METHODS],
     )

@@ -1,8 +1,9 @@
 """Geopackage layers as a Spark data source.
 
-A geopackage is an SQLite file.  Each file is split by row id into pieces of
-about ``split_bytes``, so many files, or one very large file, are read by many
-tasks.  Files on object stores or HDFS are copied to the task's own disk first.
+A geopackage is an SQLite file.  On mounted file systems each file is split by
+row id into pieces of about ``split_bytes``, so one very large file is read by
+many tasks.  On object stores or HDFS a file is one piece, which its task copies
+to its own disk once: no bytes are fetched twice.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ class _LayerReader(DataSourceReader):
         return [
             _Piece(path, i, pieces)
             for path, size in self.files
-            for pieces in [max(1, -(-size // self.split))]
+            for pieces in [max(1, -(-size // self.split)) if path.startswith("file:") else 1]
             for i in range(pieces)
         ]
 
@@ -217,4 +218,4 @@ def with_project(layer: DataFrame, root: str) -> DataFrame:
     """Tag layer rows with the project folder that their file lies in."""
     from .readings import project_of
 
-    return layer.withColumn("project", project_of(root, F.col("source_path"))).drop("source_path")
+    return layer.withColumn("project", project_of(layer.sparkSession, root, F.col("source_path"))).drop("source_path")

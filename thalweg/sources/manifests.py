@@ -113,10 +113,19 @@ def project_schema(
     return DataType.fromDDL(_struct(project))
 
 
+#: Field of a parsed manifest that holds the text of a document which is not well-formed.
+UNREADABLE = "_unreadable"
+
+
 def parse_project_xml(df: DataFrame, column: Column | str = "xml", **parts: bool) -> DataFrame:
-    """Add ``project``, the typed content of a column of manifest text (see ``project_schema``)."""
+    """Add ``project``, the typed content of a column of manifest text (see ``project_schema``).
+
+    A broken document has its text in ``project._unreadable`` and nothing else
+    that can be relied on; ``manifest.xml_audit`` reports it.
+    """
     text = F.col(column) if isinstance(column, str) else column
-    return df.withColumn("project", F.from_xml(text, project_schema(**parts), {"mode": "PERMISSIVE"}))
+    schema = project_schema(**parts).add(UNREADABLE, "string")
+    return df.withColumn("project", F.from_xml(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": UNREADABLE}))
 
 
 def read_project_xml(spark: SparkSession, path: str, pattern: str = "*.rs.xml") -> DataFrame:

@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .paths import empty_files
 
 
-def project_of(root: str, path: Column) -> Column:
-    """Name of the folder right under ``root`` that holds the file."""
-    marker = "/" + root.rstrip("/").split("/")[-1] + "/"
-    below = F.substring_index(path, marker, -1)
-    folder = F.substring_index(below, "/", 1)
-    return F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme and authority, as Spark names files below it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/")
+
+
+def project_of(spark: SparkSession, root: str, path: Column, encoded: bool = False) -> Column:
+    """Name of the folder right under ``root`` that holds the file; null for a file elsewhere.
+
+    ``encoded`` says that the path is written as in ``_metadata.file_path``,
+    with percent signs for special characters; others are taken literally.
+    """
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
+    # one slash after the scheme or several: both spellings name the same file
+    tidy = F.regexp_replace(plain, "^([A-Za-z][A-Za-z0-9+.-]*:)/+", "$1/")
+    top = re.sub("^([A-Za-z][A-Za-z0-9+.-]*:)/+", r"\1/", qualified(spark, root)) + "/"
+    below = F.when(F.startswith(tidy, F.lit(top)), F.substring(tidy, F.lit(len(top) + 1), F.length(tidy)))
+    return F.substring_index(below, "/", 1)
 
 
 def read_daily_temp(spark: SparkSession, root: str, pattern: str = "*.gz") -> DataFrame:
@@ -23,7 +37,7 @@ def read_daily_temp(spark: SparkSession, root: str, pattern: str = "*.gz") -> Da
     """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).parquet(root)
     return files.select(
-        project_of(root, F.col("_metadata.file_path")).alias("project"),
+        project_of(spark, root, F.col("_metadata.file_path"), encoded=True).alias("project"),
         F.col("comid").cast("bigint").alias("comid"),
         "date",
         F.col("stream_temp").cast("double").alias("stream_temp"),
@@ -40,4 +54,4 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
     none = spark.createDataFrame([(name, 0) for name in empty_files(root, pattern)], "path string, length bigint")
     found = files.select("path", "length").unionByName(none)
-    return found.select(project_of(root, F.col("path")).alias("project"), "path", "length")
+    return found.select(project_of(spark, root, F.col("path")).alias("project"), "path", "length")

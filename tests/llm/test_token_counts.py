@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ def test_random_edits(coder, library, monkeypatch):
     letters = "abc de  fg\n\n\t'sé!漢🙂12 "
     for _ in range(300):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(200)))
-        tree = token_counts.Tree(*map(np.array, token_counts.measure(text, coder)))
+        tree = token_counts.Tree(*token_counts.measure(text, coder))
         for _ in range(12):
             start = rng.randrange(len(text) + 3)
             stop = start + rng.choice((0, 0, 1, 2, 5, 40))
@@ -44,7 +43,7 @@ def test_random_edits(coder, library, monkeypatch):
 
 def test_an_edit_of_a_long_text_is_local(coder, library):
     text = "some words and more of them, again. " * 20_000
-    tree = token_counts.Tree(*map(np.array, token_counts.measure(text, coder)))
+    tree = token_counts.Tree(*token_counts.measure(text, coder))
     work = token_counts.Work()
     text = token_counts.edit(text, tree, 300_000, 300_004, "changed", coder, work)
     assert tree.tokens == len(library.encode(text, add_special_tokens=False).ids)
@@ -67,6 +66,9 @@ def test_against_the_library(spark, folder, library):
         want.append((r.doc_id, n[0], 4, n[1], len(text)))
     got = [tuple(r)[:5] for r in token_counts.edited_counts(given, PATH).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    index = token_counts.indexed(plain, PATH)
+    kept = index.withColumn("edits", token_counts.review_edits(F.char_length("text"), F.coalesce("doc_id", F.lit(-1))))
+    assert sorted((tuple(r)[:5] for r in token_counts.recounted(kept, PATH).collect()), key=str) == sorted(want, key=str)
 
 
 def test_empty_table(spark):

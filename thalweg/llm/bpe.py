@@ -50,11 +50,12 @@ class Automaton:
         self.barred: dict[tuple[int, int], int] = {}
         #: transitions: behind each token, whether another may follow; entries are made when first needed
         self.rows: dict[int, dict[int, bool]] = {i: {} for i in self.label}
-        #: longest token by its last byte
-        self.reach = [0] * 256
+        #: longest arc by its first two bytes (or the only one)
+        self.reach: dict[bytes, int] = {}
         for b in tokens:
-            if b:
-                self.reach[b[-1]] = max(self.reach[b[-1]], len(b))
+            self.reach[b[:2]] = max(self.reach.get(b[:2], 1), len(b))
+        #: for each token the longest shorter one that it begins with; filled in when first needed
+        self.shorter: dict[int, int] = {}
 
     def _add_gadget(self, time: int, a: int, b: int, c: int) -> None:
         self.cut.setdefault((a, b), time)
@@ -80,35 +81,58 @@ class Automaton:
         self.barred[key] = time
         return time
 
+    def longest(self, word: bytes, at: int) -> int:
+        """The longest arc that spells the word from a place on; -1 if there is none."""
+        find = self.ids.get
+        for size in range(min(self.reach.get(word[at : at + 2], 1), len(word) - at), 0, -1):
+            token = find(word[at : at + size])
+            if token is not None:
+                return token
+        return -1
+
+    def prefix(self, token: int) -> int:
+        found = self.shorter.get(token)
+        if found is None:
+            label = self.label[token]
+            found = self.shorter[token] = next((self.ids[label[:n]] for n in range(len(label) - 1, 0, -1) if label[:n] in self.ids), -1)
+        return found
+
     def encode(self, word: bytes) -> tuple[int, ...]:
-        """Labels of the one path that spells the word."""
-        find, rows, n = self.ids.get, self.rows, len(word)
+        """Labels of the one path that spells the word.
+
+        Transitions are tried from the longest arc on.  A place that no path
+        goes on from is not entered again, so the work is linear in the word.
+        """
+        n = len(word)
         if not n:
             return ()
-        last = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.reach[word[end - 1]]), end):
-                token = find(word[start:end])
-                if token is None:
-                    continue
-                if start:
-                    before = last[start]
-                    if before < 0:
-                        continue
-                    follows = rows[before].get(token)
-                    if follows is None:
-                        follows = rows[before][token] = self.barred_from(before, token) == NEVER
-                    if not follows:
-                        continue
-                last[end] = token
-                break
-        path, at = [], n
-        while at:
-            if last[at] < 0:
-                raise ValueError("the vocabulary has no token for a byte")
-            path.append(last[at])
-            at -= len(self.label[last[at]])
-        return tuple(reversed(path))
+        rows, label, dead = self.rows, self.label, set()
+        path: list[int] = []
+        at, token = 0, self.longest(word, 0)
+        while at < n:
+            if token < 0:
+                if not path:
+                    raise ValueError("the vocabulary has no token for a byte")
+                dead.add(at)
+                token = path.pop()
+                at -= len(label[token])
+                token = self.prefix(token)
+                continue
+            end = at + len(label[token])
+            if path:
+                row = rows[path[-1]]
+                follows = row.get(token)
+                if follows is None:
+                    follows = row[token] = self.barred_from(path[-1], token) == NEVER
+            else:
+                follows = True
+            if follows and end not in dead:
+                path.append(token)
+                at = end
+                token = self.longest(word, at) if at < n else -1
+            else:
+                token = self.prefix(token)
+        return tuple(path)
 
 
 def _runs(codes: list[int]) -> str:

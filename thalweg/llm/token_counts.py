@@ -20,7 +20,7 @@ from .bpe import coder_factory
 from .common import map_texts, slices, whole_text
 
 #: Pre-tokens of a leaf when a tree is made.
-LEAF = 64
+LEAF = 16
 #: How far behind its end the rules for a pre-token look, in characters.
 LOOK = 2
 
@@ -75,17 +75,17 @@ class Tree:
             node //= 2
 
 
-def measure(text: str, coder, work: Work | None = None) -> tuple[list[int], list[int]]:
+def measure(text: str, coder, work: Work | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Characters and tokens of each leaf of a new tree."""
-    chars, tokens = [], []
     words = coder.splitter.pattern(text).findall(text)
-    for start in range(0, len(words), LEAF):
-        leaf = words[start : start + LEAF]
-        chars.append(sum(map(len, leaf)))
-        tokens.append(sum(len(coder.known[w]) for w in leaf))
     if work:
         work.pretokens += len(words)
-    return chars, tokens
+    starts = np.arange(0, len(words), LEAF)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    chars = np.fromiter(map(len, words), np.int64, len(words))
+    tokens = np.fromiter(map(len, map(coder.known.__getitem__, words)), np.int64, len(words))
+    return np.add.reduceat(chars, starts), np.add.reduceat(tokens, starts)
 
 
 def edit(text: str, tree: Tree, start: int, stop: int, new: str, coder, work: Work) -> str:
@@ -100,7 +100,7 @@ def edit(text: str, tree: Tree, start: int, stop: int, new: str, coder, work: Wo
     stop = min(max(stop, start), len(text))
     after = text[:start] + new + text[stop:]
     if not tree.leaves:
-        fresh = Tree(*map(np.array, measure(after, coder, work)))
+        fresh = Tree(*measure(after, coder, work))
         tree.__dict__.update(fresh.__dict__)
         return after
     first, begin = tree.leaf_at(max(start - LOOK - 1, 0))
@@ -141,7 +141,7 @@ def indexed(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",
 
     def function(texts, coder):
         made = [measure(t or "", coder) for t in texts]
-        return {"leaf_chars": [c for c, _ in made], "leaf_tokens": [t for _, t in made]}
+        return {"leaf_chars": [c.tolist() for c, _ in made], "leaf_tokens": [t.tolist() for _, t in made]}
 
     return map_texts(docs, function, INDEX, keep, coder_factory(docs, vocabulary))
 
@@ -158,29 +158,36 @@ EDITED = T.StructType(
 )
 
 
-def recounted(index: DataFrame, vocabulary: str) -> DataFrame:
-    """Counts before and after the edits of each row of an index.
-
-    ``edits`` is an array of ``start``, ``stop`` and ``text``, applied one after
-    the other, each to the text that the ones before have left.
-    """
+def _recounted(docs: DataFrame, vocabulary: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow, setup = to_arrow_schema(EDITED), coder_factory(index, vocabulary)
+    arrow, setup = to_arrow_schema(EDITED), coder_factory(docs, vocabulary)
+    stored_trees = "leaf_chars" in docs.columns
 
     def run(batches):
         coder = setup()
         for part in slices(batches):
             out = []
-            for row in part.to_pylist():
-                text, tree, work = row["text"], Tree(np.array(row["leaf_chars"], np.int64), np.array(row["leaf_tokens"], np.int64)), Work()
+            ids, texts, edits = (part.column(c).to_pylist() for c in ("doc_id", "text", "edits"))
+            trees = zip(*(part.column(c).to_pylist() for c in ("leaf_chars", "leaf_tokens"))) if stored_trees else (measure(t or "", coder) for t in texts)
+            for doc_id, text, changes, leaves in zip(ids, texts, edits, trees):
+                text, tree, work = text or "", Tree(*(np.asarray(x if x is not None else [], np.int64) for x in leaves)), Work()
                 before = tree.tokens
-                for e in row["edits"] or []:
+                for e in changes or []:
                     text = edit(text, tree, e["start"] or 0, e["stop"] or 0, e["text"] or "", coder, work)
-                out.append((row["doc_id"], before, len(row["edits"] or []), tree.tokens, tree.chars, work.pretokens))
+                out.append((doc_id, before, len(changes or []), tree.tokens, tree.chars, work.pretokens))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    return index.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits").mapInArrow(run, EDITED)
+    return docs.mapInArrow(run, EDITED)
+
+
+def recounted(index: DataFrame, vocabulary: str) -> DataFrame:
+    """Counts before and after the edits of each row of a stored index.
+
+    ``edits`` is an array of ``start``, ``stop`` and ``text``, applied one after
+    the other, each to the text that the ones before have left.
+    """
+    return _recounted(index.select("doc_id", "text", "leaf_chars", "leaf_tokens", "edits"), vocabulary)
 
 
 def review_edits(size, key):
@@ -200,4 +207,5 @@ def edited_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     edits = review_edits(F.char_length("text"), F.coalesce("doc_id", F.lit(-1)))
-    return recounted(indexed(plain, vocabulary).withColumn("edits", edits), vocabulary)
+    # trees are made and edited in one pass over the texts
+    return _recounted(plain.withColumn("edits", edits), vocabulary)

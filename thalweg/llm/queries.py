@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, licenses, neighbours, pii, secrets, sharding, simhash, token_counts, toxicity
+from . import bpe, decontamination, licenses, neighbours, oracles, pii, secrets, sharding, simhash, token_counts, toxicity
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -50,12 +50,12 @@ def op5(spark, folder):
     return token_counts.edited_counts(table(spark, folder, "documents"), vocabulary())
 
 
-@query("op6_licenses")
+@query("op6_licenses", oracles.notices())
 def op6(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
 
 
-@query("op7_rendezvous")
+@query("op7_rendezvous", oracles.rendezvous())
 def op7(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"))
 

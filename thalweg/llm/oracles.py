@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, sharding
+from . import licenses, secrets, sharding
 
 #: The checksum's table and a text's bytes; a step of the checksum is one look-up.
 CRC = """byte_table AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(0, 8)),
@@ -43,3 +43,60 @@ def notices() -> str:
     SELECT d.doc_id, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses,
         coalesce(string_agg(name || ':' || word || ':' || round(share, 3), ',' ORDER BY name), '') AS matches
     FROM d LEFT JOIN best ON best.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+def secret_spans() -> str:
+    """The fixed forms, and the battery with its false-discovery control written over rows of characters."""
+    q, tau = secrets.ORDINARY_EQUAL, secrets.ORDINARY_CHANGE
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    forms = [
+        (k, quoted(p), f"regexp_extract_all(t, {quoted(p)}, {g})")
+        for k, (p, g) in enumerate([(secrets.ASSIGN, 2), (secrets.ACCESS, 0), (secrets.HEX, 0), (secrets.CANDIDATE, 0)])
+    ]
+    hits = " UNION ALL ".join(
+        f"SELECT r, {k} AS kind, regexp_extract_all(t, {p}) AS m, string_split_regex(t, {p}) AS gaps, {part} AS part FROM d WHERE regexp_matches(t, {p})"
+        for k, p, part in forms
+    )
+    per = lambda i: "CASE e " + " ".join(
+        f"WHEN '{k}' THEN {v[i] if i == 2 else quoted(v[i])}" for k, v in secrets.ENCODINGS.items()
+    ) + " END"
+    names = "['" + "', '".join(secrets.KINDS) + "']"
+    text = f"{names}[kind + 1] || ':' || start || ':' || stop"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    listed AS ({hits}),
+    hit AS (SELECT r, kind, m, gaps, part, unnest(range(1, len(m) + 1)) AS i FROM listed),
+    span AS (SELECT r, kind, m[i] AS s, length(part[i]) AS size, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM hit),
+    placed AS (SELECT r, kind, s, size, start, start + length(s) AS stop FROM span),
+    base AS (SELECT r, kind, start, stop FROM placed WHERE kind IN (1, 2) OR kind = 0 AND size >= {secrets.ASSIGN_LEAST}),
+    token AS (SELECT row_number() OVER () AS k, r, s, start, stop, least(4.0, greatest(0.25, CAST(length(s) AS DOUBLE) / 32)) AS weight
+        FROM placed p WHERE kind = 3
+        AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = p.r AND b.start < p.stop AND p.start < b.stop)),
+    coded AS (SELECT k, rtrim(s, '=') AS u, CASE WHEN regexp_full_match(s, '[0-9]+') THEN NULL
+        WHEN regexp_full_match(s, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(s, '[A-Z2-7]+=*') THEN 'base32' ELSE 'base64' END AS e FROM token),
+    one AS (SELECT k, e, u, unnest(range(1, length(u) + 1)) AS i FROM coded WHERE e IS NOT NULL),
+    digit AS (SELECT k, e, i, greatest(strpos({per(0)}, substr(u, i, 1)), strpos({per(1)}, substr(u, i, 1))) AS v,
+        CASE WHEN substr(u, i, 1) BETWEEN 'A' AND 'Z' THEN 1 WHEN substr(u, i, 1) BETWEEN 'a' AND 'z' THEN 2
+             WHEN substr(u, i, 1) BETWEEN '0' AND '9' THEN 3 ELSE 4 END AS c FROM one),
+    beside AS (SELECT *, lag(v) OVER w AS before, lag(c) OVER w AS c_before, avg(v) OVER (PARTITION BY k) AS mean FROM digit WINDOW w AS (PARTITION BY k ORDER BY i)),
+    sums AS (SELECT k, any_value(e) AS e, CAST(count(*) AS DOUBLE) AS n, min(v) AS least_v, CAST(count(*) FILTER (WHERE c <> c_before) AS DOUBLE) AS changes,
+        sum((v - mean) * (before - mean)) AS cov, sum((v - mean) * (v - mean)) AS var FROM beside GROUP BY k),
+    squares AS (SELECT k, sum(o * o) AS oo FROM (SELECT k, v, count(*) AS o FROM digit GROUP BY k, v) GROUP BY k),
+    read AS (SELECT k, n, changes, cov, var, CAST(length({per(0)}) AS DOUBLE) AS a, CAST({per(2)} AS DOUBLE) AS tau, oo
+        FROM sums JOIN squares USING (k) WHERE least_v > 0 AND n >= 16 AND var > 0),
+    off AS (SELECT *, a / n * oo - n AS chi FROM read),
+    z AS (SELECT k, n, (chi - (a - 1)) / sqrt(2 * (a - 1) * (n - 1) / n) AS zc,
+        (changes - (n - 1) * tau) / sqrt((n - 1) * tau * (1 - tau)) AS zr, (cov / var + 1 / (n - 1)) * sqrt(n) AS zs,
+        ((a + a * (n - 1) * {q} - n - chi) / sqrt(2 * a * a * (n - 1) / n * {q * (1 - q)})
+            + (changes - (n - 1) * {tau}) / sqrt((n - 1) * {tau * (1 - tau)})) / sqrt(2) AS z FROM off),
+    stepped AS (SELECT k, least({secrets.LAST_STEP}, floor({secrets.STEPS} * (CASE WHEN z <= 0.5 THEN 0.3
+        ELSE (z * z / 2 + ln(z * 2.506628)) / ln(10) END + log10(least(4.0, greatest(0.25, n / 32)))))) AS step
+        FROM z WHERE zc <= {secrets.BATTERY} AND abs(zr) <= {secrets.BATTERY} AND abs(zs) <= {secrets.BATTERY}),
+    tested AS (SELECT token.*, step, greatest(coalesce(step, 0), 0) AS place FROM token LEFT JOIN stepped USING (k)),
+    ranked AS (SELECT DISTINCT place, count(*) OVER (ORDER BY place DESC) AS above, count(*) OVER () AS n, sum(weight) OVER () AS w FROM tested),
+    least_step AS (SELECT min(place) AS first FROM ranked WHERE place > 0 AND pow(10.0, -place / {secrets.STEPS}) * w / n <= {secrets.FALSE_DISCOVERIES} * above / n),
+    everything AS (SELECT * FROM base UNION ALL SELECT r, 3, start, stop FROM tested, least_step WHERE step >= first)
+    SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+        sha256(coalesce(string_agg({text}, ',' ORDER BY start, kind, stop) FILTER (WHERE kind < 3), '')) AS base_sha256,
+        coalesce(string_agg({text}, ',' ORDER BY start, kind, stop), '') AS spans
+    FROM d LEFT JOIN everything x ON x.r = d.r GROUP BY d.r, d.doc_id"""

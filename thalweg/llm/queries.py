@@ -23,7 +23,7 @@ def op1(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
-@query("op2_secrets")
+@query("op2_secrets", oracles.secret_spans())
 def op2(spark, folder):
     return secrets.scan(table(spark, folder, "documents"))
 

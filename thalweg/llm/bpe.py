@@ -50,10 +50,11 @@ class Automaton:
         self.barred: dict[tuple[int, int], int] = {}
         #: transitions: behind each token, whether another may follow; entries are made when first needed
         self.rows: dict[int, dict[int, bool]] = {i: {} for i in self.label}
-        #: longest arc by its first two bytes (or the only one)
+        #: longest arc by its first four bytes; other arcs are shorter
         self.reach: dict[bytes, int] = {}
         for b in tokens:
-            self.reach[b[:2]] = max(self.reach.get(b[:2], 1), len(b))
+            if len(b) >= 4:
+                self.reach[b[:4]] = max(self.reach.get(b[:4], 0), len(b))
         #: for each token the longest shorter one that it begins with; filled in when first needed
         self.shorter: dict[int, int] = {}
 
@@ -84,7 +85,7 @@ class Automaton:
     def longest(self, word: bytes, at: int) -> int:
         """The longest arc that spells the word from a place on; -1 if there is none."""
         find = self.ids.get
-        for size in range(min(self.reach.get(word[at : at + 2], 1), len(word) - at), 0, -1):
+        for size in range(min(self.reach.get(word[at : at + 4], 3), len(word) - at), 0, -1):
             token = find(word[at : at + size])
             if token is not None:
                 return token

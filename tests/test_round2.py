@@ -121,3 +121,18 @@ def test_curve_files_have_their_own_columns(spark, tmp_path):
     two.write_text("Specific.Growth.Rate.g.g.d,Temperature.C\r\n0.25,3\r\n")
     got = sorted(tuple(r) for r in read_growth_curves(spark, {"one": str(one), "two": str(two)}).collect())
     assert got == [("one", 2.0, 0.5), ("two", 3.0, 0.25)]
+
+
+def test_rollup_reads_metric_rows_once(spark, folder, tmp_path):
+    from thalweg.operators import rollup
+    from thalweg.plans.inputs import Inputs
+
+    i = Inputs(spark, folder)
+    i.dgo_metric_values.write.parquet(str(tmp_path / "eav"))
+    eav = spark.read.parquet(str(tmp_path / "eav"))
+    table = rollup.dgo_rollup(i.dgos, eav, i.us_states, i.flows, i.owners, [rollup.MetricDef(3, rollup.SUM_METRIC, "x")])
+    table.collect()
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert "ReusedExchange" in final or final.count("/eav") == 1
+    assert final.count("metric_value") and final.count("FileScan parquet [dgo_id") <= 1

@@ -25,6 +25,7 @@ SUM_METRIC = "sum_metric_value"
 MULTIPLIED_BY_LENGTH = "multiplied_by_length"
 MULTIPLIED_BY_AREA = "multiplied_by_area"
 SUM_AREA_ZERO_COUNT = "sum_area_zero_count"
+# Names of the summaries.
 METHODS = (
     LENGTH_WEIGHTED_AVG,
     AREA_WEIGHTED_AVG,
@@ -69,43 +70,50 @@ ACRES_PER_SQUARE_METRE = 0.000247105
 MILES_PER_METRE = 0.000621371
 
 
-def segment_metrics(eav: DataFrame, metric_ids: Sequence[int]) -> DataFrame:
-    """One row per segment: value sum, row count and zero count of each metric.
+def segment_facts(eav: DataFrame, metric_ids: Sequence[int], lookups: Sequence[int] = (STATE_METRIC, OWNER_METRIC)) -> DataFrame:
+    """One row per segment, from one scan: value sum, row count and zero count of each metric, and ``codes``.
 
+    ``codes`` lists the lookup metrics' different values with their number of
+    rows.  Rows are counted per segment, metric and code before anything is
+    gathered, so a segment with very many rows is reduced where it is read.
     Rows whose value is null still count, as they do in the weighted averages.
     """
     value, metric = F.col("metric_value"), F.col("metric_id")
+    wanted = sorted({*metric_ids, *lookups})
+    code = F.when(metric.isin(*lookups), value.cast("string").try_cast("double"))
+    counted = (
+        eav.where(metric.isin(wanted))
+        .groupBy("dgo_id", "metric_id", code.alias("code"))
+        .agg(F.sum(value).alias("v"), F.count(F.lit(1)).alias("n"), F.count(F.when(value == 0, F.lit(1))).alias("z"))
+    )
     aggregates = []
     for m in sorted(set(metric_ids)):
         aggregates += [
-            F.sum(F.when(metric == m, value)).alias(f"v{m}"),
-            F.count(F.when(metric == m, F.lit(1))).alias(f"n{m}"),
-            F.count(F.when((metric == m) & (value == 0), F.lit(1))).alias(f"z{m}"),
+            F.sum(F.when(metric == m, F.col("v"))).alias(f"v{m}"),
+            F.coalesce(F.sum(F.when(metric == m, F.col("n"))), F.lit(0)).alias(f"n{m}"),
+            F.coalesce(F.sum(F.when(metric == m, F.col("z"))), F.lit(0)).alias(f"z{m}"),
         ]
-    return eav.where(metric.isin(sorted(set(metric_ids)))).groupBy("dgo_id").agg(*aggregates)
+    found = F.when(metric.isin(*lookups) & F.col("code").isNotNull(), F.struct("metric_id", "code", "n"))
+    return counted.groupBy("dgo_id").agg(*aggregates, F.collect_list(found).alias("codes"))
 
 
-def segment_matches(eav: DataFrame, metric_id: int, lookup: DataFrame, name: str) -> DataFrame:
-    """Segments and lookup ids with the number of metric rows that match: ``dgo_id, <name>_id, <name>_n``.
+def with_matches(facts: DataFrame, metric_id: int, lookup: DataFrame, name: str) -> DataFrame:
+    """A row for each of the segment's codes of the metric that a lookup row lists: ``<name>_id, <name>_n``.
 
-    Codes and values meet as numbers.  The lookup is small and its codes repeat
-    in the metric rows, so it is broadcast once its size is proven.
+    Codes and values meet as numbers.  Sums are linear in the counts, so codes
+    of one lookup row need not be added up first.
     """
     codes = (
         explode_codes(lookup)
-        .select(F.col("id").alias(f"{name}_id"), F.col("code").try_cast("double").alias("code"))
-        .where("code IS NOT NULL")
+        .select(F.col("id").alias(f"{name}_id"), F.col("code").try_cast("double").alias(f"{name}_code"))
+        .where(F.col(f"{name}_code").isNotNull())
         .distinct()
     )
-    rows = eav.where(F.col("metric_id") == metric_id).select(
-        "dgo_id", F.col("metric_value").cast("string").try_cast("double").alias("code")
-    )
-    counted = rows.where("code IS NOT NULL").groupBy("dgo_id", "code").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        counted.join(broadcast_if_small(codes), "code")
-        .groupBy("dgo_id", f"{name}_id")
-        .agg(F.sum("n").alias(f"{name}_n"))
+    own = F.filter("codes", lambda c: c["metric_id"] == metric_id)
+    rows = facts.withColumn("own", F.explode(own)).select(
+        *facts.columns, F.col("own.code").alias(f"{name}_code"), F.col("own.n").alias(f"{name}_n")
     )
+    return rows.join(broadcast_if_small(codes), f"{name}_code").drop(f"{name}_code")
 
 
 def _summary(method: str, metric_id: int, weight: Column) -> Column:
@@ -137,9 +145,9 @@ def dgo_rollup(
 ) -> DataFrame:
     """Counts, lengths, areas and metric summaries by state and flow, without and with owner.
 
-    Matching metric rows are counted per segment first and enter the sums as
-    weights, so no join multiplies rows and a segment with very many metric
-    rows is reduced before it is shuffled.
+    The metric rows are read once.  Matching ones are counted per segment first
+    and enter the sums as weights, so no join multiplies them and a segment
+    with very many rows is reduced before it is shuffled.
     """
     flow_codes = (
         explode_codes(flows).select(F.col("id").alias("flow_id"), F.col("code").alias("FCode")).distinct()
@@ -148,11 +156,9 @@ def dgo_rollup(
     flowing = segments.withColumn("FCode", F.col("FCode").cast("string")).join(
         broadcast_if_small(flow_codes), "FCode"
     )
-    wide = (
-        flowing.join(segment_matches(eav, STATE_METRIC, states, "state"), "dgo_id")
-        .join(segment_metrics(eav, [d.metric_id for d in metric_defs]), "dgo_id", "left")
-    )
-    owned = wide.join(segment_matches(eav, OWNER_METRIC, owners, "owner"), "dgo_id")
+    facts = segment_facts(eav, [d.metric_id for d in metric_defs])
+    wide = with_matches(flowing.join(facts, "dgo_id"), STATE_METRIC, states, "state")
+    owned = with_matches(wide, OWNER_METRIC, owners, "owner")
 
     def summed(rows: DataFrame, keys: list[str], weight: Column) -> DataFrame:
         return rows.groupBy(*by, *keys).agg(

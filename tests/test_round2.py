@@ -136,3 +136,14 @@ def test_rollup_reads_metric_rows_once(spark, folder, tmp_path):
     final = plan.split("Initial Plan")[0]
     assert "ReusedExchange" in final or final.count("/eav") == 1
     assert final.count("metric_value") and final.count("FileScan parquet [dgo_id") <= 1
+
+
+def test_ways_serve_many_searches(spark):
+    edges = spark.createDataFrame([(i + 1, i, 1.0) for i in range(40)] + [(100, 7, 2.0)], "comid long, tocomid long, length_km double")
+    ways = network.network_ways(edges, 50.0)
+    starts = spark.createDataFrame([(0,), (5,), (500,)], "comid long")
+    both = [{tuple(r) for r in network.upstream_many(e, starts, 12.0).collect()} for e in (edges, ways)]
+    assert both[0] == both[1] and (0, 12, 12.0) in both[0] and (500, 500, 0.0) in both[0] and (0, 13, 13.0) not in both[0]
+    assert {r.comid for r in network.upstream(ways, 35).collect()} == {35, 36, 37, 38, 39, 40}
+    with pytest.raises(ValueError):
+        network.upstream(ways, 1, 60.0)

@@ -6,6 +6,8 @@ start is the length of all reaches on the shortest way, without the start's own.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +33,27 @@ def _with_way(known: DataFrame, ways: DataFrame, max_km: float) -> DataFrame:
     )
 
 
-def upstream_many(edges: DataFrame, starts: DataFrame, max_km: float = MAX_KM) -> DataFrame:
-    """All reaches that drain to each start within ``max_km``: ``start, comid, distance_km``.
+@dataclass(frozen=True)
+class Ways:
+    """Stored ways of 1, 2, 4, ... steps between reaches, and the reaches, for any number of searches."""
+
+    levels: tuple[DataFrame, ...]
+    reaches: DataFrame
+    max_km: float
+
+
+def network_ways(edges: DataFrame, max_km: float = MAX_KM) -> Ways:
+    """The ways of a network of up to ``max_km``, built and stored once.
 
-    Ways of 1, 2, 4, ... steps are each built from two halves and stored, until
-    none is left; every number of steps is a sum of these, so a river of ten
-    thousand reaches takes fourteen rounds instead of ten thousand.  Parallel
-    channels keep the shortest way.  An unknown length (null or NaN) counts as
-    none: the reach and the river above it are kept.  A negative one fails the
-    job.  So the shortest way never repeats a reach and has fewer steps than
-    there are edges: that ends the search in data that runs in circles.  The
-    ways between members of a loop can be as many as its pairs within
-    ``max_km``; the limit is what bounds them.
+    Ways of 1, 2, 4, ... steps are each built from two halves, until none is
+    left; every number of steps is a sum of these, so a river of ten thousand
+    reaches takes fourteen rounds instead of ten thousand.  Parallel channels
+    keep the shortest way.  An unknown length (null or NaN) counts as none: the
+    reach and the river above it are kept.  A negative one fails the job.  So
+    the shortest way never repeats a reach and has fewer steps than there are
+    edges: that ends the search in data that runs in circles.  The ways between
+    members of a loop can be as many as its pairs within ``max_km``; the limit
+    is what bounds them.
     """
     km = F.coalesce(F.nanvl(F.col("length_km").cast("double"), F.lit(0.0)), F.lit(0.0))
     km = F.when(km < 0, F.raise_error(F.lit("negative length_km"))).otherwise(km)
@@ -53,15 +64,12 @@ def upstream_many(edges: DataFrame, starts: DataFrame, max_km: float = MAX_KM) -
         .where(F.col("km") <= max_km),
         "jumps",
     )
-    longest = jumps.count()
-    begin = starts.select(F.col("comid").alias("start")).where("start IS NOT NULL").distinct()
-    known = begin.select("start", F.col("start").alias("comid"), F.lit(0.0).alias("distance_km"))
     reaches = edges.select("comid").unionByName(edges.select(F.col("tocomid").alias("comid")))
-    reaches = reaches.unionByName(begin.select(F.col("start").alias("comid"))).where("comid IS NOT NULL").distinct()
-    stay = stored(reaches.select("comid", F.col("comid").alias("tocomid"), F.lit(0.0).alias("km")), "stay")
-    steps = 1
-    while steps <= longest and not jumps.isEmpty():
-        known = _with_way(known, jumps.unionByName(stay), max_km)
+    reaches = stored(reaches.where("comid IS NOT NULL").distinct(), "reaches")
+    longest = left = jumps.count()
+    levels = []
+    while left and 2 ** len(levels) <= longest:
+        levels.append(jumps)
         a, b = jumps.alias("a"), jumps.alias("b")
         jumps = stored(
             a.join(b, F.col("a.tocomid") == F.col("b.comid"))
@@ -71,15 +79,38 @@ def upstream_many(edges: DataFrame, starts: DataFrame, max_km: float = MAX_KM) -
             .agg(F.min("km").alias("km")),
             "jumps",
         )
-        steps *= 2
+        left = jumps.count()
+    return Ways(tuple(levels), reaches, max_km)
+
+
+def upstream_many(edges: DataFrame | Ways, starts: DataFrame, max_km: float | None = None) -> DataFrame:
+    """All reaches that drain to each start within ``max_km``: ``start, comid, distance_km``.
+
+    The limit is 999 km, or that of the ways given, if none is named.  Takes the network's edges, or the ways that ``network_ways`` has stored for
+    them, which serve any number of searches of no greater distance.
+    """
+    ways = edges if isinstance(edges, Ways) else network_ways(edges, MAX_KM if max_km is None else max_km)
+    max_km = ways.max_km if max_km is None else max_km
+    if ways.max_km < max_km:
+        raise ValueError(f"the ways end at {ways.max_km} km")
+    begin = starts.select(F.col("comid").alias("start")).where("start IS NOT NULL").distinct()
+    known = begin.select("start", F.col("start").alias("comid"), F.lit(0.0).alias("distance_km"))
+    reaches = ways.reaches.unionByName(begin.select(F.col("start").alias("comid"))).distinct()
+    stay = stored(reaches.select("comid", F.col("comid").alias("tocomid"), F.lit(0.0).alias("km")), "stay")
+    for jumps in ways.levels:
+        known = _with_way(known, jumps.unionByName(stay), max_km)
     return known
 
 
-def upstream(edges: DataFrame, start: int, max_km: float = MAX_KM) -> DataFrame:
+def upstream(edges: DataFrame | Ways, start: int, max_km: float | None = None) -> DataFrame:
     """The start and all reaches that drain to it within ``max_km``: ``comid, distance_km``."""
     # A range keeps the start a column: as a literal it would turn the first join into a filter and a broadcast.
-    starts = edges.sparkSession.range(start, start + 1).select(F.col("id").alias("comid"))
-    return upstream_many(edges, starts, max_km).select("comid", "distance_km")
+    first = ways_session(edges).range(start, start + 1)
+    return upstream_many(edges, first.select(F.col("id").alias("comid")), max_km).select("comid", "distance_km")
+
+
+def ways_session(edges: DataFrame | Ways):
+    return (edges.reaches if isinstance(edges, Ways) else edges).sparkSession
 
 
 def network_scope(selected: DataFrame, tributaries: DataFrame, watershed: DataFrame) -> DataFrame:

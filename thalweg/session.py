@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_ROOT: dict[str, str] = {}
+_OWN_FOLDERS: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -31,8 +32,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    """A path under the scratch root that nothing else uses."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path that nothing else uses, in the application's own folder under the scratch root.
+
+    The application's folder goes when its driver ends.
+    """
+    own = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _OWN_FOLDERS:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+        _OWN_FOLDERS.add(own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str = "stage") -> DataFrame:

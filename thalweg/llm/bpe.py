@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from .common import ids_and_texts, map_texts
 
 NEVER = 1 << 60
-#: Words whose encoding a task remembers.
-HELD_WORDS = 600_000
+#: Words whose encoding a Python worker remembers.
+HELD_WORDS = 800_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -190,7 +190,7 @@ class Words(dict):
 
 
 class Coder:
-    """Encodes and decodes texts; lives in a task."""
+    """Encodes and decodes texts; lives in a Python worker."""
 
     def __init__(self, content: str, odd: str):
         file = json.loads(content)
@@ -224,11 +224,23 @@ class Coder:
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Source:
+    """What a coder is made from; a worker makes it once and keeps it with the broadcast for its later tasks."""
+
+    def __init__(self, content: str, odd: str):
+        self.parts, self.made = (content, odd), None
+
+    def coder(self) -> Coder:
+        if self.made is None:
+            self.made = Coder(*self.parts)
+        return self.made
+
+
 def coder_factory(docs: DataFrame, vocabulary: str):
-    """A function that makes a coder in a task; the file is read once, on the driver, and broadcast."""
+    """A function that gives a task its coder; the file is read once, on the driver, and broadcast."""
     with open(vocabulary, encoding="utf-8") as file:
-        sent = docs.sparkSession.sparkContext.broadcast((file.read(), unlike_letters()))
-    return lambda: Coder(*sent.value)
+        sent = docs.sparkSession.sparkContext.broadcast(Source(file.read(), unlike_letters()))
+    return lambda: sent.value.coder()
 
 
 def encoded(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -85,3 +85,12 @@ def test_base_spans_stay(spark):
     base, everything = pii.find(text)
     assert everything["email"] == base["email"] + [(11, 29)] and everything["ip"] == base["ip"]
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["9" * 150_000 + " dot com", " " * 150_000 + "[at]", "a" * 150_000 + " dot com", "one " * 30_000 + "two", "a dot " * 20_000 + "com", "@" * 150_000, "+1 (" * 40_000])
+def test_long_runs_take_no_long_time(text):
+    import time
+
+    start = time.process_time()
+    pii.find(text)
+    assert time.process_time() - start < 10

@@ -22,7 +22,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: The forms that are always looked for.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Only the start of a run of digits can begin an address, so long runs are passed over once.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -41,11 +42,11 @@ SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six sev
 _WORDS = "|".join(SPELLED)
 _RUN = re.compile(rf"\b(?:{_WORDS})(?:[ \t,-]+(?:{_WORDS}|[0-9]+))+\b", re.IGNORECASE)
 _ONE = re.compile(rf"{_WORDS}|[0-9]+", re.IGNORECASE)
-_SIGN = re.compile(r"[ \t]*[\[({<][ \t]*(at|dot)[ \t]*[\])}>][ \t]*", re.IGNORECASE)
+_SIGN = re.compile(r"(?<![ \t])[ \t]*[\[({<][ \t]*(at|dot)[ \t]*[\])}>][ \t]*", re.IGNORECASE)
 #: Last labels by which a spoken address is told from other speech.
 ENDINGS = "com org net edu gov info biz io co ai dev app eu uk us ca au de fr es it nl ch at be pt br mx in jp cn".split()
 _SPOKEN = re.compile(
-    rf"[A-Za-z0-9._%+-]+(?: dot [A-Za-z0-9._%+-]+)* at [A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)* dot (?:{'|'.join(ENDINGS)})\b", re.IGNORECASE
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: dot [A-Za-z0-9._%+-]+){{0,6}} at [A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+){{0,6}} dot (?:{'|'.join(ENDINGS)})\b", re.IGNORECASE
 )
 _SPOKEN_IP = re.compile(r"\b[0-9]{1,3}(?: dot [0-9]{1,3}){3}\b", re.IGNORECASE)
 _SPOKEN_SIGN = re.compile(r" (at|dot) ", re.IGNORECASE)

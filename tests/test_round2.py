@@ -147,3 +147,20 @@ def test_ways_serve_many_searches(spark):
     assert {r.comid for r in network.upstream(ways, 35).collect()} == {35, 36, 37, 38, 39, 40}
     with pytest.raises(ValueError):
         network.upstream(ways, 1, 60.0)
+
+
+def test_a_polygon_goes_to_python_once_per_chunk(spark, monkeypatch):
+    import math
+
+    from thalweg.functions.wkb import line_wkb, polygon_wkb
+    from thalweg.operators import spatial
+
+    ring = [(math.cos(2 * math.pi * k / 2000), math.sin(2 * math.pi * k / 2000)) for k in range(2000)]
+    shapes = spark.createDataFrame([("h", bytearray(polygon_wkb([ring + ring[:1]])))], "HUC12 string, geom binary")
+    lines = [(i, bytearray(line_wkb([(-2.0, -0.5 + i / 60), (2.0, -0.5 + i / 60)]))) for i in range(60)]
+    lines = spark.createDataFrame(lines, "comid long, geom binary")
+    monkeypatch.setattr(spatial, "CHUNK", 20)
+    got = {r.comid: r.length for r in spatial.clip_flowlines(lines, shapes).collect()}
+    assert set(got) == set(range(60))
+    for i, length in got.items():
+        assert length == pytest.approx(2 * math.sqrt(1 - (-0.5 + i / 60) ** 2), abs=1e-4)

@@ -44,6 +44,10 @@ def raster_summary(cells: DataFrame, rasters: DataFrame) -> DataFrame:
     )
 
 
+#: Bins of a histogram that one row may hold on the way.
+BIN_BLOCK = 1_000_000
+
+
 def raster_histogram(cells: DataFrame, rasters: DataFrame, bin_size: int = 100) -> DataFrame:
     """Valid cells per bin from the floor of the minimum to the ceiling of the maximum.
 
@@ -63,9 +67,16 @@ def raster_histogram(cells: DataFrame, rasters: DataFrame, bin_size: int = 100)
         F.floor(F.min("lo").cast("double") / bin_size).alias("first"),
         F.ceil(F.max("hi").cast("double") / bin_size).alias("stop"),
     )
-    bins = ranges.where("stop > first").select(
-        "raster_id", F.explode(F.sequence(F.col("first"), F.col("stop") - 1)).alias("i")
+    # Bins in two steps, so that no row ever holds more than a block of them.
+    block = F.lit(BIN_BLOCK)
+    blocks = ranges.where("stop > first").select(
+        "raster_id",
+        "first",
+        "stop",
+        F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("stop") - 1) / block))).alias("b"),
     )
+    inside = F.sequence(F.greatest("first", F.col("b") * block), F.least(F.col("stop"), (F.col("b") + 1) * block) - 1)
+    bins = blocks.select("raster_id", F.explode(inside).alias("i"))
     closed = (
         counted.join(ranges, "raster_id")
         .select("raster_id", F.least(F.col("i"), F.col("stop") - 1).alias("i"), "n")

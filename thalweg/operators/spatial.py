@@ -100,6 +100,10 @@ def _inside_spans(segments: np.ndarray, rings: list[np.ndarray]) -> tuple[np.nda
     return index, t0[index, piece], t1[index, piece]
 
 
+#: Segments that go to Python with one copy of a polygon, about.
+CHUNK = 1000
+
+
 def clip_flowlines(
     flowlines: DataFrame, catchments: DataFrame, cell_size: float | None = None, group: str = "HUC12"
 ) -> DataFrame:
@@ -118,6 +122,7 @@ def clip_flowlines(
         .select(F.col(group).alias("g"), F.col("geom").alias("polygon"))
         .distinct()
         .withColumn("p", wkb_box("polygon"))
+        .withColumn("pid", F.md5("polygon"))
     )
     if cell_size is None:
         # Cells about as wide as a catchment keep the lists of cells short on both sides.
@@ -139,7 +144,7 @@ def clip_flowlines(
     )
     left = left.select("*", _cells(F.col("sx0"), F.col("sx1"), cell_size).alias("cx"))
     left = left.select("*", _cells(F.col("sy0"), F.col("sy1"), cell_size).alias("cy"))
-    right = shapes.select("g", "polygon", "p.*")
+    right = shapes.select("g", "pid", "p.*")
     right = right.select("*", _cells(F.col("min_x"), F.col("max_x"), cell_size).alias("cx"))
     right = right.select("*", _cells(F.col("min_y"), F.col("max_y"), cell_size).alias("cy"))
     size = F.lit(cell_size)
@@ -151,37 +156,43 @@ def clip_flowlines(
         & (F.col("cx") == F.floor(F.greatest("sx0", "min_x") / size))
         & (F.col("cy") == F.floor(F.greatest("sy0", "min_y") / size))
     )
-    pairs = left.join(right, ["cx", "cy"]).where(overlaps).select(
-        "g", "comid", "line", "copies", "part", "seq", "x1", "y1", "x2", "y2", "polygon"
+    segment = ["comid", "line", "copies", "part", "seq", "x1", "y1", "x2", "y2"]
+    pairs = left.join(right, ["cx", "cy"]).where(overlaps).select("g", "pid", *segment)
+    # Pairs travel by the polygon's digest; its bytes join once per chunk of segments.
+    chunks = pairs.groupBy("g", "pid").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("chunks"))
+    chunks = chunks.select(F.col("g").alias("cg"), F.col("pid").alias("cpid"), "chunks")
+    dealt = pairs.join(chunks, F.col("g").eqNullSafe(F.col("cg")) & (F.col("pid") == F.col("cpid"))).select(
+        "g", "pid", F.pmod(F.xxhash64("comid", "line", "part", "seq"), F.col("chunks")).alias("chunk"), *segment
+    )
+    packed = dealt.groupBy("g", "pid", "chunk").agg(F.collect_list(F.struct(*segment)).alias("segments"))
+    polygons = shapes.select(F.col("g").alias("pg"), F.col("pid").alias("ppid"), "polygon")
+    work = packed.join(polygons, F.col("g").eqNullSafe(F.col("pg")) & (F.col("pid") == F.col("ppid"))).select(
+        "g", "polygon", "segments"
     )
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields if f.name in ("g", "comid")}
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        corners = ["x1", "y1", "x2", "y2"]
-        keys = ["g", "comid", "line", "copies", "part", "seq", *corners]
         for batch in batches:
-            segments = batch[corners].to_numpy("f8")
-            codes, blobs = pd.factorize(batch["polygon"])
-            order = np.argsort(codes, kind="stable")
-            ends = np.searchsorted(codes[order], np.arange(len(blobs) + 1))
-            rows, starts, stops = [], [], []
-            for n, blob in enumerate(blobs):
-                here = order[ends[n] : ends[n + 1]]
+            for g, blob, given in zip(batch["g"], batch["polygon"], batch["segments"]):
+                listed = pd.DataFrame.from_records([s if isinstance(s, dict) else s.asDict() for s in given])
+                corners = listed[["x1", "y1", "x2", "y2"]].to_numpy("f8")
+                rows, starts, stops = [], [], []
                 for kind, rings in parts_of(bytes(blob)):
                     if kind != POLYGON:
                         continue
                     # Few enough segments at a time that the tables of crossings stay small.
                     few = max(1, 200_000 // sum(len(r) for r in rings) ** 2)
-                    for at in range(0, len(here), few):
-                        index, t0, t1 = _inside_spans(segments[here[at : at + few]], rings)
-                        rows.append(here[at + index])
+                    for at in range(0, len(corners), few):
+                        index, t0, t1 = _inside_spans(corners[at : at + few], rings)
+                        rows.append(at + index)
                         starts.append(t0)
                         stops.append(t1)
-            if rows:
-                found = batch.iloc[np.concatenate(rows)][keys]
-                yield found.assign(t0=np.concatenate(starts), t1=np.concatenate(stops))
+                if rows:
+                    found = listed.iloc[np.concatenate(rows)].assign(t0=np.concatenate(starts), t1=np.concatenate(stops))
+                    found.insert(0, "g", g)
+                    yield found
 
-    inside = pairs.mapInPandas(
+    inside = work.mapInPandas(
         cut,
         f"g {kinds['g']}, comid {kinds['comid']}, line string, copies bigint, part int, seq int,"
         " x1 double, y1 double, x2 double, y2 double, t0 double, t1 double",

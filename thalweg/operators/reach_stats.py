@@ -1,7 +1,8 @@
 """Yearly growth statistics: per reach, and for a river network against the rest.
 
 A reach may lie in several projects, each with readings of its own: statistics
-are kept apart by project throughout.
+are kept apart by project throughout.  Tables of one project may go without the
+column; reaches listed without it are meant in every project.
 """
 
 from __future__ import annotations
@@ -15,12 +16,18 @@ from ..session import broadcast_if_small, is_small
 from .filters import drop_nodata, water_year_window
 
 
-KEYS = ["project", "comid"]
+KEYS = ("project", "comid")
+
+
+def _shared(*frames: DataFrame) -> list[str]:
+    """The keys that all tables have."""
+    return [k for k in KEYS if all(k in f.columns for f in frames)]
 
 
 def reach_semi(readings: DataFrame, reaches: DataFrame) -> DataFrame:
     """Readings of the listed reaches of each project, each reading once."""
-    return readings.join(broadcast_if_small(reaches.select(*KEYS)), KEYS, "left_semi")
+    keys = _shared(readings, reaches)
+    return readings.join(broadcast_if_small(reaches.select(*keys)), keys, "left_semi")
 
 
 def reach_growth_stats(readings: DataFrame, reaches: DataFrame, year: int, curve: Curve) -> DataFrame:
@@ -31,22 +38,23 @@ def reach_growth_stats(readings: DataFrame, reaches: DataFrame, year: int, curve
     reading is shuffled for the sake of the list.
     """
     daily = drop_nodata(water_year_window(readings, year), "sentinel")
-    listed = reaches.select(*KEYS)
+    own, keys = _shared(readings), _shared(readings, reaches)
+    listed = reaches.select(*keys)
     few = is_small(listed)
     if few:
-        daily = daily.join(F.broadcast(listed), KEYS, "left_semi")
+        daily = daily.join(F.broadcast(listed), keys, "left_semi")
     rate = growth("stream_temp", curve)
     stats = (
-        daily.select(*KEYS, rate.alias("fish_growth"))
-        .groupBy(*KEYS)
+        daily.select(*own, rate.alias("fish_growth"))
+        .groupBy(*own)
         .agg(F.avg("fish_growth").alias("Growth_Mean"), F.var_samp("fish_growth").alias("Growth_Var"))
     )
-    return stats if few else stats.join(listed, KEYS, "left_semi")
+    return stats if few else stats.join(listed, keys, "left_semi").select(stats.columns)
 
 
 def reach_stats_table(catchments: DataFrame, stats: DataFrame) -> DataFrame:
     """Every catchment with its reach's statistics in its project and their display text."""
-    return catchments.join(stats, KEYS, "left").withColumns(
+    return catchments.join(stats, _shared(catchments, stats), "left").withColumns(
         {
             "Growth_Mean_text": label_or_na(F.col("Growth_Mean")),
             "Growth_Var_text": label_or_na(F.col("Growth_Var")),
@@ -60,12 +68,13 @@ def network_daily_growth(readings: DataFrame, scope: DataFrame, year: int, curve
     ``scope`` has one row per reach: ``comid, is_upstream``; the river is the
     same for every project.
     """
+    apart = [c for c in ("project",) if c in readings.columns]
     daily = drop_nodata(water_year_window(readings, year), "floor").join(
         broadcast_if_small(scope.select("comid", "is_upstream")), "comid"
     )
     return (
-        daily.select("project", "is_upstream", "date", growth("stream_temp", curve).alias("fish_growth"))
-        .groupBy("project", "is_upstream", "date")
+        daily.select(*apart, "is_upstream", "date", growth("stream_temp", curve).alias("fish_growth"))
+        .groupBy(*apart, "is_upstream", "date")
         .agg(F.avg("fish_growth").alias("daily_fish_growth"))
     )
 
@@ -83,4 +92,5 @@ def network_growth_summary(daily: DataFrame) -> DataFrame:
                 F.coalesce(F.var_samp(value), F.lit(0.0)).alias("growth_var"),
             )
         )
-    return daily.groupBy("project").agg(F.array(*sides).alias("sides")).select("project", F.inline("sides"))
+    apart = [c for c in ("project",) if c in daily.columns]
+    return daily.groupBy(*apart).agg(F.array(*sides).alias("sides")).select(*apart, F.inline("sides"))

@@ -77,3 +77,21 @@ def test_no_labels_and_no_rows(corpus, spark):
     scores = {r.score for r in toxicity.toxicity(docs.limit(5), labels.limit(0)).collect()}
     assert scores == {0.5}
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("known", [0, 40])
+def test_words_beyond_the_broadcast_are_joined(corpus, known):
+    docs, labels, _, _ = corpus
+    whole = sorted((str(r.doc_id), round(r.score, 9)) for r in toxicity.toxicity(docs, labels).collect())
+    assert sorted((str(r.doc_id), round(r.score, 9)) for r in toxicity.toxicity(docs, labels, known_words=known).collect()) == whole
+    left = sorted(str(r.doc_id) for r in toxicity.without_toxic(docs, labels).collect())
+    assert sorted(str(r.doc_id) for r in toxicity.without_toxic(docs, labels, known_words=known).collect()) == left
+
+
+def test_contexts_have_no_limit(spark):
+    rows = [(i, f"left{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} common") for i in range(2000)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    trained, _ = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    n = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in rows)
+    got = trained.counted.where("word = 'common'").first()
+    assert n > 1000 and (got.before, got.ordinary + got.toxic) == (n, n)

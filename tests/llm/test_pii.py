@@ -94,3 +94,38 @@ def test_long_runs_take_no_long_time(text):
     start = time.process_time()
     pii.find(text)
     assert time.process_time() - start < 10
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        "jane [at] example dot com", "jane@example dot com", "jane at example [dot] com", "jane (at) mail.example dot com", "jane@mail dot example [dot] org",
+        "anna at firma dot pl", "anna at firma dot ru", "anna at firma dot se", "anna at firma dot nz", "Anna At Firma Dot Online", "jane@intranet dot corp", "jane at host [dot] internal",
+        "j dot a dot doe [at] example dot com", "j [dot] doe at example dot com", "a dot b dot c dot d dot e dot f dot g dot h dot i at example dot com", "a at b dot c dot d dot e dot f dot g dot h dot i dot j dot com",
+        "jane at mail dot firma.pl",
+    ],
+)
+def test_mixed_and_long_addresses(hidden):
+    for after in (" .", "", ", and more", " today"):
+        base, everything = pii.find("write to: " + hidden + after)
+        assert not base["email"] and everything["email"] == [(10, 10 + len(hidden))]
+
+
+@pytest.mark.parametrize("text", ["look at example.com today", "he pointed at that dot matrix", "met at noon at the dot", "@home dot", "at dot com", "see [dot] com"])
+def test_speech_is_no_address(text):
+    assert not any(pii.find(text)[1].values())
+
+
+def test_speech_after_an_address_is_left_out():
+    assert pii.find("jane@example dot com dot thanks")[1]["email"] == [(0, 20)]
+    assert pii.find("jane@example.com dot your eyes")[1]["email"] == [(0, 16)]
+    assert pii.find("97 dot 51 [dot] 17.173")[1]["ip"] == [(0, 22)]
+
+
+@pytest.mark.parametrize("text", ["a at b dot " * 20_000, "a at " * 30_000 + "b dot com", "a@" + "b dot " * 30_000 + "com", "a dot " * 30_000 + "b at c dot com", "a at b dot c" * 20_000])
+def test_many_signs_take_no_long_time(text):
+    import time
+
+    start = time.process_time()
+    pii.find(text)
+    assert time.process_time() - start < 10

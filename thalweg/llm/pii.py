@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import ids_and_texts, map_texts
+from .endings import ENDINGS
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -43,13 +44,12 @@ _WORDS = "|".join(SPELLED)
 _RUN = re.compile(rf"\b(?:{_WORDS})(?:[ \t,-]+(?:{_WORDS}|[0-9]+))+\b", re.IGNORECASE)
 _ONE = re.compile(rf"{_WORDS}|[0-9]+", re.IGNORECASE)
 _SIGN = re.compile(r"(?<![ \t])[ \t]*[\[({<][ \t]*(at|dot)[ \t]*[\])}>][ \t]*", re.IGNORECASE)
-#: Last labels by which a spoken address is told from other speech.
-ENDINGS = "com org net edu gov info biz io co ai dev app eu uk us ca au de fr es it nl ch at be pt br mx in jp cn".split()
-_SPOKEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: dot [A-Za-z0-9._%+-]+){{0,6}} at [A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+){{0,6}} dot (?:{'|'.join(ENDINGS)})\b", re.IGNORECASE
-)
-_SPOKEN_IP = re.compile(r"\b[0-9]{1,3}(?: dot [0-9]{1,3}){3}\b", re.IGNORECASE)
-_SPOKEN_SIGN = re.compile(r" (at|dot) ", re.IGNORECASE)
+#: Signs of an address in any form, plain ones last; a spoken one stands between single spaces.
+_AT = re.compile(rf"{_SIGN.pattern.replace('(at|dot)', 'at')}|(?P<spoken> at )|(?P<plain>@)", re.IGNORECASE)
+_DOT = re.compile(rf"{_SIGN.pattern.replace('(at|dot)', 'dot')}|(?P<spoken> dot )|(?P<plain>\.)", re.IGNORECASE)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_SPOKEN_IP = re.compile(r"(?<![A-Za-z0-9_])[0-9]{1,3}(?:(?: dot |\.)[0-9]{1,3}){3}(?![A-Za-z0-9_])", re.IGNORECASE)
+_SPOKEN_DOT = re.compile(r" dot ", re.IGNORECASE)
 
 
 def emails(text: str):
@@ -148,20 +148,70 @@ def spelled_digits(tape: Tape) -> None:
     tape.rewrite(spans)
 
 
+def _domain(text: str, at: re.Match) -> list[re.Match]:
+    """The signs within the domain after an at sign; none if there is no domain or nothing to undo in it.
+
+    A spoken at sign needs a disguised dot, and an ending in use or a dot in
+    brackets before the last label.  After another at sign a spoken dot may
+    have any ending, but one in use goes before: what follows it is speech.
+    """
+    dots, known, bracketed, disguised = [], 0, 0, False
+    label = _LABEL.match(text, at.end())
+    while label and (dot := _DOT.match(text, label.end())):
+        label = _LABEL.match(text, dot.end())
+        if not label:
+            break
+        dots.append(dot)
+        disguised = disguised or not dot["plain"]
+        if disguised and label[0].lower() in ENDINGS:
+            known = len(dots)
+        if not dot["plain"] and not dot["spoken"]:
+            bracketed = len(dots)
+    if known:
+        return dots[:known]
+    if at["spoken"]:
+        return dots[:bracketed]
+    return dots if dots and dots[0]["spoken"] else []
+
+
+def _spoken_signs(text: str) -> list[tuple[int, int, str]]:
+    """The spoken signs of whole addresses, whose other signs may be plain or in brackets."""
+    before = {m.end(): m for m in _DOT.finditer(text) if not m["plain"]}
+    spans, done = [], 0
+    for at in _AT.finditer(text):
+        dots = _domain(text, at)
+        if not dots:
+            continue
+        start, left = at.start(), []
+        while True:
+            stop = start
+            while start > done and LOCAL.match(text[start - 1]):
+                start -= 1
+            if start == stop:
+                break
+            dot = before.get(start)
+            if not dot or dot.start() <= done or not LOCAL.match(text[dot.start() - 1]):
+                break
+            left.append(dot)
+            start = dot.start()
+        if start == at.start():
+            continue
+        spans += [(*m.span(), ".") for m in reversed(left) if m["spoken"]]
+        spans += [(*at.span(), "@")] if at["spoken"] else []
+        spans += [(*m.span(), ".") for m in dots if m["spoken"]]
+        done = dots[-1].end()
+    return spans
+
+
 def signs(tape: Tape) -> None:
-    """``[at]``, ``(dot)`` and, in a whole spoken address, `` at `` and `` dot ``."""
+    """``[at]``, ``(dot)`` and, in an address, `` at `` and `` dot ``, in any mix."""
     low = tape.text.lower()
+    if " at " in low or " dot " in low:
+        tape.rewrite(_spoken_signs(tape.text))
     if "at" in low or "dot" in low:
         tape.rewrite([(*m.span(), "@" if m[1].lower() == "at" else ".") for m in _SIGN.finditer(tape.text)])
     if " dot " in low:
-        for form in (_SPOKEN, _SPOKEN_IP):
-            spans = []
-            for whole in form.finditer(tape.text):
-                if form is _SPOKEN and tape.text[whole.start() : whole.end()].lower().count(" at ") != 1:
-                    continue
-                for m in _SPOKEN_SIGN.finditer(tape.text, *whole.span()):
-                    spans.append((*m.span(), "@" if m[1].lower() == "at" else "."))
-            tape.rewrite(spans)
+        tape.rewrite([(*m.span(), ".") for whole in _SPOKEN_IP.finditer(tape.text) for m in _SPOKEN_DOT.finditer(tape.text, *whole.span())])
 
 
 def undisguised(text: str) -> Tape:
@@ -206,7 +256,10 @@ def _listed(found: dict[str, list[tuple[int, int]]]) -> str:
 def personal_data(docs: DataFrame) -> DataFrame:
     """Counts and spans of personal data for every document: the plain forms, and those that disguises hide.
 
-    An added span covers the disguised characters and never overlaps a plain
+    In an address every sign may be plain, in brackets or spoken, in any mix and
+    with any number of labels.  Speech is told from addresses by an ending in
+    use (``endings``), or by another sign that is plain or in brackets.  An
+    added span covers the disguised characters and never overlaps a plain
     one of its kind.  Null texts count as empty; repeated rows and null ids are
     kept; an empty table gives no rows.  Only id and text are read.
     """

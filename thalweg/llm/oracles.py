@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, secrets, sharding
+from . import licenses, resampling, secrets, sharding, url_filters
 
 #: The checksum's table and a text's bytes; a step of the checksum is one look-up.
 CRC = """byte_table AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(0, 8)),
@@ -100,3 +100,51 @@ def secret_spans() -> str:
         sha256(coalesce(string_agg({text}, ',' ORDER BY start, kind, stop) FILTER (WHERE kind < 3), '')) AS base_sha256,
         coalesce(string_agg({text}, ',' ORDER BY start, kind, stop), '') AS spans
     FROM d LEFT JOIN everything x ON x.r = d.r GROUP BY d.r, d.doc_id"""
+
+
+def url_verdicts() -> str:
+    """Every url against every rule."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    hosts = ", ".join(
+        f"({i}, {quoted(action)}, {quoted(rule)}, {quoted(rule.partition('/')[0])}, {quoted('/' + rule.partition('/')[2])})"
+        for i, (action, rule) in enumerate(url_filters.HOST_RULES)
+    )
+    patterns = ", ".join(
+        f"({i}, {quoted(action)}, {quoted(rule)}, {quoted(url_filters.pattern_rule(rule)[0])})" for i, (action, rule) in enumerate(url_filters.PATTERNS)
+    )
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    return f"""WITH h(i, action, rule, host, path) AS (VALUES {hosts}), p(i, action, rule, regex) AS (VALUES {patterns}),
+    given AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS a FROM pages),
+    cut AS (SELECT r, page_id, translate(a, {letters}) AS whole, translate(regexp_extract(a, '^[^/?#]*'), {letters}) AS host,
+        regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path FROM given),
+    by_host AS (SELECT r, arg_max(h.rule, (length(h.rule), h.action = 'block', -i)) AS rule, arg_max(h.action, (length(h.rule), h.action = 'block', -i)) AS action
+        FROM cut JOIN h ON (cut.host = h.host OR suffix(cut.host, '.' || h.host)) AND starts_with(cut.path, h.path) GROUP BY r),
+    by_pattern AS (SELECT r, arg_max(p.rule, (p.action = 'allow', -i)) AS rule, arg_max(p.action, (p.action = 'allow', -i)) AS action
+        FROM cut JOIN p ON regexp_matches(whole, regex) GROUP BY r)
+    SELECT page_id, host, path, by_host.rule AS rule, coalesce(by_host.action, by_pattern.action, 'allow') AS verdict, by_pattern.rule AS pattern
+    FROM cut LEFT JOIN by_host USING (r) LEFT JOIN by_pattern USING (r)"""
+
+
+def resampled() -> str:
+    """Counts over the buckets of both tables, gains, weights and ranks."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    words = f"unnest(regexp_extract_all(translate(coalesce(text, ''), {letters}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))"
+    count = resampling.BUCKETS
+    return f"""WITH {CRC},
+    d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+    held AS (SELECT r, word, count(*) AS n FROM (SELECT r, {words} AS word FROM d) GROUP BY r, word),
+    asked AS (SELECT word, count(*) AS n FROM (SELECT {words} AS word FROM benchmark) GROUP BY word),
+    hashed AS (SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, CAST(length(h) AS BIGINT) // 2),
+                lambda i: CAST('0x' || substr(h, i * 2 + 1, 2) AS BIGINT))),
+            lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) % {count} AS bucket
+        FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM held UNION SELECT word FROM asked)), byte_table),
+    s AS (SELECT bucket, CAST(sum(n) AS DOUBLE) AS n FROM held JOIN hashed USING (word) GROUP BY bucket),
+    t AS (SELECT bucket, CAST(sum(n) AS DOUBLE) AS n FROM asked JOIN hashed USING (word) GROUP BY bucket),
+    gain AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + {count})
+        / ((s.n + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + {count})))) AS BIGINT) AS g FROM s LEFT JOIN t USING (bucket)),
+    summed AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * g) AS BIGINT) AS weight FROM held JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY r),
+    drawn AS (SELECT r, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        CAST('0x' || substr(sha256('{resampling.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN summed USING (r)),
+    scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM drawn),
+    ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= {resampling.LEAST_WORDS})
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * {resampling.PERCENT} // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)"""

@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, licenses, neighbours, oracles, pii, secrets, sharding, simhash, token_counts, toxicity
+from . import (
+    bpe,
+    decontamination,
+    licenses,
+    neighbours,
+    oracles,
+    pii,
+    resampling,
+    secrets,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+    url_filters,
+    whitening,
+)
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -73,3 +88,18 @@ def op9(spark, folder):
 @query("op10_pii")
 def op10(spark, folder):
     return pii.personal_data(table(spark, folder, "documents"))
+
+
+@query("op11_url_filters", oracles.url_verdicts())
+def op11(spark, folder):
+    return url_filters.judge(table(spark, folder, "pages"))
+
+
+@query("op12_resampling", oracles.resampled())
+def op12(spark, folder):
+    return resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_whitening")
+def op13(spark, folder):
+    return whitening.whitened_rows(table(spark, folder, "embeddings"))

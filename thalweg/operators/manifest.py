@@ -1,29 +1,36 @@
 """Flatten, check and compare project manifests.
 
-Inputs have ``project_id`` and the manifest text in ``xml`` (see
-``sources.manifests``).  Each operator parses the part of the schema that it
-needs, once, and walks the document within its row; nothing is shuffled.
+Every operator takes documents (``project_id`` and the text in ``xml``), walks
+each once and reads only the kinds of nodes that it needs; or it takes a store
+of nodes (``sources.manifest_nodes``) and is then a scan of those files.  Nodes
+know their owners, so nothing is shuffled; only the comparison of two sets of
+documents brings each pair together.
 """
 
 from __future__ import annotations
 
-from typing import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..functions.metadata import unique_map
-from ..sources.manifests import (
+from pyspark.sql import types as T
+
+from ..sources.manifest_nodes import (
+    ANALYSIS,
+    BOUNDS,
+    DATASET,
+    EVENT,
+    KINDS,
+    LAYER,
+    META,
+    ODD_LAYER,
+    PROJECT,
+    REALIZATION,
     UNREADABLE,
-    ANALYSIS_CONTAINERS,
-    DATASET_TAGS,
-    LAYER_TAGS,
-    META_ITEM,
-    REALIZATION_CONTAINERS,
-    REFERENCE_TAG,
-    layers_type,
-    parse_project_xml,
+    as_batches,
+    node_schema,
+    nodes_of,
+    walk,
 )
+from ..sources.manifests import REFERENCE_TAG
 
 # Domains and patterns of the manifest schema.
 META_TYPES = (
@@ -51,235 +58,17 @@ VERSION_PATTERN = r"^[0-9]+\.[0-9]+\.[0-9]+[a-z-]*$"
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:?\d{2}(:?\d{2})?)?)?$"
 
 
-def _none(kind: str = "string") -> Column:
-    return F.lit(None).cast(kind)
-
-
-def _parsed(manifests: DataFrame, keep: tuple[str, ...] = (), **parts: bool) -> DataFrame:
-    wanted = dict.fromkeys(("datasets", "layers", "meta", "bounds", "events"), False) | parts
-    return parse_project_xml(manifests.select("project_id", "xml", *keep), **wanted)
-
-
-def _rows(df: DataFrame, entries: Column, marker: str) -> DataFrame:
-    """One row per struct of an array; ``marker`` is a field that is never null.
-
-    The outer form is deliberate: for the inner one the optimizer adds a
-    filter on the array's size, which computes the whole array a second time.
-    """
-    return df.select("project_id", F.inline_outer(entries)).where(F.col(marker).isNotNull())
-
-
-def _clean(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
-
-
-def _concat(*arrays: Column) -> Column:
-    """Concatenate, taking a missing array as empty."""
-    return F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))
-
-
-def _realizations() -> Column:
-    return F.col("project.Realizations.Realization")
-
-
-def _numbered(x: Column, i: Column) -> Column:
-    """An id with its place in its list: ids may be missing or repeated."""
-    return F.concat(F.coalesce(x["_id"], F.lit("")), F.lit("#"), i.cast("string"))
-
-
-def _analyses() -> Column:
-    """Every analysis with the id of its realization, and where it stands."""
-    return F.flatten(
-        F.filter(
-            F.transform(
-                _realizations(),
-                lambda r, i: F.transform(
-                    r["Analyses"]["Analysis"],
-                    lambda a, j: F.struct(
-                        r["_id"].alias("realization_id"), a.alias("a"), _slash(_numbered(r, i), _numbered(a, j)).alias("spot")
-                    ),
-                ),
-            ),
-            lambda found: found.isNotNull(),
-        )
-    )
-
-
-def _place(container: str, realization: Column, analysis: Column, data: Column, spot: Column) -> Column:
-    return F.struct(
-        spot.alias("spot"),
-        F.lit(container).alias("container"),
-        realization.alias("realization_id"),
-        analysis.alias("analysis_id"),
-        data.alias("data"),
-    )
-
-
-def _places() -> Column:
-    """Every dataset container of a document with its owner's ids."""
-    return _concat(
-        F.array(_place("CommonDatasets", _none(), _none(), F.col("project.CommonDatasets"), F.lit("/"))),
-        F.flatten(
-            F.transform(
-                _realizations(),
-                lambda r, i: F.array(
-                    *[_place(c, r["_id"], _none(), r[c], _slash(_numbered(r, i), _none())) for c in REALIZATION_CONTAINERS]
-                ),
-            )
-        ),
-        F.flatten(
-            F.transform(
-                _analyses(),
-                lambda x: F.array(
-                    *[_place(c, x["realization_id"], x["a"]["_id"], x["a"][c], x["spot"]) for c in ANALYSIS_CONTAINERS]
-                ),
-            )
-        ),
-    )
-
-
-def dataset_entries(layers: bool, meta: bool) -> Column:
-    """Every dataset of a document, its position counted within its tag and container."""
-
-    def entry(place: Column, tag: str) -> Callable[[Column, Column], Column]:
-        is_ref = tag == REFERENCE_TAG
-        own = lambda d, field: _none() if is_ref else _clean(d[field])
-
-        def build(d: Column, i: Column) -> Column:
-            fields = [
-                place["spot"].alias("spot"),
-                place["container"].alias("container"),
-                place["realization_id"].alias("realization_id"),
-                place["analysis_id"].alias("analysis_id"),
-                F.lit(tag).alias("tag"),
-                i.alias("position"),
-                own(d, "_id").alias("dataset_id"),
-                own(d, "Name").alias("name"),
-                own(d, "Path").alias("path"),
-                own(d, "_type").alias("type_attr"),
-                own(d, "_extRef").alias("ext_ref"),
-                own(d, "URL").alias("url"),
-                (d["_ref"] if is_ref else _none()).alias("ref"),
-                own(d, "Summary").alias("summary"),
-                own(d, "Description").alias("description"),
-                own(d, "Citation").alias("citation"),
-            ]
-            if meta:
-                items = _none(f"array<{META_ITEM}>") if is_ref else d["MetaData"]["Meta"]
-                fields.append(items.alias("meta"))
-            if layers:
-                inner = d["Layers"] if tag == "Geopackage" else _none(layers_type(meta))
-                fields.append(inner.alias("layers"))
-            return F.struct(*fields)
-
-        return build
-
-    return F.flatten(
-        F.transform(
-            _places(),
-            lambda place: _concat(
-                *[F.transform(place["data"][tag], entry(place, tag)) for tag in (*DATASET_TAGS, REFERENCE_TAG)]
-            ),
-        )
-    )
-
-
-def _slash(*parts: Column) -> Column:
-    return F.concat_ws("/", *[F.coalesce(part.cast("string"), F.lit("")) for part in parts])
-
-
-def _dataset_place(d: Column) -> Column:
-    """Where a dataset stands in its document; no other dataset stands there."""
-    return _slash(d["spot"], d["container"], d["tag"], d["position"])
-
-
-def _with_datasets(
-    manifests: DataFrame, layers: bool = False, meta: bool = False, keep: tuple[str, ...] = (), **parts: bool
-) -> DataFrame:
-    parsed = _parsed(manifests, keep, datasets=True, layers=layers, meta=meta, **parts)
-    return parsed.withColumn("datasets", dataset_entries(layers, meta))
-
-
 def xml_datasets(manifests: DataFrame) -> DataFrame:
-    """One row per dataset or dataset reference in any container."""
-    return _rows(_with_datasets(manifests), F.col("datasets"), "tag").drop("spot")
-
-
-def _layer_entries(meta: bool) -> Column:
-    def layer(d: Column, tag: str) -> Callable[[Column, Column], Column]:
-        items = lambda y: [y["MetaData"]["Meta"].alias("meta")] if meta else []
-        return lambda y, i: F.struct(
-            d["dataset_id"].alias("dataset_id"),
-            d["path"].alias("path"),
-            F.lit(tag).alias("layer_type"),
-            i.alias("position"),
-            y["_lyrName"].alias("layer_name"),
-            _clean(y["Name"]).alias("name"),
-            y["_type"].alias("type_attr"),
-            y["_extRef"].alias("ext_ref"),
-            _clean(y["Summary"]).alias("summary"),
-            _clean(y["Description"]).alias("description"),
-            _clean(y["Citation"]).alias("citation"),
-            *items(y),
-            _slash(_dataset_place(d), F.lit(tag), i).alias("place"),
-        )
-
-    return F.flatten(
-        F.transform(
-            F.filter("datasets", lambda d: d["tag"] == "Geopackage"),
-            lambda d: _concat(*[F.transform(d["layers"][tag], layer(d, tag)) for tag in LAYER_TAGS]),
-        )
-    )
+    """One row per dataset or dataset reference in any container, its position counted within its tag and container."""
+    columns = "container realization_id analysis_id tag position id name path type ext_ref url ref summary description citation"
+    return nodes_of(manifests, (DATASET,), columns).withColumnsRenamed({"id": "dataset_id", "type": "type_attr"})
 
 
 def xml_layers(manifests: DataFrame) -> DataFrame:
     """One row per geopackage layer."""
-    found = _with_datasets(manifests, layers=True)
-    return _rows(found, _layer_entries(meta=False), "layer_type").drop("place")
-
-
-def _meta_entries(level: str, owner: Column, items: Column, place: Column | None = None) -> Column:
-    return F.transform(
-        items,
-        lambda m, i: F.struct(
-            F.lit(level).alias("level"),
-            owner.alias("owner"),
-            i.alias("position"),
-            m["_name"].alias("name"),
-            F.coalesce(F.trim(m["_VALUE"]), F.lit("")).alias("value"),
-            m["_type"].alias("type"),
-            m["_ext"].alias("ext"),
-            F.coalesce(m["_locked"] == "true", F.lit(False)).alias("locked"),
-            _slash(F.lit(level), owner if place is None else place, i).alias("place"),
-        ),
-    )
-
-
-def _all_metadata() -> Column:
-    """Metadata of every level; needs the ``datasets`` and ``layers`` columns."""
-    nested = lambda found: F.flatten(F.filter(found, lambda x: x.isNotNull()))
-    return _concat(
-        _meta_entries("project", _none(), F.col("project.MetaData.Meta")),
-        nested(F.transform(_realizations(), lambda r, i: _meta_entries("realization", r["_id"], r["MetaData"]["Meta"], _numbered(r, i)))),
-        nested(F.transform(_analyses(), lambda x: _meta_entries("analysis", x["a"]["_id"], x["a"]["MetaData"]["Meta"], x["spot"]))),
-        nested(F.transform(_analyses(), lambda x: _meta_entries("metric", x["a"]["_id"], x["a"]["Metrics"]["Metric"], x["spot"]))),
-        nested(F.transform("datasets", lambda d: _meta_entries("dataset", d["dataset_id"], d["meta"], _dataset_place(d)))),
-        nested(F.transform("layers", lambda y: _meta_entries("layer", y["layer_name"], y["meta"], y["place"]))),
-        nested(
-            F.transform(
-                F.col("project.QAQCEvents.QAQCEvent"),
-                lambda e, i: _meta_entries("qaqc", _clean(e["Name"]), e["MetaData"]["Meta"], i),
-            )
-        ),
-    )
-
-
-def _with_all(manifests: DataFrame, bounds: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    return (
-        _with_datasets(manifests, keep=keep, layers=True, meta=True, events=True, bounds=bounds)
-        .withColumn("layers", _layer_entries(meta=True))
-        .withColumn("metadata", _all_metadata())
-    )
+    columns = "owner path tag position id name type ext_ref summary description citation"
+    named = {"owner": "dataset_id", "tag": "layer_type", "id": "layer_name", "type": "type_attr"}
+    return nodes_of(manifests, (LAYER,), columns).withColumnsRenamed(named)
 
 
 def xml_metadata(manifests: DataFrame) -> DataFrame:
@@ -287,48 +76,33 @@ def xml_metadata(manifests: DataFrame) -> DataFrame:
 
     Analysis metrics have the level ``metric``.
     """
-    return _rows(_with_all(manifests), F.col("metadata"), "level").drop("place")
+    return nodes_of(manifests, (META,), "level owner position name value type ext locked")
 
 
 def xml_bounds(manifests: DataFrame) -> DataFrame:
-    """Centroid and bounding box of each project that states them, by element name."""
-    stated = F.explode_outer(F.array(F.col("project.ProjectBounds"))).alias("b")
-    return (
-        _parsed(manifests, bounds=True)
-        .select("project_id", stated)
-        .where("b IS NOT NULL")
-        .select(
-            "project_id",
-            F.col("b.Centroid.Lng").alias("centroid_lng"),
-            F.col("b.Centroid.Lat").alias("centroid_lat"),
-            F.col("b.BoundingBox.MinLng").alias("min_lng"),
-            F.col("b.BoundingBox.MinLat").alias("min_lat"),
-            F.col("b.BoundingBox.MaxLng").alias("max_lng"),
-            F.col("b.BoundingBox.MaxLat").alias("max_lat"),
-            F.trim("b.Path").alias("path"),
-        )
+    """Centroid and bounding box of each project that states them, by element name; null where no number stands."""
+    number = lambda group, name: F.col("box")[f"{group}.{name}"].try_cast("double")
+    return nodes_of(manifests, (BOUNDS,), "box path").select(
+        "project_id",
+        number("Centroid", "Lng").alias("centroid_lng"),
+        number("Centroid", "Lat").alias("centroid_lat"),
+        number("BoundingBox", "MinLng").alias("min_lng"),
+        number("BoundingBox", "MinLat").alias("min_lat"),
+        number("BoundingBox", "MaxLng").alias("max_lng"),
+        number("BoundingBox", "MaxLat").alias("max_lat"),
+        "path",
     )
 
 
+def _valid_state() -> Column:
+    return F.coalesce(F.col("state").isin(*EVENT_STATES), F.lit(False))
+
+
 def xml_qaqc(manifests: DataFrame) -> DataFrame:
     """One row per QA event with its links, and whether its state is a known one."""
-    events = _parsed(manifests, events=True).select(
-        "project_id", F.explode_outer("project.QAQCEvents.QAQCEvent").alias("event")
-    )
-    return events.where("event IS NOT NULL").select("project_id", "event.*").select(
-        "project_id",
-        _clean(F.col("Name")).alias("name"),
-        F.col("_datePerformed").alias("date_performed"),
-        F.col("_state").alias("state"),
-        _clean(F.col("PerformedBy")).alias("performed_by"),
-        _clean(F.col("Summary")).alias("summary"),
-        unique_map(
-            F.transform(
-                F.filter(F.col("Links.URL"), lambda u: u["_text"].isNotNull()),
-                lambda u: F.struct(u["_text"].alias("key"), u["_VALUE"].alias("value")),
-            )
-        ).alias("links"),
-        F.coalesce(F.col("_state").isin(*EVENT_STATES), F.lit(False)).alias("valid_state"),
+    return nodes_of(manifests, (EVENT,), "name dated state performed_by summary links").select(
+        "project_id", "name", F.col("dated").alias("date_performed"), "state", "performed_by", "summary", "links",
+        _valid_state().alias("valid_state"),
     )
 
 
@@ -338,216 +112,137 @@ def xml_resolve_refs(manifests: DataFrame) -> DataFrame:
     The first common dataset with the id is taken; ``unresolved`` marks the
     references that name none.  References inside analyses resolve as well.
     """
-    targets = unique_map(
-        F.transform(
-            F.filter(
-                "datasets",
-                lambda d: (d["container"] == "CommonDatasets") & (d["tag"] != REFERENCE_TAG) & d["dataset_id"].isNotNull(),
-            ),
-            lambda d: F.struct(
-                d["dataset_id"].alias("key"),
-                F.struct(d["name"].alias("name"), d["path"].alias("path"), d["tag"].alias("tag")).alias("value"),
-            ),
-        ),
-        keep="first",
-    )
-    refs = F.filter("datasets", lambda d: d["tag"] == REFERENCE_TAG)
-    listed = (
-        _with_datasets(manifests)
-        .select("project_id", targets.alias("targets"), refs.alias("refs"))
-        .select("project_id", "targets", F.explode_outer("refs").alias("r"))
-        .where("r IS NOT NULL")
-    )
-    found = F.try_element_at("targets", F.col("r.ref"))
-    return listed.withColumn("found", found).select(
-        "project_id", "r.container", "r.realization_id", "r.analysis_id", "r.position", "r.ref",
-        F.col("found.name").alias("name"), F.col("found.path").alias("path"), F.col("found.tag").alias("tag"),
-        F.col("found").isNull().alias("unresolved"),
+    nodes = nodes_of(manifests, (DATASET,), "container realization_id analysis_id position tag ref target")
+    return nodes.where(F.col("tag") == REFERENCE_TAG).select(
+        "project_id", "container", "realization_id", "analysis_id", "position", "ref",
+        "target.name", "target.path", "target.tag", F.col("target").isNull().alias("unresolved"),
     )
 
 
-def _iso(text: Column) -> Column:
-    day = F.substring(text, 1, 10).try_cast("date").isNotNull()
-    return text.rlike(_ISO) & day
+def _iso(column: str) -> Column:
+    """Whether a text is a date, with or without a time; missing text is none."""
+    day = F.substring(column, 1, 10).try_cast("date").isNotNull()
+    return F.coalesce(F.col(column).rlike(_ISO) & day, F.lit(False))
 
 
-def _finding(severity: str, rule: str, where: Column, fails: Column) -> Column:
-    """A finding, or null where the rule holds; a rule on missing text holds."""
-    return F.when(
-        F.coalesce(fails, F.lit(False)),
-        F.struct(
-            F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.coalesce(where, F.lit("")).alias("location")
-        ),
-    )
+def _missing(column: str) -> Column:
+    return F.coalesce(F.trim(column), F.lit("")) == ""
+
+
+def _repeated(column: str) -> Column:
+    return F.size(column) != F.size(F.array_distinct(column))
 
 
-def _findings(items: Column, rules: Callable[[Column], list[Column]]) -> Column:
-    return F.flatten(F.transform(items, lambda x: F.array(*rules(x))))
+def _rules() -> dict[str, list[tuple[str, str | None, Column]]]:
+    """Per kind of node: the rule, the column that tells where, and when it is broken (null: it is not)."""
+    is_ref = F.col("tag") == REFERENCE_TAG
+    own = lambda broken: ~is_ref & broken
+    return {
+        PROJECT: [
+            ("project name missing", None, _missing("name")),
+            ("project type missing", None, _missing("project_type")),
+            ("project bounds missing", None, F.col("box").isNull()),
+            ("model version missing", None, ~F.coalesce(F.array_contains("meta_names", "ModelVersion"), F.lit(False))),
+            ("meta name repeated", None, _repeated("meta_names")),
+        ],
+        REALIZATION: [
+            ("realization id missing", "id", _missing("id")),
+            ("realization name missing", "id", _missing("name")),
+            ("realization date invalid", "id", ~_iso("dated")),
+            ("realization version invalid", "id", ~F.col("version").rlike(VERSION_PATTERN)),
+            ("meta name repeated", "id", _repeated("meta_names")),
+        ],
+        ANALYSIS: [
+            ("analysis id missing", "id", _missing("id")),
+            ("analysis name missing", "id", _missing("name")),
+            ("meta name repeated", "id", _repeated("metric_names")),
+            ("meta name repeated", "id", _repeated("meta_names")),
+        ],
+        DATASET: [
+            ("dataset id missing", "path", own(F.col("id").isNull())),
+            ("dataset name missing", "id", own(F.col("name").isNull())),
+            ("dataset path missing", "id", own(F.col("path").isNull())),
+            ("dataset path invalid", "id", own(~F.col("path").rlike(PATH_PATTERN))),
+            ("dataset reference invalid", "id", own(~F.col("ext_ref").rlike(EXT_REF_PATTERN))),
+            ("common dataset not found", "ref", is_ref & F.col("target").isNull()),
+            ("meta name repeated", "id", _repeated("meta_names")),
+        ],
+        LAYER: [
+            ("layer name missing", "owner", _missing("id")),
+            ("layer title missing", "id", _missing("name")),
+            ("meta name repeated", "id", _repeated("meta_names")),
+        ],
+        META: [
+            ("meta name empty", "owner", F.coalesce("name", F.lit("")) == ""),
+            ("meta type invalid", "name", ~F.col("type").isin(*META_TYPES)),
+            ("meta ext invalid", "name", ~F.col("ext").isin(*EXT_TYPES)),
+        ],
+        EVENT: [
+            ("event name missing", "dated", _missing("name")),
+            ("event date invalid", "name", ~_iso("dated")),
+            ("event author missing", "name", _missing("performed_by")),
+            ("event state invalid", "name", ~_valid_state()),
+        ],
+        ODD_LAYER: [("layer type invalid", "id", F.lit(True))],
+        UNREADABLE: [("document unreadable", None, F.lit(True))],
+    }
 
 
-def _repeated_meta(where: Column, items: Column) -> Column:
-    """Findings for metadata names that occur more than once in one list."""
-    names = F.array_compact(F.transform(items, lambda m: m["_name"]))
-    return F.array(_finding("error", "meta name repeated", where, F.size(names) != F.size(F.array_distinct(names))))
+#: The columns that the rules look at.
+_JUDGED = "kind tag id name path type ext ext_ref ref owner dated version state performed_by project_type box meta_names metric_names target"
+#: Rules whose breach is no error.
+_WARNINGS = ("project bounds missing", "model version missing")
 
 
 def xml_audit(manifests: DataFrame) -> DataFrame:
     """Rule violations of each manifest: ``project_id, severity, rule, location``.
 
     A document that is missing or not well-formed has one: ``document
-    unreadable``; no other rule is applied to what is left of it.
+    unreadable``; no other rule is applied to what is left of it.  Each node is
+    held against the rules of its kind, in one scan.
     """
-    p, error = "project", "error"
-    name = lambda x, key="Name": _clean(x[key])
-    common_ids = F.transform(
-        F.filter("datasets", lambda d: (d["container"] == "CommonDatasets") & (d["tag"] != REFERENCE_TAG)),
-        lambda d: d["dataset_id"],
-    )
-    project_rules = F.array(
-        _finding(error, "project name missing", _none(), _clean(F.col(f"{p}.Name")).isNull()),
-        _finding(error, "project type missing", _none(), _clean(F.col(f"{p}.ProjectType")).isNull()),
-        _finding("warning", "project bounds missing", _none(), F.col(f"{p}.ProjectBounds").isNull()),
-        _finding(
-            "warning",
-            "model version missing",
-            _none(),
-            ~F.coalesce(F.exists(f"{p}.MetaData.Meta", lambda m: m["_name"] == "ModelVersion"), F.lit(False)),
-        ),
-    )
-    realization_rules = _findings(
-        _realizations(),
-        lambda r: [
-            _finding(error, "realization id missing", r["_id"], _clean(r["_id"]).isNull()),
-            _finding(error, "realization name missing", r["_id"], name(r).isNull()),
-            _finding(error, "realization date invalid", r["_id"], ~F.coalesce(_iso(r["_dateCreated"]), F.lit(False))),
-            _finding(error, "realization version invalid", r["_id"], ~r["_productVersion"].rlike(VERSION_PATTERN)),
-        ],
-    )
-    analysis_rules = _findings(
-        _analyses(),
-        lambda x: [
-            _finding(error, "analysis id missing", x["a"]["_id"], _clean(x["a"]["_id"]).isNull()),
-            _finding(error, "analysis name missing", x["a"]["_id"], name(x["a"]).isNull()),
-        ],
-    )
-    dataset_rules = _findings(
-        F.filter("datasets", lambda d: d["tag"] != REFERENCE_TAG),
-        lambda d: [
-            _finding(error, "dataset id missing", d["path"], d["dataset_id"].isNull()),
-            _finding(error, "dataset name missing", d["dataset_id"], d["name"].isNull()),
-            _finding(error, "dataset path missing", d["dataset_id"], d["path"].isNull()),
-            _finding(error, "dataset path invalid", d["dataset_id"], ~d["path"].rlike(PATH_PATTERN)),
-            _finding(error, "dataset reference invalid", d["dataset_id"], ~d["ext_ref"].rlike(EXT_REF_PATTERN)),
-        ],
-    )
-    ref_rules = _findings(
-        F.filter("datasets", lambda d: d["tag"] == REFERENCE_TAG),
-        lambda d: [
-            _finding(
-                error,
-                "common dataset not found",
-                d["ref"],
-                ~F.coalesce(F.array_contains(common_ids, F.coalesce(d["ref"], F.lit(""))), F.lit(False)),
+    findings = F.lit(None).cast("array<struct<severity:string,rule:string,location:string>>")
+    for kind, rules in _rules().items():
+        listed = [
+            F.when(
+                broken,
+                F.struct(
+                    F.lit("warning" if rule in _WARNINGS else "error").alias("severity"),
+                    F.lit(rule).alias("rule"),
+                    (F.lit("") if where is None else F.coalesce(where, F.lit(""))).alias("location"),
+                ),
             )
-        ],
-    )
-    layer_rules = _findings(
-        F.col("layers"),
-        lambda y: [
-            _finding(error, "layer name missing", y["dataset_id"], _clean(y["layer_name"]).isNull()),
-            _finding(error, "layer title missing", y["layer_name"], y["name"].isNull()),
-        ],
-    )
-    meta_rules = _findings(
-        F.col("metadata"),
-        lambda m: [
-            _finding(error, "meta name empty", m["owner"], F.coalesce(m["name"], F.lit("")) == ""),
-            _finding(error, "meta type invalid", m["name"], ~m["type"].isin(*META_TYPES)),
-            _finding(error, "meta ext invalid", m["name"], ~m["ext"].isin(*EXT_TYPES)),
-        ],
-    )
-    repeated = _concat(
-        _repeated_meta(_none(), F.col(f"{p}.MetaData.Meta")),
-        F.flatten(F.transform(_realizations(), lambda r: _repeated_meta(r["_id"], r["MetaData"]["Meta"]))),
-        F.flatten(F.transform(_analyses(), lambda x: _repeated_meta(x["a"]["_id"], x["a"]["Metrics"]["Metric"]))),
-        F.flatten(F.transform(_analyses(), lambda x: _repeated_meta(x["a"]["_id"], x["a"]["MetaData"]["Meta"]))),
-        F.flatten(F.transform("datasets", lambda d: _repeated_meta(d["dataset_id"], d["meta"]))),
-        F.flatten(F.transform("layers", lambda y: _repeated_meta(y["layer_name"], y["meta"]))),
-    )
-    event_rules = _findings(
-        F.col(f"{p}.QAQCEvents.QAQCEvent"),
-        lambda e: [
-            _finding(error, "event name missing", e["_datePerformed"], name(e).isNull()),
-            _finding(error, "event date invalid", name(e), ~F.coalesce(_iso(e["_datePerformed"]), F.lit(False))),
-            _finding(error, "event author missing", name(e), name(e, "PerformedBy").isNull()),
-            _finding(error, "event state invalid", name(e), ~F.coalesce(e["_state"].isin(*EVENT_STATES), F.lit(False))),
-        ],
-    )
-    groups = [project_rules, realization_rules, analysis_rules, dataset_rules, ref_rules, layer_rules, meta_rules,
-              repeated, event_rules]
-    # Layers of an unknown type have no place in the schema; they are found in the text, by
-    # pattern rather than by path, since a path expression fails the job on a broken document.
-    tagged = r"""<(\w+)\b[^>]*\blyrName\s*=\s*["']([^"']*)["']"""
-    layers = F.arrays_zip(
-        F.regexp_extract_all("xml", F.lit(tagged), F.lit(1)).alias("tag"),
-        F.regexp_extract_all("xml", F.lit(tagged), F.lit(2)).alias("layer"),
-    )
-    odd = F.transform(F.filter(layers, lambda y: ~y["tag"].isin(*LAYER_TAGS)), lambda y: y["layer"])
-    groups.append(_findings(odd, lambda layer: [_finding(error, "layer type invalid", layer, F.lit(True))]))
-    broken = F.col(f"{p}.{UNREADABLE}").isNotNull() | F.col("xml").isNull()
-    unreadable = F.array(_finding(error, "document unreadable", _none(), F.lit(True)))
-    found = F.when(broken, unreadable).otherwise(F.filter(_concat(*groups), lambda f: f.isNotNull()))
-    return _rows(_with_all(manifests, bounds=True), found, "rule")
-
-
-def _parts() -> Column:
-    """The comparable parts of a document as an array; needs the columns of ``_with_all``."""
-    text = lambda **fields: F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
-
-    def part(kind: str, address: Column, content: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), address.alias("address"), content.alias("content"))
-
-    heads = lambda x: {n.lower(): _clean(x[n]) for n in ("Name", "Summary", "Description", "Citation")}
-    own = F.array(
-        part("project", F.lit(""), text(**heads(F.col("project")), type=_clean(F.col("project.ProjectType")))))
-    realizations = F.transform(
-        _realizations(),
-        lambda r, i: part(
-            "realization", _numbered(r, i), text(**heads(r), date=r["_dateCreated"], version=_clean(r["_productVersion"]))
-        ),
-    )
-    analyses = F.transform(
-        _analyses(), lambda x: part("analysis", x["spot"], text(**heads(x["a"])))
-    )
-    datasets = F.transform(
-        "datasets",
-        lambda d: part(
-            "dataset",
-            _dataset_place(d),
-            text(
-                id=d["dataset_id"], name=d["name"], path=d["path"], ext_ref=d["ext_ref"], url=d["url"], ref=d["ref"],
-                summary=d["summary"], description=d["description"], citation=d["citation"],
-            ),
-        ),
-    )
-    layers = F.transform(
-        "layers",
-        lambda y: part(
-            "layer",
-            y["place"],
-            text(layer=y["layer_name"], name=y["name"], ext_ref=y["ext_ref"], summary=y["summary"],
-                 description=y["description"], citation=y["citation"]),
-        ),
-    )
-    metadata = F.transform(
-        "metadata",
-        lambda m: part(
-            "meta",
-            m["place"],
-            text(name=m["name"], value=m["value"], type=m["type"], ext=m["ext"], locked=m["locked"]),
-        ),
-    )
-    return _concat(own, realizations, analyses, datasets, layers, metadata)
+            for rule, where, broken in rules
+        ]
+        findings = F.when(F.col("kind") == kind, F.array(*listed)).otherwise(findings)
+    # The outer form is deliberate: for the inner one the optimizer adds a filter on the array's
+    # size, which computes the whole array a second time.  So is leaving out the rules that hold
+    # by a function with a lambda: it is evaluated rule by rule, where generated code for all
+    # rules at once would be too long for the JVM to compile.
+    broken = F.filter(findings, lambda f: f.isNotNull())
+    return nodes_of(manifests, KINDS, _JUDGED).select("project_id", F.inline_outer(broken)).where("rule IS NOT NULL")
+
+
+#: Kinds that are compared, with the fields that equality looks at and their names in the content.
+_COMPARED = {
+    PROJECT: {**{c: c for c in ("name", "summary", "description", "citation")}, "type": "project_type"},
+    REALIZATION: {**{c: c for c in ("name", "summary", "description", "citation")}, "date": "dated", "version": "version"},
+    ANALYSIS: {c: c for c in ("name", "summary", "description", "citation")},
+    DATASET: {c: c for c in ("id", "name", "path", "ext_ref", "url", "ref", "summary", "description", "citation")},
+    LAYER: {"layer": "id", **{c: c for c in ("name", "ext_ref", "summary", "description", "citation")}},
+    META: {c: c for c in ("name", "value", "type", "ext", "locked")},
+}
+
+
+_CONTENT = tuple(sorted({column for fields in _COMPARED.values() for column in fields.values()}))
+
+
+def _content() -> Column:
+    """What equality looks at, as JSON text."""
+    text = F.lit(None).cast("string")
+    for kind, fields in _COMPARED.items():
+        text = F.when(F.col("kind") == kind, F.to_json(F.struct(*[F.col(c).alias(n) for n, c in fields.items()]))).otherwise(text)
+    return text
 
 
 def manifest_parts(manifests: DataFrame) -> DataFrame:
@@ -556,42 +251,53 @@ def manifest_parts(manifests: DataFrame) -> DataFrame:
     The address holds the place, id and position, so it names one part; the
     content is everything that equality looks at.
     """
-    return _rows(_with_all(manifests), _parts(), "kind")
+    nodes = nodes_of(manifests, tuple(_COMPARED), " ".join(("kind", "place", *_CONTENT)))
+    return nodes.select("project_id", "kind", F.col("place").alias("address"), _content().alias("content"))
+
+
+def _differing(left: str | None, right: str | None):
+    """Nodes by which two documents differ, with their side; of an unreadable one an empty project is left."""
+
+    def parts(text: str | None) -> dict[tuple, tuple]:
+        found = {}
+        for node in walk(text, frozenset(_COMPARED)) if text is not None else ():
+            node = {"kind": PROJECT, "place": ""} if node["kind"] == UNREADABLE else node
+            if fields := _COMPARED.get(node["kind"]):
+                found[node["kind"], node["place"]] = (tuple(node.get(c) for c in fields.values()), node)
+        return found
+
+    sides = parts(left), parts(right)
+    for side, other, name in ((*sides, "left"), (*sides[::-1], "right")):
+        for address, (content, node) in side.items():
+            if address not in other or other[address][0] != content:
+                yield node | {"side": name}
 
 
 def manifest_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Parts by which two versions of each project's manifest differ; equal trees give no rows.
 
-    The two documents meet in one row; equal texts are left at once and of the
-    others only the differing parts are compared by address.  A document that
-    cannot be read has no parts but an empty project.
+    The two documents meet in one row, where equal texts are left at once; of
+    the others both are walked and only the parts that differ go on, to be put
+    side by side by address.  A document that cannot be read has no parts but
+    an empty project.
     """
-    sides = [df.select("project_id", F.col("xml").alias(name)) for df, name in ((left, "left_xml"), (right, "right_xml"))]
-    both = sides[0].join(sides[1], "project_id", "full_outer")
-    both = both.where(~F.col("left_xml").eqNullSafe(F.col("right_xml")))
-    kept = ["project_id"]
-    for side, other in (("left", ["right_xml"]), ("right", [])):
-        parsed = _with_all(both.withColumn("xml", F.col(f"{side}_xml")), keep=tuple(kept[1:] + other))
-        none = F.array().cast("array<struct<kind:string,address:string,content:string>>")
-        parts = F.when(F.col("xml").isNotNull(), _parts()).otherwise(none)
-        kept.append(f"{side}_parts")
-        both = parsed.withColumn(f"{side}_parts", parts).select(*kept, *other)
-    both = both.select(
-        "project_id",
-        F.array_except("left_parts", "right_parts").alias("gone"),
-        F.array_except("right_parts", "left_parts").alias("come"),
-    )
-    same = lambda x, y: (x["kind"] == y["kind"]) & (x["address"] == y["address"])
-    entry = lambda x, a, b, status: F.struct(
-        x["kind"].alias("kind"), x["address"].alias("address"), a.alias("left_content"), b.alias("right_content"), status.alias("status")
-    )
-
-    def changed(x: Column) -> Column:
-        found = F.get(F.filter("come", lambda y: same(x, y)), F.lit(0))
-        return entry(x, x["content"], found["content"], F.when(found.isNull(), "removed").otherwise("changed"))
-
-    added = F.filter("come", lambda y: ~F.exists("gone", lambda x: same(x, y)))
-    rows = _concat(
-        F.transform("gone", changed), F.transform(added, lambda y: entry(y, _none(), y["content"], F.lit("added")))
-    )
-    return _rows(both, rows, "kind")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    texts = [df.select("project_id", F.col("xml").cast("string").alias(name)) for df, name in ((left, "left_xml"), (right, "right_xml"))]
+    both = texts[0].join(texts[1], "project_id", "full_outer").where("NOT left_xml <=> right_xml")
+    schema = node_schema(both.schema["project_id"].dataType, ("kind", "place", *_CONTENT)).add("side", T.StringType())
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        def found():
+            for batch in batches:
+                for project, old, new in zip(*(column.to_pylist() for column in batch.columns)):
+                    yield from ((project, node) for node in _differing(old, new))
+
+        yield from as_batches(found(), arrow)
+
+    parts = both.select("project_id", "left_xml", "right_xml").mapInArrow(run, schema).withColumn("content", _content())
+    on = lambda side: F.max(F.when(F.col("side") == side, F.col("content")))
+    met = parts.groupBy("project_id", "kind", F.col("place").alias("address")).agg(on("left").alias("left_content"), on("right").alias("right_content"))
+    status = F.when(F.col("right_content").isNull(), "removed").when(F.col("left_content").isNull(), "added").otherwise("changed")
+    return met.withColumn("status", status)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.wkb import LINE, POLYGON, multi_line_wkb, parts_of, wkb_box
+from ..session import stored
+from .grid import LEAST, overlapping
 
 
 def layer_bounds(layer: DataFrame, *by: str, geometry: str = "geom") -> DataFrame:
@@ -26,32 +30,38 @@ def layer_bounds(layer: DataFrame, *by: str, geometry: str = "geom") -> DataFram
     )
 
 
-SEGMENT = "array<struct<part: int, seq: int, x1: double, y1: double, x2: double, y2: double>>"
+#: A straight piece of a line: its part of the geometry, its place there, its ends.
+SEGMENT = "part int, seq int, x1 double, y1 double, x2 double, y2 double"
 
 
-def line_segments(geometry: Column | str) -> Column:
-    """Straight pieces of a line geometry, in order."""
+def line_segments(lines: DataFrame, geometry: str = "geom") -> DataFrame:
+    """Straight pieces of line geometries, in order: the other columns, and those of ``SEGMENT``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    @F.pandas_udf(SEGMENT)
-    def segments(blobs: pd.Series) -> pd.Series:
-        out = []
-        for blob in blobs:
-            rows = []
-            for part, (kind, shape) in enumerate(parts_of(bytes(blob)) if blob is not None else []):
-                if kind == LINE:
-                    xy = shape[0]
-                    rows += [
-                        {"part": part, "seq": i, "x1": xy[i, 0], "y1": xy[i, 1], "x2": xy[i + 1, 0], "y2": xy[i + 1, 1]}
-                        for i in range(len(xy) - 1)
-                    ]
-            out.append(rows)
-        return pd.Series(out)
+    others = [f for f in lines.schema.fields if f.name != geometry]
+    schema = T.StructType([*others, *T.StructType.fromDDL(SEGMENT)])
+    arrow = to_arrow_schema(schema)
 
-    return segments(geometry)
-
-
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.explode(F.sequence(F.floor(low / size).cast("bigint"), F.floor(high / size).cast("bigint")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, part, seq, ends = [], [], [], []
+            for row, blob in enumerate(batch.column(geometry)):
+                blob = blob.as_py()
+                for at, (kind, shape) in enumerate(parts_of(blob) if blob is not None else []):
+                    n = len(shape[0]) - 1
+                    if kind == LINE and n > 0:
+                        owner.append(np.full(n, row))
+                        part.append(np.full(n, at, np.int32))
+                        seq.append(np.arange(n, dtype=np.int32))
+                        ends.append(np.c_[shape[0][:-1], shape[0][1:]])
+            if owner:
+                taken = batch.take(pa.array(np.concatenate(owner)))
+                columns = [taken.column(f.name) for f in others]
+                columns += [pa.array(np.concatenate(part)), pa.array(np.concatenate(seq))]
+                columns += [pa.array(c) for c in np.concatenate(ends).T.copy()]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return lines.mapInArrow(run, schema)
 
 
 def _inside_spans(segments: np.ndarray, rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,6 +110,29 @@ def _inside_spans(segments: np.ndarray, rings: list[np.ndarray]) -> tuple[np.nda
     return index, t0[index, piece], t1[index, piece]
 
 
+def _joined(cuts: pa.StructArray) -> tuple[float, list[list[tuple[float, float]]]]:
+    """Length and lines of one line's stretches, in order: overlaps count once, stretches that touch are one line."""
+    lines: list[list[tuple[float, float]]] = []
+    length, last = 0.0, None
+    names = ("part", "seq", "t0", "t1", "x1", "y1", "x2", "y2")
+    for part, seq, t0, t1, x1, y1, x2, y2 in zip(*(cuts.field(n).to_pylist() for n in names)):
+        same = last is not None and last[:2] == (part, seq)
+        if same:
+            t0 = max(t0, last[2])
+            if t1 <= t0:
+                continue
+        first, final = (x1 + (x2 - x1) * t0, y1 + (y2 - y1) * t0), (x1 + (x2 - x1) * t1, y1 + (y2 - y1) * t1)
+        if same and last[2] == t0:
+            lines[-1][-1] = final
+        elif last is not None and last[0] == part and last[1] + 1 == seq and last[2] == 1.0 and t0 == 0.0:
+            lines[-1].append(final)
+        else:
+            lines.append([first, final])
+        length += math.hypot(final[0] - first[0], final[1] - first[1])
+        last = (part, seq, t1)
+    return length, lines
+
+
 #: Segments that go to Python with one copy of a polygon, about.
 CHUNK = 1000
 
@@ -111,53 +144,36 @@ def clip_flowlines(
 
     Catchments tile their watershed, so a line is cut at each catchment and the
     pieces are put together again per group; overlapping catchments do not
-    count twice.  Segments and catchments meet through grid cells: both list
-    the cells of their boxes, cells meet by equality, and a pair is kept only
-    where the boxes overlap, in the one cell that holds the lower left corner
-    of the overlap.  Copies of a line are cut once and given back as often as
-    they came; copies of a catchment are dropped.
+    count twice.  Segments and catchments meet in a hierarchy of grids (see
+    ``operators.grid``), so neither a long segment nor a large catchment lists
+    more than a few cells; ``cell_size`` is the width of the smallest cells,
+    which otherwise suit the shapes.  Copies of a line are cut once and given
+    back as often as they came; copies of a catchment are dropped.
     """
-    shapes = (
+    shapes = stored(
         catchments.where(F.col("geom").isNotNull())
         .select(F.col(group).alias("g"), F.col("geom").alias("polygon"))
         .distinct()
-        .withColumn("p", wkb_box("polygon"))
-        .withColumn("pid", F.md5("polygon"))
+        .select("g", "polygon", F.md5("polygon").alias("pid"), wkb_box("polygon").alias("p")),
+        "catchments",
     )
-    if cell_size is None:
-        # Cells about as wide as a catchment keep the lists of cells short on both sides.
-        span = shapes.agg(F.avg(F.greatest(F.col("p.max_x") - F.col("p.min_x"), F.col("p.max_y") - F.col("p.min_y"))))
-        cell_size = span.first()[0] or 1.0
-    pieces = (
+    lines = (
         flowlines.where(F.col("geom").isNotNull())
         .groupBy("comid", "geom")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .select("comid", F.md5("geom").alias("line"), "copies", F.explode(line_segments("geom")).alias("s"))
-        .select("comid", "line", "copies", "s.*")
+        .select("comid", F.md5("geom").alias("line"), "copies", "geom")
     )
-    left = pieces.select(
+    left = line_segments(lines).select(
         "*",
         F.least("x1", "x2").alias("sx0"),
-        F.greatest("x1", "x2").alias("sx1"),
         F.least("y1", "y2").alias("sy0"),
+        F.greatest("x1", "x2").alias("sx1"),
         F.greatest("y1", "y2").alias("sy1"),
     )
-    left = left.select("*", _cells(F.col("sx0"), F.col("sx1"), cell_size).alias("cx"))
-    left = left.select("*", _cells(F.col("sy0"), F.col("sy1"), cell_size).alias("cy"))
-    right = shapes.select("g", "pid", "p.*")
-    right = right.select("*", _cells(F.col("min_x"), F.col("max_x"), cell_size).alias("cx"))
-    right = right.select("*", _cells(F.col("min_y"), F.col("max_y"), cell_size).alias("cy"))
-    size = F.lit(cell_size)
-    overlaps = (
-        (F.col("sx0") <= F.col("max_x"))
-        & (F.col("sx1") >= F.col("min_x"))
-        & (F.col("sy0") <= F.col("max_y"))
-        & (F.col("sy1") >= F.col("min_y"))
-        & (F.col("cx") == F.floor(F.greatest("sx0", "min_x") / size))
-        & (F.col("cy") == F.floor(F.greatest("sy0", "min_y") / size))
-    )
+    boxes = ("sx0", "sy0", "sx1", "sy1"), ("min_x", "min_y", "max_x", "max_y")
+    met = overlapping(left, shapes.select("g", "pid", "p.*"), *boxes, cell_size or LEAST)
     segment = ["comid", "line", "copies", "part", "seq", "x1", "y1", "x2", "y2"]
-    pairs = left.join(right, ["cx", "cy"]).where(overlaps).select("g", "pid", *segment)
+    pairs = met.select("g", "pid", *segment)
     # Pairs travel by the polygon's digest; its bytes join once per chunk of segments.
     chunks = pairs.groupBy("g", "pid").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("chunks"))
     chunks = chunks.select(F.col("g").alias("cg"), F.col("pid").alias("cpid"), "chunks")
@@ -171,13 +187,13 @@ def clip_flowlines(
     )
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields if f.name in ("g", "comid")}
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g, blob, given in zip(batch["g"], batch["polygon"], batch["segments"]):
-                listed = pd.DataFrame.from_records([s if isinstance(s, dict) else s.asDict() for s in given])
-                corners = listed[["x1", "y1", "x2", "y2"]].to_numpy("f8")
+            for row in range(batch.num_rows):
+                listed = pa.RecordBatch.from_struct_array(batch.column("segments").slice(row, 1).flatten())
+                corners = np.column_stack([listed.column(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")])
                 rows, starts, stops = [], [], []
-                for kind, rings in parts_of(bytes(blob)):
+                for kind, rings in parts_of(batch.column("polygon")[row].as_py()):
                     if kind != POLYGON:
                         continue
                     # Few enough segments at a time that the tables of crossings stay small.
@@ -187,12 +203,13 @@ def clip_flowlines(
                         rows.append(at + index)
                         starts.append(t0)
                         stops.append(t1)
-                if rows:
-                    found = listed.iloc[np.concatenate(rows)].assign(t0=np.concatenate(starts), t1=np.concatenate(stops))
-                    found.insert(0, "g", g)
-                    yield found
+                if rows and sum(map(len, rows)):
+                    found = listed.take(pa.array(np.concatenate(rows)))
+                    owner = batch.column("g").take(pa.array(np.full(found.num_rows, row)))
+                    columns = [owner, *found.columns, pa.array(np.concatenate(starts)), pa.array(np.concatenate(stops))]
+                    yield pa.RecordBatch.from_arrays(columns, ["g", *found.schema.names, "t0", "t1"])
 
-    inside = work.mapInPandas(
+    inside = work.mapInArrow(
         cut,
         f"g {kinds['g']}, comid {kinds['comid']}, line string, copies bigint, part int, seq int,"
         " x1 double, y1 double, x2 double, y2 double, t0 double, t1 double",
@@ -202,36 +219,17 @@ def clip_flowlines(
         F.array_sort(F.collect_list(F.struct("part", "seq", "t0", "t1", "x1", "y1", "x2", "y2"))).alias("cuts")
     )
 
-    def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                lines: list[list[tuple[float, float]]] = []
-                length, last = 0.0, None
-                for c in r.cuts:
-                    part, seq, t0, t1 = c["part"], c["seq"], c["t0"], c["t1"]
-                    if last is not None and last[:2] == (part, seq):
-                        t0 = max(t0, last[2])
-                        if t1 <= t0:
-                            continue
-                    at = lambda t: (c["x1"] + (c["x2"] - c["x1"]) * t, c["y1"] + (c["y2"] - c["y1"]) * t)  # noqa: B023, E731
-                    first, final = at(t0), at(t1)
-                    joins = last is not None and (
-                        (last[:2] == (part, seq) and last[2] == t0)
-                        or (last[0] == part and last[1] + 1 == seq and last[2] == 1.0 and t0 == 0.0)
-                    )
-                    if joins and last[1] == seq:
-                        lines[-1][-1] = final
-                    elif joins:
-                        lines[-1].append(final)
-                    else:
-                        lines.append([first, final])
-                    length += float(np.hypot(final[0] - first[0], final[1] - first[1]))
-                    last = (part, seq, t1)
-                rows.append((r.g, r.comid, r.copies, length, multi_line_wkb(lines)))
-            yield pd.DataFrame(rows, columns=[group, "comid", "copies", "length", "geom"])
-
-    rebuilt = gathered.mapInPandas(
+            lengths, geoms = [], []
+            for cuts in batch.column("cuts"):
+                length, lines = _joined(cuts.values)
+                lengths.append(length)
+                geoms.append(multi_line_wkb(lines))
+            columns = [batch.column("g"), batch.column("comid"), batch.column("copies"), pa.array(lengths), pa.array(geoms, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [group, "comid", "copies", "length", "geom"])
+
+    rebuilt = gathered.mapInArrow(
         rebuild, f"`{group}` {kinds['g']}, comid {kinds['comid']}, copies bigint, length double, geom binary"
     )
     again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .reach_labels import Labels, label_network, upstream_of, upstream_of_one
+
+__all__ = ["MAX_KM", "Labels", "Ways", "label_network", "network_role", "network_scope", "network_ways", "upstream", "upstream_many"]
 
 MAX_KM = 999.0
 
@@ -83,12 +86,17 @@ def network_ways(edges: DataFrame, max_km: float = MAX_KM) -> Ways:
     return Ways(tuple(levels), reaches, max_km)
 
 
-def upstream_many(edges: DataFrame | Ways, starts: DataFrame, max_km: float | None = None) -> DataFrame:
+def upstream_many(edges: DataFrame | Ways | Labels, starts: DataFrame, max_km: float | None = None) -> DataFrame:
     """All reaches that drain to each start within ``max_km``: ``start, comid, distance_km``.
 
-    The limit is 999 km, or that of the ways given, if none is named.  Takes the network's edges, or the ways that ``network_ways`` has stored for
-    them, which serve any number of searches of no greater distance.
+    The limit is 999 km, or that of the ways given, if none is named.  Takes
+    the network's edges; or the labels that ``label_network`` has stored for
+    them, which answer any question by ranges of numbers and read each start's
+    whole range; or the ways of ``network_ways``, which suit very many starts
+    with a short limit, and serve searches of no greater distance.
     """
+    if isinstance(edges, Labels):
+        return upstream_of(edges, starts, MAX_KM if max_km is None else max_km)
     ways = edges if isinstance(edges, Ways) else network_ways(edges, MAX_KM if max_km is None else max_km)
     max_km = ways.max_km if max_km is None else max_km
     if ways.max_km < max_km:
@@ -102,17 +110,19 @@ def upstream_many(edges: DataFrame | Ways, starts: DataFrame, max_km: float | No
     return known
 
 
-def upstream(edges: DataFrame | Ways, start: int, max_km: float | None = None) -> DataFrame:
-    """The start and all reaches that drain to it within ``max_km``: ``comid, distance_km``."""
+def upstream(edges: DataFrame | Ways | Labels, start: int, max_km: float | None = None) -> DataFrame:
+    """The start and all reaches that drain to it within ``max_km``: ``comid, distance_km``.
+
+    Of a labelled network without side arms it is one filtered scan.
+    """
+    if isinstance(edges, Labels):
+        return upstream_of_one(edges, start, MAX_KM if max_km is None else max_km)
     # A range keeps the start a column: as a literal it would turn the first join into a filter and a broadcast.
-    first = ways_session(edges).range(start, start + 1)
+    spark = (edges.reaches if isinstance(edges, Ways) else edges).sparkSession
+    first = spark.range(start, start + 1)
     return upstream_many(edges, first.select(F.col("id").alias("comid")), max_km).select("comid", "distance_km")
 
 
-def ways_session(edges: DataFrame | Ways):
-    return (edges.reaches if isinstance(edges, Ways) else edges).sparkSession
-
-
 def network_scope(selected: DataFrame, tributaries: DataFrame, watershed: DataFrame) -> DataFrame:
     """Each reach once with ``is_upstream``: selected and tributary reaches, then the watershed's others."""
     up = selected.select("comid").unionByName(tributaries.select("comid")).withColumn("is_upstream", F.lit(True))

@@ -62,11 +62,11 @@ BROADCAST_ROWS = 100_000
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Does the table have at most ``max_rows`` rows?  Counts them by partial sums, without gathering any.
+    """Does the table have at most ``max_rows`` rows?  Counts no further than that.
 
     Meant for lookups, id lists and stored tables: a costly plan would run twice.
     """
-    return df.count() <= max_rows
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -76,3 +76,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     uses a shuffled join and adaptive execution splits skewed partitions.
     """
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def broadcast_all_if_small(*tables: DataFrame, max_rows: int = BROADCAST_ROWS) -> list[DataFrame]:
+    """``broadcast_if_small`` for several lookups, whose rows one job counts."""
+    marked = [t.limit(max_rows + 1).select(F.lit(i).alias("which")) for i, t in enumerate(tables)]
+    every = marked[0]
+    for more in marked[1:]:
+        every = every.unionByName(more)
+    counts = {r["which"]: r["count"] for r in every.groupBy("which").count().collect()}
+    return [F.broadcast(t) if counts.get(i, 0) <= max_rows else t for i, t in enumerate(tables)]

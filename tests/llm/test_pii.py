@@ -103,6 +103,8 @@ def test_long_runs_take_no_long_time(text):
         "anna at firma dot pl", "anna at firma dot ru", "anna at firma dot se", "anna at firma dot nz", "Anna At Firma Dot Online", "jane@intranet dot corp", "jane at host [dot] internal",
         "j dot a dot doe [at] example dot com", "j [dot] doe at example dot com", "a dot b dot c dot d dot e dot f dot g dot h dot i at example dot com", "a at b dot c dot d dot e dot f dot g dot h dot i dot j dot com",
         "jane at mail dot firma.pl",
+        "jane at example.com", "jane.doe at mail.example.co.uk", "jane@example[.]com", "jane (a) example (dot) com", "jane{@}example.com", "jane  at  example  dot  com",
+        "jane [@] example [.] com", "jane at example.com", "jane\tat\texample.org",
     ],
 )
 def test_mixed_and_long_addresses(hidden):
@@ -129,3 +131,33 @@ def test_many_signs_take_no_long_time(text):
     start = time.process_time()
     pii.find(text)
     assert time.process_time() - start < 10
+
+
+@pytest.mark.parametrize(
+    "hidden, kind",
+    [
+        ("one nine two dot one six eight dot zero dot one", "ip"),
+        ("one nine two.one six eight.zero.one", "ip"),
+        ("one nine two [dot] one six eight (.) zero dot one", "ip"),
+        ("192[.]168[.]0[.]1", "ip"),
+        ("192  dot  168 dot 0 dot 1", "ip"),
+        ("plus one double five five one two triple three four", "phone"),
+    ],
+)
+def test_octets_in_words_and_brackets(hidden, kind):
+    base, everything = pii.find("see " + hidden + ", please")
+    assert not base[kind] and everything[kind] == [(4, 4 + len(hidden))]
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "Visit us at www.example.org now", "option (a) example.com", "one two.three", "one.two", "double or triple", "I was at a. Come at b.c", "at example.com", "seen at. com", "[.] and [@]"])
+def test_more_speech_is_no_address(text):
+    assert not any(pii.find(text)[1].values())
+
+
+@pytest.mark.parametrize("text", ["one." * 40_000, "one " * 40_000 + ".", "double " * 40_000 + "one", "a at b." * 30_000, "x [.] " * 30_000, "(a) " * 40_000 + "b [.] c", "one" + " " * 100_000 + "two"])
+def test_long_runs_of_new_forms_take_no_long_time(text):
+    import time
+
+    start = time.process_time()
+    pii.find(text)
+    assert time.process_time() - start < 10

@@ -37,19 +37,38 @@ LOOKALIKES = dict(
 )
 #: Characters without width, which are dropped.
 INVISIBLE = set("­᠎​‌‍⁠﻿")
-#: Digits written as words.
+#: Digits written as words, and words for how often one counts.
 SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0", "plus": "+"}
+TIMES = {"double": 2, "triple": 3}
+#: Words before "at" that make it speech where nothing else of an address is disguised ("look at example.com").
+SPEECH = set(
+    """a about all and are arrive arrived available back be been being book booked bought browse buy call check chat click come contact
+    details directly down everything find for found free get go going good happen have he help her here him home hosted i info
+    information is it join just learn less listed live located look looked looking looks me meet more most mostly new not now of off
+    offered on online only or order orders out over page pages point pointed pointing points post posted published purchase read
+    register registered residing reside see seen she shop sign site sold staff stay still store subscribe support team that the them
+    there these they this those today us up view visit was watch we website were while who work worked working works you""".split()
+)
 
 _WORDS = "|".join(SPELLED)
-_RUN = re.compile(rf"\b(?:{_WORDS})(?:[ \t,-]+(?:{_WORDS}|[0-9]+))+\b", re.IGNORECASE)
-_ONE = re.compile(rf"{_WORDS}|[0-9]+", re.IGNORECASE)
-_SIGN = re.compile(r"(?<![ \t])[ \t]*[\[({<][ \t]*(at|dot)[ \t]*[\])}>][ \t]*", re.IGNORECASE)
-#: Signs of an address in any form, plain ones last; a spoken one stands between single spaces.
-_AT = re.compile(rf"{_SIGN.pattern.replace('(at|dot)', 'at')}|(?P<spoken> at )|(?P<plain>@)", re.IGNORECASE)
-_DOT = re.compile(rf"{_SIGN.pattern.replace('(at|dot)', 'dot')}|(?P<spoken> dot )|(?P<plain>\.)", re.IGNORECASE)
+#: Between single words: up to three blanks.
+_GAP = r"[ \t]{1,3}"
+#: A sign in brackets takes the blanks around it with it.
+_BRACKETED = r"(?<![ \t])[ \t]*[\[({{<][ \t]*{}[ \t]*[\])}}>][ \t]*"
+_UNIT = rf"(?:(?:{'|'.join(TIMES)}){_GAP})?(?:{_WORDS})"
+_SPELLED_DOT = rf"\.|{_GAP}dot{_GAP}|{_BRACKETED.format(r'(?:dot|[.])')}"
+_RUN = re.compile(rf"\b{_UNIT}(?:(?:{_SPELLED_DOT}|[ \t,-]+)(?:{_UNIT}|[0-9]+))+\b", re.IGNORECASE)
+_ONE = re.compile(rf"(?:({'|'.join(TIMES)}){_GAP})?({_WORDS}|[0-9]+)", re.IGNORECASE)
+_SIGN = re.compile(_BRACKETED.format("(at|dot|[@.])"), re.IGNORECASE)
+#: Signs of an address in any form, plain ones last; ``(a)`` is as weak a sign as a spoken one.
+_AT = re.compile(
+    rf"{_BRACKETED.format('(?:at|@)')}|(?P<weak>{_BRACKETED.format('a')})|(?P<spoken>{_GAP}at{_GAP})|(?P<plain>@)", re.IGNORECASE
+)
+_DOT = re.compile(rf"{_BRACKETED.format('(?:dot|[.])')}|(?P<spoken>{_GAP}dot{_GAP})|(?P<plain>\.)", re.IGNORECASE)
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
-_SPOKEN_IP = re.compile(r"(?<![A-Za-z0-9_])[0-9]{1,3}(?:(?: dot |\.)[0-9]{1,3}){3}(?![A-Za-z0-9_])", re.IGNORECASE)
-_SPOKEN_DOT = re.compile(r" dot ", re.IGNORECASE)
+_SPOKEN_IP = re.compile(rf"(?<![A-Za-z0-9_])[0-9]{{1,3}}(?:(?:{_GAP}dot{_GAP}|\.)[0-9]{{1,3}}){{3}}(?![A-Za-z0-9_])", re.IGNORECASE)
+_SPOKEN_DOT = re.compile(rf"{_GAP}dot{_GAP}", re.IGNORECASE)
+_SPOKEN_AT = re.compile(rf"[A-Za-z0-9._%+-]{_GAP}at{_GAP}[A-Za-z0-9-]+\.", re.IGNORECASE)
 
 
 def emails(text: str):
@@ -137,6 +156,7 @@ def letters(tape: Tape) -> None:
 
 
 def spelled_digits(tape: Tape) -> None:
+    """Runs of four digits in words or more, also over the dots of an address; the dots stay for ``signs``."""
     spans = []
     for run in _RUN.finditer(tape.text):
         parts = list(_ONE.finditer(tape.text, *run.span()))
@@ -144,16 +164,19 @@ def spelled_digits(tape: Tape) -> None:
             continue
         for here, after in zip(parts, [*parts[1:], None]):
             stop = after.start() if after else here.end()
-            spans.append((here.start(), stop, SPELLED.get(here[0].lower(), here[0])))
+            if _DOT.search(tape.text, here.end(), stop):
+                stop = here.end()
+            digit = SPELLED.get(here[2].lower(), here[2])
+            spans.append((here.start(), stop, digit * TIMES.get((here[1] or "").lower(), 1)))
     tape.rewrite(spans)
 
 
 def _domain(text: str, at: re.Match) -> list[re.Match]:
     """The signs within the domain after an at sign; none if there is no domain or nothing to undo in it.
 
-    A spoken at sign needs a disguised dot, and an ending in use or a dot in
-    brackets before the last label.  After another at sign a spoken dot may
-    have any ending, but one in use goes before: what follows it is speech.
+    After a spoken at sign, or ``(a)``, the domain needs an ending in use, or a
+    dot in brackets before the last label.  After another at sign a spoken dot
+    may have any ending, but one in use goes before: what follows it is speech.
     """
     dots, known, bracketed, disguised = [], 0, 0, False
     label = _LABEL.match(text, at.end())
@@ -163,13 +186,13 @@ def _domain(text: str, at: re.Match) -> list[re.Match]:
             break
         dots.append(dot)
         disguised = disguised or not dot["plain"]
-        if disguised and label[0].lower() in ENDINGS:
+        if (disguised or at["spoken"]) and label[0].lower() in ENDINGS:
             known = len(dots)
         if not dot["plain"] and not dot["spoken"]:
             bracketed = len(dots)
     if known:
         return dots[:known]
-    if at["spoken"]:
+    if at["spoken"] or at["weak"]:
         return dots[:bracketed]
     return dots if dots and dots[0]["spoken"] else []
 
@@ -196,21 +219,23 @@ def _spoken_signs(text: str) -> list[tuple[int, int, str]]:
             start = dot.start()
         if start == at.start():
             continue
+        if at["spoken"] and not left and all(m["plain"] for m in dots) and text[start : at.start()].lower() in SPEECH:
+            continue
+        weak = at["spoken"] or at["weak"]
         spans += [(*m.span(), ".") for m in reversed(left) if m["spoken"]]
-        spans += [(*at.span(), "@")] if at["spoken"] else []
+        spans += [(*at.span(), "@")] if weak else []
         spans += [(*m.span(), ".") for m in dots if m["spoken"]]
         done = dots[-1].end()
     return spans
 
 
 def signs(tape: Tape) -> None:
-    """``[at]``, ``(dot)`` and, in an address, `` at `` and `` dot ``, in any mix."""
+    """``[at]``, ``(dot)``, ``{@}``, ``[.]`` and, in an address, spoken signs and ``(a)``, in any mix."""
     low = tape.text.lower()
-    if " at " in low or " dot " in low:
+    if "at" in low or "dot" in low or _SIGN.search(tape.text):
         tape.rewrite(_spoken_signs(tape.text))
-    if "at" in low or "dot" in low:
-        tape.rewrite([(*m.span(), "@" if m[1].lower() == "at" else ".") for m in _SIGN.finditer(tape.text)])
-    if " dot " in low:
+        tape.rewrite([(*m.span(), "@" if m[1].lower() in ("at", "@") else ".") for m in _SIGN.finditer(tape.text)])
+    if "dot" in low:
         tape.rewrite([(*m.span(), ".") for whole in _SPOKEN_IP.finditer(tape.text) for m in _SPOKEN_DOT.finditer(tape.text, *whole.span())])
 
 
@@ -229,8 +254,7 @@ def _disguised(text: str) -> bool:
                 return True
         except UnicodeEncodeError:
             return True
-    low = text.lower()
-    return " dot " in low or bool(_SIGN.search(text)) or bool(_RUN.search(text))
+    return any(bool(form.search(text)) for form in (_SPOKEN_DOT, _SPOKEN_AT, _SIGN, _RUN))
 
 
 def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
@@ -256,12 +280,16 @@ def _listed(found: dict[str, list[tuple[int, int]]]) -> str:
 def personal_data(docs: DataFrame) -> DataFrame:
     """Counts and spans of personal data for every document: the plain forms, and those that disguises hide.
 
-    In an address every sign may be plain, in brackets or spoken, in any mix and
-    with any number of labels.  Speech is told from addresses by an ending in
-    use (``endings``), or by another sign that is plain or in brackets.  An
-    added span covers the disguised characters and never overlaps a plain
-    one of its kind.  Null texts count as empty; repeated rows and null ids are
-    kept; an empty table gives no rows.  Only id and text are read.
+    In an address every sign may be plain, in brackets (``[at]``, ``{@}``,
+    ``(a)``, ``[.]``) or spoken between up to three blanks, in any mix and with
+    any number of labels.  Speech is told from addresses by an ending in use
+    (``endings``), or by another sign that is plain or in brackets; where "at"
+    alone is spoken, the word before it must not be one that goes before "at"
+    in speech (``SPEECH``).  Digits in words count from four on, also over the
+    dots of an address and with ``double`` and ``triple``.  An added span covers
+    the disguised characters and never overlaps a plain one of its kind.  Null
+    texts count as empty, long ones are read whole; repeated rows and null ids
+    are kept; an empty table gives no rows.  Only id and text are read.
     """
 
     def function(texts):

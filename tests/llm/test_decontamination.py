@@ -11,7 +11,8 @@ def held(words, item):
     own = d.shingles(item)
     cut = len(own) - max(1, len(own) // 3)
     parts = [set(own), set(own[:cut]) or set(own), set(own[cut:])]
-    got = set(d.shingles(words))
+    size = min(5, len(item))  # a shorter item is one run of its own length
+    got = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
     share = [len(p & got) / len(p) for p in parts]
     return share[0] >= 0.8 and min(share[1:]) >= 0.5
 
@@ -55,9 +56,19 @@ def test_odd_rows(spark):
         "doc_id long, text string",
     ).withColumn("item_id", F.lit("clash"))
     got = sorted(((r.doc_id, r.item_id) for r in d.leaks(docs, items).collect()), key=str)
-    assert got == [(3, 4), (3, 4), (8, 5), (9, 1), (None, 4)]
+    assert got == [(3, 4), (3, 4), (6, 1), (8, 5), (9, 1), (None, 4)]
     assert d.leaks(docs, items.limit(0)).count() == 0 and d.leaks(docs.limit(0), items).count() == 0
     assert d.without_leaks(docs, items.limit(0)).count() == 9
+    clashing = docs.withColumn("leak", F.lit("x")).withColumn("LEAK_", F.lit("y"))
+    left = d.without_leaks(clashing, items)
+    assert left.columns == clashing.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 7]
+    assert d.without_leaks(docs.limit(0), items).count() == 0
+
+
+def test_short_items_inside_documents(spark):
+    items = spark.createDataFrame([(1, "short one here"), (2, "word"), (3, "a b c d")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before short one here after it"), (2, "short one"), (3, "the word"), (4, "wording"), (5, "x " * 900 + "a b. C d"), (6, "a b d c")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in d.leaks(docs, items).collect()) == [(1, 1), (3, 2), (5, 3)]
 
 
 def test_several_indexes_find_the_same(spark, folder, monkeypatch):

@@ -25,6 +25,14 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Texts that a Python function takes at once, in bytes and in rows; a longer text comes alone.
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 2048
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ids_and_texts, map_texts, slices, whole_text
+from .common import ids_and_texts, map_texts, slices, unused, whole_text
 
 WORDS, OVERLAP = 5, 0.8
 #: Least overlap of each part: the question's, and the answer's (the last third of the item).
@@ -39,10 +39,10 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def shingles(words: list[str]) -> list[tuple[str, ...]]:
+def shingles(words: list[str], size: int = WORDS) -> list[tuple[str, ...]]:
     if not words:
         return []
-    return [tuple(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))]
+    return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
 class Index:
@@ -136,7 +136,8 @@ class Index:
         words = words_of(text)
         found: dict[int, tuple[int, float, float, float]] = {}
         for item, start, score in self.retrieve(words):
-            held = set(shingles(words[start : start + 2 * self.span]))
+            # an item of fewer words than a shingle is looked for among runs of its own length
+            held = set(shingles(words[start : start + 2 * self.span], min(WORDS, len(self.items[item]))))
             whole, question, answer = self.parts[item]
             share = [len(part & held) / len(part) for part in (whole, question, answer)]
             if share[0] >= OVERLAP - _SLACK and min(share[1:]) >= PART_OVERLAP - _SLACK:
@@ -179,9 +180,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     An item counts as held from four fifths of its five-word shingles on, with
     at least half of those of its question and of its answer.  ``bm25`` is the
     passage's score in units of the item's threshold.  An item of fewer words
-    is one shingle, found where a document is just these words; items and documents without words, or null, match
-    nothing; items repeated under one id give one row, the better; repeated
-    documents give their rows each.  An empty table gives no rows.
+    is one shingle, found wherever a document holds just these words in a row.
+    Items and documents without words, or null, match nothing; items repeated
+    under one id give one row, the better; repeated documents give their rows
+    each; a text of any length is read whole, passage by passage.  An empty
+    table gives no rows.  Of ``docs`` only id and text are read, of
+    ``benchmark`` item_id and text, whatever other columns are called.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -205,13 +209,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no test item; columns stay as they are."""
-    left = docs
+    """The documents that hold no test item (see ``leaks``); columns stay as they are, whatever their names.
+
+    Null and empty texts stay, repeated rows are judged alike, an empty table
+    on either side gives the documents as they are.
+    """
+    left, leak = docs, unused("leak", docs)
     for index in indexes(benchmark):
 
         def function(texts, index=index):
-            return {"__leak": [bool(index.value.leaks(t or "")) for t in texts]}
+            return {leak: [bool(index.value.leaks(t or "")) for t in texts]}
 
-        marked = map_texts(left, function, T.StructType([T.StructField("__leak", T.BooleanType())]), tuple(docs.columns))
-        left = marked.where(~F.col("__leak")).drop("__leak")
+        marked = map_texts(left, function, T.StructType([T.StructField(leak, T.BooleanType())]), tuple(docs.columns))
+        left = marked.where(~F.col(leak)).drop(leak)
     return left

@@ -119,3 +119,13 @@ def test_keep_one(spark):
     assert got.columns == given.columns
     assert sorted((r.doc_id, r.text) for r in got.collect() if r.doc_id) == [(2, "a b c d e"), (9, "quite other words here")]
     assert [r.text for r in got.collect() if r.doc_id is None] == ["lone text of nobody"]
+
+
+def test_keep_one_tells_texts_under_one_id_apart(spark):
+    rows = [(1, "alpha beta gamma delta"), (1, "wholly other words stand here"), (1, "alpha beta gamma delta"), (0, "wholly other words stand here"), (None, "alpha beta gamma delta"), (5, None), (4, ""), (6, " \t")]
+    names = {c: F.lit("clash") for c in ("fp", "row", "FP_", "class", "least", "first", "member", "node", "bare")}
+    given = spark.createDataFrame(rows, "doc_id long, text string").withColumns(names)
+    got = simhash.keep_one(given.repartition(3))
+    assert got.columns == given.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(0, "wholly other words stand here"), (1, "alpha beta gamma delta"), (4, "")]
+    assert simhash.keep_one(given.limit(0)).count() == 0

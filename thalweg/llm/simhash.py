@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
-from .common import ids_and_texts, map_texts
+from .common import ids_and_texts, map_texts, unused
 from .components import components
 from .sharding import slotted
 
@@ -230,19 +230,24 @@ def links(prints: DataFrame, limit: int = DISTANCE, group: int = GROUP) -> DataF
     return found.unionByName(_large_node_links(rows, limit, group))
 
 
+def _classes(prints: DataFrame, limit: int, group: int) -> DataFrame:
+    """The class of every fingerprint ``fp``: the closure of links within ``limit`` bits."""
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    joined = components(links(distinct, limit, group))
+    return distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("class"))
+
+
 def near_duplicates(docs: DataFrame, limit: int = DISTANCE, group: int = GROUP) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` for every document.
 
     The component is named by its smallest id.  Null and empty texts have
-    fingerprint zero and link like any other; repeated rows are kept; a row
-    with a null id takes part and its component is named by the others, null
-    where none has an id.  An empty table gives no rows.  Only id and text are
-    read.
+    fingerprint zero and link like any other; texts of any length are read
+    whole; repeated rows are kept; a row with a null id takes part and its
+    component is named by the others, null where none has an id.  An empty
+    table gives no rows.  Only id and text are read.
     """
     prints = stored(fingerprints(docs), "prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    joined = components(links(classes, limit, group))
-    rooted = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("class"))
+    rooted = _classes(prints, limit, group)
     named = rooted.groupBy("class").agg(F.min("least").alias("component_id"))
     members = rooted.select("fp", "class").join(named, "class").select(F.col("fp").alias("__fp"), "component_id")
     return prints.join(members, F.col("fp") == F.col("__fp")).select(
@@ -250,23 +255,29 @@ def near_duplicates(docs: DataFrame, limit: int = DISTANCE, group: int = GROUP)
     )
 
 
-def keep_one(docs: DataFrame, limit: int = DISTANCE) -> DataFrame:
-    """The documents less near copies: of each component the row with its smallest id stays.
+def keep_one(docs: DataFrame, limit: int = DISTANCE, group: int = GROUP) -> DataFrame:
+    """The documents less near copies: of each component one row stays, the one with its smallest id.
 
-    Columns stay as they are.  Of repeated rows with one id one stays.  Rows
-    with a null id stay if no numbered row is near, one for each fingerprint.
+    Rows are told apart by themselves, not by their ids: rows that share an id
+    and differ in text beyond ``limit`` bits are different documents, and each
+    stays or goes with its own component.  Of repeated rows, and of near copies
+    under one id, one stays; a row with a null id stays only where its
+    component has no numbered one.  Null and empty texts are copies of each
+    other.  Columns stay as they are, whatever their names; an empty table
+    gives no rows.
     """
-    found = near_duplicates(docs, limit)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    numbered = docs.join(stay, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    alone = stored(found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias("__print")).distinct(), "alone")
-    if not alone.count():
-        return numbered
-    bare = docs.where("doc_id IS NULL")
+    fp, row = unused("fp", docs), unused("row", docs)
 
     def function(texts):
-        return {"__fp": [f"{fingerprint(t or ''):016x}" for t in texts]}
-
-    marked = map_texts(bare, function, T.StructType([T.StructField("__fp", T.StringType())]), tuple(docs.columns))
-    rest = marked.join(alone, F.col("__fp") == F.col("__print"), "left_semi").dropDuplicates(["__fp"]).drop("__fp")
-    return numbered.unionByName(rest)
+        return {fp: [signed(fingerprint(t or "")) for t in texts]}
+
+    marked = map_texts(docs, function, T.StructType([T.StructField(fp, T.LongType())]), tuple(docs.columns))
+    # the number is written with the row, so it stays the same in every later reading
+    marked = stored(marked.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    prints = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")).alias("first")
+    # copies are reduced to one row before they meet their class, so a large group stays small
+    least = prints.groupBy("fp").agg(first)
+    classes = _classes(prints, limit, group).select(F.col("fp").alias("member"), "class")
+    kept = least.join(classes, F.col("fp") == F.col("member")).groupBy("class").agg(F.min("first").alias("first"))
+    return marked.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -417,21 +417,45 @@ def reach_stats_query(spark, folder):
 
 @query("upstream", f"WITH RECURSIVE {UP_SQL}, {NEAR_SQL} SELECT comid, distance_km FROM near")
 def upstream(spark, folder):
-    return network.upstream(Inputs(spark, folder).flow_edges, REACH)
+    """One question to a labelled network."""
+    return network.upstream(network.label_network(Inputs(spark, folder).flow_edges), REACH)
 
 
-@query(
-    "upstream_many",
-    """WITH RECURSIVE up AS (SELECT s_suppkey AS start, s_suppkey AS comid, CAST(0 AS DOUBLE) AS distance_km FROM supplier
+MANY_SQL = """WITH RECURSIVE up AS (SELECT s_suppkey AS start, s_suppkey AS comid, CAST(0 AS DOUBLE) AS distance_km FROM supplier
     UNION ALL SELECT up.start, e.comid, coalesce(e.length_km, 0) + up.distance_km FROM flow_edges e
-    JOIN up ON e.tocomid = up.comid WHERE coalesce(e.length_km, 0) + up.distance_km <= 40) SELECT start, comid, distance_km FROM up""",
-)
+    JOIN up ON e.tocomid = up.comid WHERE coalesce(e.length_km, 0) + up.distance_km <= 40) SELECT start, comid, distance_km FROM up"""
+
+
+@query("upstream_many", MANY_SQL)
 def upstream_many(spark, folder):
     i = Inputs(spark, folder)
     starts = i.supplier.select(F.col("s_suppkey").alias("comid"))
     return network.upstream_many(i.flow_edges, starts, max_km=40.0)
 
 
+@query("upstream_labelled", MANY_SQL)
+def upstream_labelled(spark, folder):
+    """Every reach as a start, asked of a labelled network."""
+    i = Inputs(spark, folder)
+    starts = i.supplier.select(F.col("s_suppkey").alias("comid"))
+    return network.upstream_many(network.label_network(i.flow_edges), starts, max_km=40.0)
+
+
+@query(
+    "upstream_braided",
+    """WITH RECURSIVE arms AS (SELECT comid, tocomid, length_km FROM flow_edges
+        UNION ALL SELECT s_suppkey, s_suppkey - 7, CAST(2 AS DOUBLE) FROM supplier WHERE s_suppkey % 5 = 4 AND s_suppkey >= 7),
+    up AS (SELECT CAST(3 AS BIGINT) AS comid, CAST(0 AS DOUBLE) AS km UNION
+        SELECT e.comid, coalesce(e.length_km, 0) + up.km FROM arms e JOIN up ON e.tocomid = up.comid WHERE coalesce(e.length_km, 0) + up.km <= 60)
+    SELECT comid, min(km) AS distance_km FROM up GROUP BY comid""",
+)
+def upstream_braided(spark, folder):
+    """A network in which every fifth reach has a side arm to another valley."""
+    i = Inputs(spark, folder)
+    arms = i.supplier.where("s_suppkey % 5 = 4 AND s_suppkey >= 7").selectExpr("s_suppkey AS comid", "s_suppkey - 7 AS tocomid", "CAST(2 AS DOUBLE) AS length_km")
+    return network.upstream(network.label_network(i.flow_edges.unionByName(arms)), 3, max_km=60.0)
+
+
 @query("network_scope", f"WITH RECURSIVE {UP_SQL}, {NEAR_SQL}, {SCOPE_SQL} SELECT comid, is_upstream FROM scope")
 def network_scope(spark, folder):
     return _scope(Inputs(spark, folder))

@@ -8,7 +8,7 @@ from ..operators import filters, raster, rollup
 from ..operators.rollup import MetricDef
 from ..session import fresh_folder
 from ..sources.lookups import explode_codes
-from ..sources.sinks import write_metrics
+from ..sources.sinks import read_committed, write_metrics
 from .inputs import Inputs
 from .registry import query
 
@@ -172,15 +172,16 @@ def skip_processed(spark, folder):
 
 @query("write_metrics", f"WITH {FANNED} SELECT {', '.join(KEYS)}, dgo_count FROM counts")
 def write_metrics_query(spark, folder):
-    """Appended metrics read back, for the watersheds in the ledger."""
+    """Appended metrics read back, for the watersheds in the ledger; the same job run again changes nothing."""
     root = fresh_folder(spark, "metrics")
-    write_metrics(_rolled(Inputs(spark, folder)), f"{root}/metrics", f"{root}/hucs")
+    metrics, ledger = f"{root}/metrics", f"{root}/hucs"
+    rolled = _rolled(Inputs(spark, folder))
+    for _ in range(2):
+        write_metrics(rolled, metrics, ledger, "first")
     # Watershed codes are text: partition values must not be read as numbers.
-    written = spark.read.schema("huc10 string, state_id int, flow_id int, owner_id int, dgo_count bigint").parquet(
-        f"{root}/metrics"
-    )
-    ledger = spark.read.schema("huc10 string").parquet(f"{root}/hucs")
-    return written.join(ledger, "huc10", "left_semi").select(*KEYS, "dgo_count")
+    written = read_committed(spark, metrics, metrics, rolled.schema)
+    done = read_committed(spark, ledger, metrics, "huc10 string")
+    return written.join(done, "huc10", "left_semi").select(*KEYS, "dgo_count")
 
 
 # --- rasters -----------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digest import PART_BYTES, PART_THRESHOLD, etag
-from .paths import empty_files, located
+from .paths import listed_files, located
 
 
 def file_digests(
@@ -36,8 +36,9 @@ def file_digests(
     small = files.where(F.col("length") < threshold).select(
         "path", "length", etag("content", part_bytes, threshold, single_part=True).alias("etag")
     )
-    none = spark.createDataFrame([(name,) for name in empty_files(path, pattern)], "path string").select(
-        "path", F.lit(0).cast("bigint").alias("length"), etag(F.unhex(F.lit("")), part_bytes, threshold, single_part).alias("etag")
+    # files of no bytes, which the file source passes over
+    none = listed_files(spark, path, pattern).where("length = 0").select(
+        "path", "length", etag(F.unhex(F.lit("")), part_bytes, threshold, single_part).alias("etag")
     )
     # A digest over the whole of a large file has to read it in order: one part.
     size = F.col("length") if single_part else F.lit(part_bytes).cast("bigint")

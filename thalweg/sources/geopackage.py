@@ -4,6 +4,9 @@ A geopackage is an SQLite file.  On mounted file systems each file is split by
 row id into pieces of about ``split_bytes``, so one very large file is read by
 many tasks.  On object stores or HDFS a file is one piece, which its task copies
 to its own disk once: no bytes are fetched twice.
+
+Comparisons and bounding boxes become SQL of the file's own engine, so rows that
+don't count are never decoded; a box goes by the layer's R-tree where it has one.
 """
 
 from __future__ import annotations
@@ -12,7 +15,20 @@ from typing import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    IsNull,
+    LessThan,
+    LessThanOrEqual,
+)
 from pyspark.sql.types import (
     BinaryType,
     BooleanType,
@@ -25,8 +41,11 @@ from pyspark.sql.types import (
 )
 
 from ..functions.wkb import strip_gp_header
-from .paths import located
+from ..session import stored
+from .paths import listed_files, located, root_of
 
+#: The setting by which Spark hands filters to data sources written in Python.
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 SPLIT_BYTES = 128 * 1024 * 1024
 
 
@@ -84,13 +103,55 @@ class _Piece(InputPartition):
         self.pieces = pieces
 
 
+_SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
+def _condition(f: Filter, schema: StructType) -> tuple[str, str, list] | None:
+    """Column, SQL and values of a filter that the file's engine judges as Spark does; none for others.
+
+    Only whole numbers, fractions and texts are compared: both order them
+    alike, texts by code points.
+    """
+    name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+    if name not in schema.names or name == "source_path":
+        return None
+    kind = schema[name].dataType
+    if isinstance(f, IsNotNull):
+        return name, f"{_quoted(name)} IS NOT NULL", []
+    if isinstance(f, IsNull) and not isinstance(kind, BinaryType):  # an empty geometry is read as null
+        return name, f"{_quoted(name)} IS NULL", []
+    values = list(f.value) if isinstance(f, In) else [f.value] if type(f) in _SIGNS else []
+    plain = {LongType: int, DoubleType: float, StringType: str}.get(type(kind))
+    if not values or plain is None or not all(type(v) is plain and v == v for v in values) or len(values) > 500:
+        return None
+    if plain is int and any(abs(v) >= 2**63 for v in values):
+        return None
+    if isinstance(f, In):
+        return name, f"{_quoted(name)} IN ({', '.join('?' * len(values))})", values
+    return name, f"{_quoted(name)} {_SIGNS[type(f)]} ?", values
+
+
+def _box_condition(connection, layer: str, box: tuple[float, float, float, float] | None) -> tuple[str, list]:
+    """SQL for the rows whose box may meet ``box``: by the layer's R-tree, if it has one."""
+    if box is None:
+        return "", []
+    found = connection.execute("SELECT name FROM sqlite_master WHERE lower(name) LIKE ? ESCAPE '!'", (f"rtree!_{layer.lower().replace('_', '!_')}!_%",)).fetchall()
+    trees = [name for (name,) in found if not name.endswith(("_node", "_rowid", "_parent"))]
+    if not trees:
+        return "", []
+    x0, y0, x1, y1 = box
+    return f" AND rowid IN (SELECT id FROM {_quoted(trees[0])} WHERE maxx >= ? AND minx <= ? AND maxy >= ? AND miny <= ?)", [x0, x1, y0, y1]
+
+
 class _LayerReader(DataSourceReader):
-    def __init__(self, files: Sequence[tuple[str, int]], layer: str, schema: StructType, split: int, missing: str):
+    def __init__(self, files: Sequence[tuple[str, int]], layer: str, schema: StructType, split: int, missing: str, box: tuple | None):
         self.files = files
         self.layer = layer
         self.schema = schema
         self.split = split
         self.missing = missing
+        self.box = box
+        self.conditions: list[tuple[str, str, list]] = []
 
     def partitions(self) -> list[InputPartition]:
         return [
@@ -119,8 +180,14 @@ class _LayerReader(DataSourceReader):
                 return
             step = -(-(high - low + 1) // piece.pieces)
             first = low + piece.index * step
+            where, values = _box_condition(connection, self.layer, self.box)
+            for name, sql, given in self.conditions:
+                if name in declared:
+                    where, values = f"{where} AND {sql}", values + given
+                elif not sql.endswith("IS NULL"):
+                    return  # a column that this file lacks is null in all its rows
             cursor = connection.execute(
-                f"SELECT {columns} FROM {table} WHERE rowid >= ? AND rowid < ?", (first, first + step)
+                f"SELECT {columns} FROM {table} WHERE rowid >= ? AND rowid < ?{where}", (first, first + step, *values)
             )
             while rows := cursor.fetchmany(4096):
                 values = dict(zip(names, zip(*rows))) if names else {}
@@ -139,55 +206,94 @@ class _LayerReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
 
+class _PushingReader(_LayerReader):
+    """Takes the comparisons that the file's engine can judge; Spark judges them again, so types that differ do no harm."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            condition = _condition(f, self.schema)
+            if condition is not None:
+                self.conditions.append(condition)
+            yield f
+
+
 class GeopackageSource(DataSource):
-    """``format("geopackage").option("layer", ...).load(path)``."""
+    """``format("geopackage").option("layer", ...).load(path)``: the files right under a folder, or one file.
+
+    ``read_gpkg_layer`` hands over a listing of files at any depth.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "geopackage"
 
     def _files(self) -> list[tuple[str, int]]:
+        """Files and sizes, from the listing that ``read_gpkg_layer`` has stored, or of one folder's own files."""
+        import pyarrow.parquet as pq
         from pyarrow import fs
 
-        path = self.options["path"]
-        if "://" not in path and not path.startswith("file:"):
-            import os
-
-            path = "file://" + os.path.abspath(path)
-        scheme = path.split(":", 1)[0]
-        system, inner = located(path)
-        prefix = "file://" if isinstance(system, fs.LocalFileSystem) else path[: path.index(inner)] if inner in path else f"{scheme}://"
+        listing = self.options.get("listing")
+        if listing:
+            system, inner = located(root_of(listing)[0])
+            table = pq.read_table(inner, filesystem=system, columns=["path", "length"])
+            return sorted(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
+        uri, prefix = root_of(self.options["path"])
+        system, inner = located(uri)
         info = system.get_file_info(inner)
-        if info.type == fs.FileType.File:
-            found = [info]
-        else:
-            found = [
-                f
-                for f in system.get_file_info(fs.FileSelector(inner, recursive=True))
-                if f.type == fs.FileType.File and f.path.endswith(".gpkg")
-            ]
-        return sorted((prefix + f.path, f.size) for f in found)
+        found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inner))
+        prefix = "file://" if prefix == "file:" else prefix
+        return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(".gpkg"))
 
     def schema(self) -> StructType:
-        layer = self.options["layer"]
-        for path, _ in self._files():
-            with _opened(path) as connection:
-                declared = connection.execute(f"PRAGMA table_info({_quoted(layer)})").fetchall()
-            if declared:
-                fields = [StructField(row[1], _spark_type(row[2])) for row in declared]
-                return StructType([*fields, StructField("source_path", StringType())])
-        raise ValueError(f"no geopackage with layer {layer!r} under {self.options['path']}")
+        return _united([_fields(path, self.options["layer"]) for path, _ in self._files()], self.options["layer"], self.options["path"])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _LayerReader(
+        box = self.options.get("box")
+        kind = _PushingReader if self.options.get("pushdown") == "true" else _LayerReader
+        return kind(
             self._files(),
             self.options["layer"],
             schema,
             int(self.options.get("split_bytes", SPLIT_BYTES)),
             self.options.get("missing_layer", "error"),
+            tuple(map(float, box.split(","))) if box else None,
         )
 
 
+def _fields(path: str, layer: str) -> list[tuple[str, str]]:
+    """A file's columns of the layer with their declared types, none if it lacks the layer."""
+    with _opened(path) as connection:
+        return [(row[1], row[2]) for row in connection.execute(f"PRAGMA table_info({_quoted(layer)})")]
+
+
+def _united(files: Sequence[Sequence[tuple[str, str]]], layer: str, path: str) -> StructType:
+    """All files' columns in the order of their first use; a column of unlike types is refused."""
+    kinds: dict[str, DataType] = {}
+    for fields in files:
+        for name, declared in fields:
+            kind = _spark_type(declared)
+            if kinds.setdefault(name, kind) != kind:
+                raise ValueError(f"column {name!r} of layer {layer!r} is {kinds[name].simpleString()} in one file and {kind.simpleString()} in another")
+    if not kinds:
+        raise ValueError(f"no geopackage with layer {layer!r} under {path}")
+    return StructType([*(StructField(n, k) for n, k in kinds.items()), StructField("source_path", StringType())])
+
+
+def layer_schema(files: DataFrame, layer: str, path: str) -> StructType:
+    """The union of the files' schemas: each file is opened by a task, distinct columns come back."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            found = [(at, *field) for p in batch.column("path").to_pylist() for at, field in enumerate(_fields(p, layer))]
+            names, types = ("at", "name", "declared"), (pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(types)], names)
+
+    seen = files.select("path").mapInArrow(run, "at int, name string, declared string").groupBy("name", "declared").agg(F.min("at").alias("at"))
+    rows = sorted((r["at"], r["name"], r["declared"]) for r in seen.collect())
+    return _united([[(name, declared) for _, name, declared in rows]], layer, path)
+
+
 def read_gpkg_layer(
     spark: SparkSession,
     path: str,
@@ -195,23 +301,34 @@ def read_gpkg_layer(
     schema: StructType | str | None = None,
     missing_layer: str = "error",
     split_bytes: int = SPLIT_BYTES,
+    box: tuple[float, float, float, float] | None = None,
 ) -> DataFrame:
     """Rows of a layer of every geopackage under ``path``, with the file in ``source_path``.
 
-    Geometry arrives as plain WKB.  Without a schema, that of the first file
-    holding the layer is used; columns that another file lacks are null there.
-    ``missing_layer`` is ``error`` or ``skip``.
+    Geometry arrives as plain WKB.  Without a schema, that of all files holding
+    the layer is used; columns that a file lacks are null there, and a column
+    that files declare with unlike types is an error.  ``missing_layer`` is
+    ``error`` or ``skip``.  Folders are listed, and schemas read, by tasks.
+
+    Filters on the result reach the files where ``PUSHDOWN`` is set in the
+    session.  ``box`` (min x, min y, max x, max y) leaves out rows that can't
+    meet it, in files whose layer has an R-tree; others are read whole.
     """
     spark.dataSource.register(GeopackageSource)
+    # names as tasks open them: a scheme and two slashes
+    name = F.regexp_replace("path", "^file:/+", "file:///")
+    files = stored(listed_files(spark, path, "*.gpkg").select(name.alias("path"), "length"), "listing")
     reader = (
         spark.read.format("geopackage")
         .option("layer", layer)
         .option("missing_layer", missing_layer)
         .option("split_bytes", str(split_bytes))
+        .option("listing", files.inputFiles()[0].rsplit("/", 1)[0] if files.inputFiles() else "")
+        .option("pushdown", spark.conf.get(PUSHDOWN, "false"))
     )
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.load(path)
+    if box is not None:
+        reader = reader.option("box", ",".join(map(repr, map(float, box))))
+    return reader.schema(layer_schema(files, layer, path) if schema is None else schema).load(path)
 
 
 def with_project(layer: DataFrame, root: str) -> DataFrame:

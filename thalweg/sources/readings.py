@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .paths import empty_files
+from .paths import listed_files
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -45,13 +45,6 @@ def read_daily_temp(spark: SparkSession, root: str, pattern: str = "*.gz") -> Da
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Every file under a tree: ``project, path, length``; contents are not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-    )
-    none = spark.createDataFrame([(name, 0) for name in empty_files(root, pattern)], "path string, length bigint")
-    found = files.select("path", "length").unionByName(none)
+    """Every file under a tree: ``project, path, length``; contents are not read, and folders are listed by tasks."""
+    found = listed_files(spark, root, pattern)
     return found.select(project_of(spark, root, F.col("path")).alias("project"), "path", "length")

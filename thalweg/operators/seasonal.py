@@ -32,6 +32,20 @@ def seasonal_means(readings: DataFrame, by: tuple[str, ...] = REACH_KEYS) -> Dat
     return dated.groupBy(*by).agg(*[F.avg(_in_season_temp(s)).alias(f"{s}_avg") for s in SEASONS])
 
 
+def season_sums(readings: DataFrame, by: tuple[str, ...] = REACH_KEYS, column: str = "date") -> DataFrame:
+    """Sum and number of readings per group and season."""
+    dated = readings.select(*by, "stream_temp", F.dayofyear(column).alias("day_of_year"))
+    return dated.groupBy(*by).agg(
+        *[F.sum(_in_season_temp(s)).alias(f"{s}_sum") for s in SEASONS],
+        *[F.count(_in_season_temp(s)).alias(f"{s}_n") for s in SEASONS],
+    )
+
+
+def means_of_sums(partial: DataFrame) -> DataFrame:
+    """Season means per reach from its sums and counts."""
+    return partial.select(*REACH_KEYS, *[F.try_divide(f"{s}_sum", f"{s}_n").alias(f"{s}_avg") for s in SEASONS])
+
+
 def reach_weights(area: DataFrame) -> DataFrame:
     """How often each reach is listed under each sub-watershed of its project."""
     return area.groupBy("project", F.col("featureid").cast("bigint").alias("comid"), "HUC12").agg(
@@ -39,19 +53,12 @@ def reach_weights(area: DataFrame) -> DataFrame:
     )
 
 
-def seasonal_means_huc12(readings: DataFrame, area: DataFrame) -> DataFrame:
-    """Season means per project and sub-watershed, weighted by readings.
+def means_of_sums_huc12(partial: DataFrame, area: DataFrame) -> DataFrame:
+    """Season means per project and sub-watershed from sums and counts per reach, weighted by readings.
 
-    Readings are reduced to sums and counts per reach before they meet the
-    area table, so the join carries reaches rather than days.  A reach without
-    a catchment keeps a null sub-watershed; one that is listed several times
-    counts that many times.
+    A reach without a catchment keeps a null sub-watershed; one that is listed
+    several times counts that many times.
     """
-    dated = readings.select(*REACH_KEYS, "stream_temp", F.dayofyear("date").alias("day_of_year"))
-    partial = dated.groupBy(*REACH_KEYS).agg(
-        *[F.sum(_in_season_temp(s)).alias(f"{s}_sum") for s in SEASONS],
-        *[F.count(_in_season_temp(s)).alias(f"{s}_n") for s in SEASONS],
-    )
     tagged = partial.join(reach_weights(area), list(REACH_KEYS), "left").withColumn(
         "copies", F.coalesce("copies", F.lit(1))
     )
@@ -65,6 +72,15 @@ def seasonal_means_huc12(readings: DataFrame, area: DataFrame) -> DataFrame:
     )
 
 
+def seasonal_means_huc12(readings: DataFrame, area: DataFrame) -> DataFrame:
+    """Season means per project and sub-watershed.
+
+    Readings are reduced to sums and counts per reach before they meet the
+    area table, so the join carries reaches rather than days.
+    """
+    return means_of_sums_huc12(season_sums(readings), area)
+
+
 def with_seasonal_growth(means: DataFrame, curve: Curve) -> DataFrame:
     """Add the growth of each season's mean temperature."""
     return means.select("*", *[growth(f"{s}_avg", curve).alias(f"{s}_fish_avg") for s in SEASONS])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.calendar import season
+from ..functions.calendar import DECADE as DECADE_LENGTH
+from ..functions.calendar import season, window_bounds
 from ..functions.growth import CHINOOK_SALMON, RED_BAND_TROUT, growth, growth_by_species, growth_curve_table
-
-from ..operators import filters, fitting, network, reach_stats, seasonal, spatial
+from ..operators import filters, fitting, network, reach_stats, season_store, seasonal, spatial
 from ..session import fresh_folder, stored
 from ..sources.curves import read_growth_curves
 from ..sources.geopackage import read_gpkg_layer, with_project
@@ -206,6 +206,39 @@ def seasonal_by_huc12(spark, folder):
     return _round(seasonal.seasonal_means_huc12(seasonal.decade_readings(i.daily_temp, DECADE), i.contributing_area))
 
 
+def _decades_sql(means: str, keys: str, years: tuple[int, ...]) -> str:
+    """The means of several decades, each from its own scan."""
+    parts = []
+    for year in years:
+        first, last = window_bounds(year, DECADE_LENGTH)
+        window = f"date BETWEEN TIMESTAMP '{first}' AND TIMESTAMP '{last}'"
+        parts.append(f"SELECT {year} AS decade, {keys}, {_rounded_means()} FROM ({means.replace(DECADE_SQL, window)})")
+    return " UNION ALL ".join(parts)
+
+
+STORED_DECADES = (1987, 1990, 1995)
+
+
+@query("seasonal_decades_reach", _decades_sql(REACH_MEANS, "project, comid", STORED_DECADES))
+def seasonal_decades_reach(spark, folder):
+    """Three decades from one store of yearly sums."""
+    path = fresh_folder(spark, "season-store")
+    season_store.write_season_store(Inputs(spark, folder).daily_temp, path)
+    store = season_store.read_season_store(spark, path)
+    tables = [_round(season_store.stored_means(store, year)).select(F.lit(year).alias("decade"), "*") for year in STORED_DECADES]
+    return seasonal.union_projects(*tables)
+
+
+@query("seasonal_decades_huc12", _decades_sql(HUC_MEANS, "project, HUC12", STORED_DECADES))
+def seasonal_decades_huc12(spark, folder):
+    """The same for sub-watersheds."""
+    path, i = fresh_folder(spark, "season-store"), Inputs(spark, folder)
+    season_store.write_season_store(i.daily_temp, path)
+    store = season_store.read_season_store(spark, path)
+    sums = [(year, seasonal.means_of_sums_huc12(season_store.decade_sums(store, year), i.contributing_area)) for year in STORED_DECADES]
+    return seasonal.union_projects(*[_round(table).select(F.lit(year).alias("decade"), "*") for year, table in sums])
+
+
 @query(
     "seasonal_growth_reach",
     f"WITH m AS ({REACH_MEANS}) SELECT project, comid, {_rounded_means()}, {_rounded_growth(RED)} FROM m",

@@ -20,7 +20,7 @@ from ..functions.text import (
     ts_to_epoch_ms,
     version_parts,
 )
-from ..operators import batch, catalog, filesync, manifest
+from ..operators import batch, catalog, filesync, manifest, page_index
 from ..session import fresh_folder
 from ..sources.files import file_digests
 from ..sources.manifests import parse_project_xml
@@ -122,6 +122,18 @@ def files_page(spark, folder):
     return catalog.files_page(files, page=1).select("project_id", "localPath", "etag")
 
 
+@query(
+    "files_page_indexed",
+    "SELECT project_id, localPath, etag FROM project_files WHERE localPath IS NOT NULL"
+    " ORDER BY project_id, localPath LIMIT 300 OFFSET 600",
+)
+def files_page_indexed(spark, folder):
+    """A page of a manifest that is stored by ranges."""
+    path = fresh_folder(spark, "paged")
+    page_index.write_paged(filesync.file_filter(Inputs(spark, folder).project_files, None), path, rows_per_file=500)
+    return page_index.read_page(spark, path, 2, 300).select("project_id", "localPath", "etag")
+
+
 @query(
     "meta_normalised",
     f"""SELECT {P} AS id, 'huc' AS key, {HUC} AS value FROM orders UNION ALL

@@ -12,7 +12,14 @@ def share(words, template):
 
 def brute(text, templates):
     words = licenses.words_of(text or "")
-    return ",".join(sorted({name for name, texts in templates.items() for t in texts if share(words, licenses.words_of(t)) >= 0.8}))
+    found = []
+    for name, texts in templates.items():
+        for t in map(licenses.words_of, texts):
+            required = [p for p in licenses.REQUIRED.get(name, []) if f" {p} " in f" {' '.join(t)} "]
+            if share(words, t) >= 0.8 and all(f" {p} " in f" {' '.join(words)} " for p in required):
+                found.append((name, t))
+    longer = lambda name, t: any(n != name and len(u) > len(t) and share(u, t) >= 0.8 for n, u in found)
+    return ",".join(sorted({name for name, t in found if not longer(name, t)}))
 
 
 def test_against_brute_force_on_the_table(spark, folder):
@@ -43,6 +50,7 @@ def test_edited_and_long_notices(spark):
 
 
 def test_bands_keep_their_promise():
+    assert len(licenses.TEMPLATES) >= 30
     for p in licenses.pieces(licenses.TEMPLATES):
         own, window = len(p["piece"]) - 4, 2 * p["window"] - 4
         held = max(1, -(-4 * own // 5))
@@ -63,3 +71,62 @@ def test_odd_rows(spark):
 def test_plan_has_no_python_and_no_shuffle(spark, folder):
     plan = licenses.scan(spark.read.parquet(f"{folder}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+#: Headers as files carry them, written down for this test.
+HEADERS = {
+    "GPL-2.0": """/* This program is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License
+ * as published by the Free Software Foundation; either version 2
+ * of the License, or (at your option) any later version. */""",
+    "GPL-3.0": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,""",
+    "LGPL-2.1": """ This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+ License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "LGPL-3.0": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU Lesser General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.""",
+    "AGPL-3.0": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU Affero General Public License as
+ * published by the Free Software Foundation, either version 3 of the
+ * License, or (at your option) any later version.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" """,
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+   * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+     documentation and/or other materials provided with the distribution.
+   * Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software
+     without specific prior written permission.""",
+    "ISC": """Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at""",
+    "MPL-2.0": """ * This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at""",
+    "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+}
+
+
+def test_standard_headers_are_named_rightly(spark):
+    rows = [(i, f"Some words before it all. {text} And some after it.") for i, text in enumerate(HEADERS.values())]
+    rows += [(100, HEADERS["GPL-3.0"] + " middle " * 300 + HEADERS["MIT"]), (101, HEADERS["BSD-3-Clause"] + " gap" * 400 + " " + HEADERS["BSD-2-Clause"])]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {name: got[i] for i, name in enumerate(HEADERS)} == {name: name for name in HEADERS}
+    assert got[100] == "GPL-3.0,MIT" and got[101] == "BSD-2-Clause,BSD-3-Clause"

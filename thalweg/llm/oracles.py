@@ -30,16 +30,23 @@ def rendezvous(shards: int = 40) -> str:
 
 def notices() -> str:
     """The licenses whose notices a document holds, by comparing every shingle of every notice."""
-    rows = [(name, " ".join(licenses.words_of(text))) for name, texts in licenses.TEMPLATES.items() for text in texts]
-    listed = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(rows))
+    known = licenses.notices(licenses.TEMPLATES)
+    listed = ", ".join(f"({i}, '{n['name']}', '{' '.join(n['words'])}', {[f' {p} ' for p in n['required']]}::VARCHAR[])" for i, n in enumerate(known))
+    before = ", ".join(f"({i}, {j})" for i, n in enumerate(known) for j in n["before"])
     grams = lambda w: f"list_transform(range(0, greatest(len({w}) - 4, 0)), lambda i: array_to_string({w}[i + 1 : i + 5], ' '))"
-    return f"""WITH notice AS (SELECT id, name, {grams("string_split(words, ' ')")} AS g FROM (VALUES {listed}) t(id, name, words)),
+    return f"""WITH notice AS (SELECT id, name, required, len(string_split(words, ' ')) AS size, {grams("string_split(words, ' ')")} AS g
+        FROM (VALUES {listed}) t(id, name, words, required)),
+    before(id, part) AS (VALUES {before}),
     shingle AS (SELECT DISTINCT id, name, len(list_distinct(g)) AS n, unnest(g) AS s FROM notice),
     d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents),
     place AS (SELECT doc_id, unnest({grams("w")}) AS s, unnest(range(0, greatest(len(w) - 4, 0))) AS pos FROM d),
     held AS (SELECT doc_id, id, name, count(DISTINCT p.s) / CAST(any_value(n) AS DOUBLE) AS share, min(pos) AS word
         FROM place p JOIN shingle USING (s) GROUP BY doc_id, id, name),
-    best AS (SELECT doc_id, name, max(share) AS share, arg_min(word, (-share, word)) AS word FROM held WHERE share >= 0.8 - 1e-9 GROUP BY doc_id, name)
+    worded AS (SELECT held.*, notice.size FROM held JOIN notice USING (id) JOIN d USING (doc_id) WHERE share >= 0.8 - 1e-9
+        AND len(list_filter(required, lambda p: NOT contains(concat(' ', array_to_string(w, ' '), ' '), p))) = 0),
+    longest AS (SELECT * FROM worded x WHERE NOT EXISTS (SELECT 1 FROM worded y JOIN before ON before.id = y.id AND before.part = x.id
+        WHERE y.doc_id = x.doc_id AND y.word <= x.word + x.size AND x.word <= y.word + y.size)),
+    best AS (SELECT doc_id, name, max(share) AS share, arg_min(word, (-share, word)) AS word FROM longest GROUP BY doc_id, name)
     SELECT d.doc_id, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses,
         coalesce(string_agg(name || ':' || word || ':' || round(share, 3), ',' ORDER BY name), '') AS matches
     FROM d LEFT JOIN best ON best.doc_id = d.doc_id GROUP BY d.doc_id"""

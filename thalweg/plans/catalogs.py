@@ -511,7 +511,8 @@ def etag_column(spark, folder):
     return docs.select("doc_id", F.octet_length("text").cast("bigint").alias("length"), etag(F.col("text").cast("binary"), 1000, 3000).alias("etag"))
 
 
-SHELF = "CASE WHEN doc_id % 50 = 0 THEN 100 + doc_id ELSE doc_id % 7 END"
+#: Files of a bounded number of documents, so that files and the tasks that write them grow with the rows; every fiftieth alone.
+SHELF = "CASE WHEN doc_id % 50 = 0 THEN -1 - doc_id ELSE CAST(floor(doc_id / 40.0) AS BIGINT) END"
 
 
 @query(
@@ -528,7 +529,7 @@ def file_etag(spark, folder):
     shelved = Inputs(spark, folder).documents.selectExpr(f"{SHELF} AS shelf", "doc_id", "text")
     shelved.repartition("shelf").sortWithinPartitions("shelf", "doc_id").select("shelf", "text").write.partitionBy("shelf").text(root)
     found = file_digests(spark, root, part_bytes=4096, threshold=65536, pattern="*.txt")
-    return found.select(F.regexp_extract("path", "shelf=([0-9]+)/", 1).cast("bigint").alias("shelf"), "length", "etag")
+    return found.select(F.regexp_extract("path", "shelf=(-?[0-9]+)/", 1).cast("bigint").alias("shelf"), "length", "etag")
 
 
 @query(

@@ -254,11 +254,32 @@ def raster_sample(spark, folder):
     return raster.raster_sample(i.sample_points, i.raster_cells, i.rasters)
 
 
+CORNERS = (("left", "top"), ("right", "top"), ("right", "bottom"), ("left", "bottom"), ("left", "top"))
+
+
 @query(
     "raster_extent",
-    """SELECT raster_id, "left" + cell_width * cols AS "right", top + cell_height * "rows" AS bottom,
-        cell_width * cols AS width, -cell_height * "rows" AS height, 5 AS corners FROM rasters""",
+    f"""WITH e AS (SELECT raster_id, "left", top, "left" + cell_width * cols AS "right", top + cell_height * "rows" AS bottom,
+        cell_width * cols AS width, -cell_height * "rows" AS height FROM rasters)
+    SELECT raster_id, "right", bottom, width, height, place, x, y FROM (
+        {" UNION ALL ".join(f'SELECT *, {i} AS place, "{x}" AS x, "{y}" AS y FROM e' for i, (x, y) in enumerate(CORNERS))})""",
 )
 def raster_extent(spark, folder):
+    """Extents with a row for each corner of the boundary ring, in order."""
     extent = raster.raster_extent(Inputs(spark, folder).rasters)
-    return extent.select("raster_id", "right", "bottom", "width", "height", F.size("boundary").alias("corners"))
+    placed = extent.select("raster_id", "right", "bottom", "width", "height", F.posexplode("boundary").alias("place", "corner"))
+    return placed.select("raster_id", "right", "bottom", "width", "height", "place", "corner.x", "corner.y")
+
+
+@query(
+    "in_bounds",
+    """SELECT p.point_id, p.raster_id, r."left" < p.x AND r.top + r.cell_height * r."rows" < p.y AND r."left" + r.cell_width * r.cols > p.x
+        AND r.top > p.y AS inside FROM sample_points p JOIN rasters r ON p.raster_id = r.raster_id""",
+)
+def in_bounds(spark, folder):
+    """Points strictly inside the extent of their raster; those on its edge are not."""
+    i = Inputs(spark, folder)
+    extent = raster.raster_extent(i.rasters).select("raster_id", F.col("left").alias("west"), F.col("bottom").alias("south"),
+                                                    F.col("right").alias("east"), F.col("top").alias("north"))
+    inside = raster.in_bounds(*map(F.col, ("x", "y", "west", "south", "east", "north")))
+    return i.sample_points.join(extent, "raster_id").select("point_id", "raster_id", inside.alias("inside"))

@@ -63,6 +63,11 @@ def raster_histogram(cells: DataFrame, rasters: DataFrame, bin_size: int = 100)
         .groupBy("raster_id", "i")
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
+    return filled_bins(counted, bin_size)
+
+
+def filled_bins(counted: DataFrame, bin_size: int) -> DataFrame:
+    """All bins of each raster from the counts of those that hold cells: ``raster_id, i, n`` and the ends ``lo, hi``."""
     ranges = counted.groupBy("raster_id").agg(
         F.floor(F.min("lo").cast("double") / bin_size).alias("first"),
         F.ceil(F.max("hi").cast("double") / bin_size).alias("stop"),
@@ -119,27 +124,38 @@ def _toward_zero(value: Column) -> Column:
     return value.try_cast("bigint")
 
 
-def raster_sample(points: DataFrame, cells: DataFrame, rasters: DataFrame) -> DataFrame:
-    """Value of the cell under each point; no data, NaN and points outside give null.
+def cell_under(points: DataFrame, rasters: DataFrame) -> DataFrame:
+    """Points with ``nodata`` of their raster and the place of the cell under them, ``cell_row`` and ``cell_col``.
 
-    ``points`` has ``raster_id, x, y`` and any other columns, which are kept.
     The cell index truncates toward zero, so a point less than one cell left of
     or above the raster still meets its first column or row.
     """
     facts = rasters.select("raster_id", "left", "cell_width", "top", "cell_height", "nodata")
-    placed = points.join(broadcast_if_small(facts), "raster_id", "left").withColumns(
+    return points.join(broadcast_if_small(facts), "raster_id", "left").withColumns(
         {
             "cell_col": _toward_zero((F.col("x") - F.col("left")) / F.col("cell_width")),
             "cell_row": _toward_zero((F.col("y") - F.col("top")) / F.col("cell_height")),
         }
     )
+
+
+def void_value(value: Column) -> Column:
+    """Is a value NaN, or the raster's no-data value as nearly as it may be stored?"""
+    return F.isnan(value) | F.coalesce(is_close(value, F.col("nodata"), relative=1e-7), F.lit(False))
+
+
+def raster_sample(points: DataFrame, cells: DataFrame, rasters: DataFrame) -> DataFrame:
+    """Value of the cell under each point; no data, NaN and points outside give null.
+
+    ``points`` has ``raster_id, x, y`` and any other columns, which are kept.
+    """
+    placed = cell_under(points, rasters)
     grid = cells.select(
         "raster_id", F.col("cell_row").cast("bigint"), F.col("cell_col").cast("bigint"), F.col("value").alias("v")
     )
     value = F.col("v").cast("double")
-    void = F.isnan(value) | F.coalesce(is_close(value, F.col("nodata"), relative=1e-7), F.lit(False))
     return placed.join(grid, ["raster_id", "cell_row", "cell_col"], "left").select(
-        *points.columns, F.when(~void, value).alias("value")
+        *points.columns, F.when(~void_value(value), value).alias("value")
     )
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, raster, rollup
+from ..operators import filters, raster, raster_tiles, rollup
 from ..operators.rollup import MetricDef
 from ..session import fresh_folder
 from ..sources.lookups import explode_codes
 from ..sources.sinks import read_committed, write_metrics
 from .inputs import Inputs
-from .registry import query
+from .registry import ORACLES, QUERIES, query
 
 DEFS = (
     MetricDef(3, rollup.LENGTH_WEIGHTED_AVG, "channel_gradient"),
@@ -283,3 +283,30 @@ def in_bounds(spark, folder):
                                                     F.col("right").alias("east"), F.col("top").alias("north"))
     inside = raster.in_bounds(*map(F.col, ("x", "y", "west", "south", "east", "north")))
     return i.sample_points.join(extent, "raster_id").select("point_id", "raster_id", inside.alias("inside"))
+
+
+# --- the same over tiles -------------------------------------------------------
+
+
+def _tiles(i: Inputs):
+    path = fresh_folder(i.spark, "tiles")
+    raster_tiles.write_tiles(i.raster_cells, path)
+    return i.spark.read.parquet(path)
+
+
+def _over_tiles(name: str, run):
+    """A query over stored tiles with the SQL of the one over cells."""
+
+    def over(spark, folder):
+        i = Inputs(spark, folder)
+        return run(i, _tiles(i))
+
+    over.__doc__ = f"``{name}`` over tiles."
+    QUERIES[f"{name}_tiles"], ORACLES[f"{name}_tiles"] = over, ORACLES[name]
+
+
+_over_tiles("raster_categories", lambda i, tiles: raster_tiles.tile_categories(tiles, i.rasters))
+_over_tiles("raster_summary", lambda i, tiles: raster_tiles.tile_summary(tiles, i.rasters))
+_over_tiles("raster_histogram", lambda i, tiles: raster_tiles.tile_histogram(tiles, i.rasters, bin_size=7))
+_over_tiles("raster_stats", lambda i, tiles: raster_tiles.tile_stats(tiles, i.rasters))
+_over_tiles("raster_sample", lambda i, tiles: raster_tiles.tile_sample(i.sample_points, tiles, i.rasters))

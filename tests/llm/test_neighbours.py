@@ -63,3 +63,27 @@ def test_equal_vectors_and_odd_rows(spark):
 def test_few_rows(spark, count):
     given = spark.createDataFrame([(20 * i, [1.0, float(i)]) for i in range(count)], "vec_id long, embedding array<float>")
     assert neighbours.nearest(given).count() == (2 if count == 2 else 0)
+
+
+def test_doubles_are_scored_as_given(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, v) for i, v in enumerate((rng.normal(size=(200, 5)) * (1 + 1e-9)).tolist())]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    check(got, brute(rows), 0.99)
+    known = dict(rows)
+    assert all(abs(r.score - float(np.dot(known[r.query_id], known[r.vec_id]))) < 1e-12 for r in got)
+
+
+def test_shards_are_bounded_by_bytes_and_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_LEAST", 100)
+    monkeypatch.setattr(neighbours, "SHARD_BYTES", 60 * (20 * 6 + 8 * neighbours.DEGREE))
+    rng = np.random.default_rng(4)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(500, 6)).astype(np.float32).tolist())]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    check(found.collect(), brute(rows), 0.95)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # eight shards and more; the index is read once and passes through no generator
+    union = plan[plan.index("Union") :]
+    assert union.count("Relation [shard") == 1 and union.count("Generate explode") == 1
+    shards = spark.createDataFrame(rows, "vec_id long, embedding array<float>").count() // 60
+    assert shards >= 8

@@ -8,11 +8,14 @@ distance.  Only products of the vectors as given are reported.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import stored
 
@@ -21,9 +24,8 @@ NEAREST = 20
 DEGREE, BUILD_BREADTH, BREADTH, OPENED = 32, 64, 96, 4
 #: An edge is left out if a nearer neighbour is this much nearer to its end.
 RELAXED = 1.2
-#: Vectors of a shard: the least, and the most that are held in one task.
-SHARD_LEAST, SHARD_MOST = 4096, 262_144
-QUERY_BLOCK = 8192
+#: Vectors of a shard: the least, and the most, and the bytes that a task holds of one, whichever is less.
+SHARD_LEAST, SHARD_MOST, SHARD_BYTES = 4096, 262_144, 128 << 20
 _FAR = np.float32(np.inf)
 
 
@@ -133,7 +135,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-INDEX = "shard long, node int, enter int, ids array<long>, vector array<float>, edges array<int>"
+#: Rows of the index, ``kind`` 0, and of the queries that stream past it, ``kind`` 1 with their own id alone.
+ROW = "shard long, kind int, node int, enter int, ids array<long>, vector array<{0}>, edges array<int>"
 
 
 def _index_shard(table: pa.Table) -> pa.Table:
@@ -148,10 +151,11 @@ def _index_shard(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "shard": pa.array([table.column("shard")[0].as_py()] * len(rows), pa.int64()),
+            "kind": pa.array(np.zeros(len(rows), np.int32)),
             "node": pa.array(np.arange(len(rows), dtype=np.int32)),
             "enter": pa.array(np.full(len(rows), graph.enter, np.int32)),
             "ids": pa.array(names, pa.list_(pa.int64())),
-            "vector": pa.array(list(rows), pa.list_(pa.float32())),
+            "vector": pa.array(list(rows), table.schema.field("vector").type),
             "edges": pa.array(list(graph.edges), pa.list_(pa.int32())),
         }
     )
@@ -160,26 +164,52 @@ def _index_shard(table: pa.Table) -> pa.Table:
 FOUND = "query_id long, vec_id long, score double"
 
 
-def _query_shard(nodes: pa.Table, queries: pa.Table) -> pa.Table:
-    """The nearest of one shard to each query of a block, measured exactly."""
-    out: tuple[list, list, list] = ([], [], [])
-    if nodes.num_rows and queries.num_rows:
+class _Shard:
+    """One shard's index, as it is searched."""
+
+    def __init__(self, nodes: pa.Table):
         nodes = nodes.sort_by("node")
-        x, q = _matrix(nodes.column("vector")), _matrix(queries.column("vector"))
-        graph = Graph(x, _matrix(nodes.column("edges")).astype(np.int32), nodes.column("enter")[0].as_py())
-        names, asked = nodes.column("ids").to_pylist(), queries.column("vec_id").to_pylist()
-        x, wide = x.astype(np.float64), np.c_[q, np.zeros(len(q), np.float32)].astype(np.float32)
+        x = _matrix(nodes.column("vector"))
+        self.graph = Graph(x, _matrix(nodes.column("edges")).astype(np.int32), nodes.column("enter")[0].as_py())
+        self.names, self.x = nodes.column("ids").to_pylist(), x.astype(np.float64)
+
+    def nearest(self, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The nearest of the shard to each query, measured exactly on the vectors as given."""
+        asked = queries.column("ids").flatten().to_pylist()
+        q = _matrix(pa.chunked_array([queries.column("vector")])).astype(np.float64)
+        wide = np.c_[q, np.zeros(len(q))].astype(np.float32)
         for start in range(0, len(q), 256):
-            found = graph.search(wide[start : start + 256], BREADTH)[0]
-            for i, row in enumerate(found, start):
+            out: tuple[list, list, list] = ([], [], [])
+            for i, row in enumerate(self.graph.search(wide[start : start + 256], BREADTH)[0], start):
                 row = row[row >= 0]
-                score = x[row] @ q[i].astype(np.float64)
-                near = [(-s, v) for s, r in zip(score.tolist(), row.tolist()) for v in names[r] if v != asked[i]]
+                score = self.x[row] @ q[i]
+                near = [(-s, v) for s, r in zip(score.tolist(), row.tolist()) for v in self.names[r] if v != asked[i]]
                 for s, v in sorted(near)[:NEAREST]:
                     out[0].append(asked[i])
                     out[1].append(v)
                     out[2].append(-s)
-    return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+
+def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by shard, each shard's index before its queries: one index is held while the queries stream past it."""
+    shard, held, index = None, [], None
+    for batch in batches:
+        keys = batch.column("shard").to_numpy() * 2 + batch.column("kind").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for start, stop in pairwise(cuts):
+            if start == stop:
+                continue
+            part, number, kind = batch.slice(start, stop - start), *divmod(int(keys[start]), 2)
+            if number != shard:
+                shard, held, index = number, [], None
+            if kind == 0:
+                held.append(part)
+                continue
+            if index is None and held:
+                index, held = _Shard(pa.Table.from_batches(held)), []
+            if index is not None:
+                yield from index.nearest(part)
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -189,8 +219,10 @@ def usable(embeddings: DataFrame) -> DataFrame:
     null or a component that is not finite.  Of rows with one id the smallest
     vector stays.
     """
+    element = embeddings.schema["embedding"].dataType.elementType
+    kept = "array<float>" if isinstance(element, T.FloatType) else "array<double>"
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    given = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
+    given = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kept).alias("vector"))
     good = given.where(F.col("vec_id").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
     return good.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
@@ -200,24 +232,30 @@ def nearest(embeddings: DataFrame, every: int = 20) -> DataFrame:
 
     Candidates are all other rows, all of them indexed; fewer than 20 give
     fewer results.  Ties go to the smaller id; equal vectors are all found.
-    Only vectors of one length are compared.  An empty table gives no rows.
-    Ids decide the shards; rows that cannot take part are named at ``usable``.
+    Only vectors of one length are compared, in the type they are given in.  An
+    empty table gives no rows.  Ids decide the shards, which are bounded by
+    bytes; rows that cannot take part are named at ``usable``.  Only id and
+    vector are read, whatever other columns are called.
     """
     spark = embeddings.sparkSession
     rows = stored(usable(embeddings).withColumn("size", F.size("vector")), "vectors")
-    count = rows.count()
-    per_shard = int(min(SHARD_MOST, max(SHARD_LEAST, 16 * math.sqrt(count))))
+    count, width = rows.agg(F.count(F.lit(1)), F.max("size")).first()
+    # held of a vector: as given, as doubles, as searched, and its edges
+    held = 20 * (width or 1) + 8 * DEGREE
+    per_shard = int(min(SHARD_MOST, max(SHARD_LEAST, 16 * math.sqrt(count)), max(1, SHARD_BYTES // held)))
     shards = max(1, math.ceil(count / per_shard))
     # one key for length and shard, so that a shard holds vectors of one length
     lowest = F.col("size").cast("long") * shards
     key = lowest + F.pmod(F.xxhash64("vec_id"), F.lit(shards))
-    index = stored(rows.select("vec_id", "vector", key.alias("shard")).groupBy("shard").applyInArrow(_index_shard, INDEX), "graph")
+    schema = ROW.format(rows.schema["vector"].dataType.elementType.simpleString())
+    index = stored(rows.select("vec_id", "vector", key.alias("shard")).groupBy("shard").applyInArrow(_index_shard, schema), "graph")
+    # every query meets every shard of its length, whose index is shuffled once and stays while queries stream past
     asked = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
-    # every query meets every shard of its length: queries in blocks, one (shard, block) pair to a task
-    queries = asked.select("vec_id", "vector", block.alias("block"), F.explode(F.sequence(lowest, lowest + shards - 1)).alias("shard"))
-    sides = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = sides.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(_query_shard, FOUND)
+    given = {"shard": F.explode(F.sequence(lowest, lowest + shards - 1)), "kind": F.lit(1), "node": F.lit(None), "enter": F.lit(None),
+             "ids": F.array("vec_id"), "vector": F.col("vector"), "edges": F.lit(None)}
+    queries = asked.select(*[given[f.name].cast(f.dataType).alias(f.name) if f.name != "shard" else given["shard"].alias("shard") for f in index.schema])
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
+    dealt = index.unionByName(queries).repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
+    found = dealt.mapInArrow(_search_shards, FOUND)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= NEAREST).select("query_id", "rank", "vec_id", "score")

@@ -266,18 +266,21 @@ def keep_one(docs: DataFrame, limit: int = DISTANCE, group: int = GROUP) -> Data
     other.  Columns stay as they are, whatever their names; an empty table
     gives no rows.
     """
-    fp, row = unused("fp", docs), unused("row", docs)
+    fp, bare, known = (unused(name, docs) for name in ("fp", "bare", "known"))
 
     def function(texts):
         return {fp: [signed(fingerprint(t or "")) for t in texts]}
 
     marked = map_texts(docs, function, T.StructType([T.StructField(fp, T.LongType())]), tuple(docs.columns))
-    # the number is written with the row, so it stays the same in every later reading
-    marked = stored(marked.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    prints = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row")).alias("first")
-    # copies are reduced to one row before they meet their class, so a large group stays small
-    least = prints.groupBy("fp").agg(first)
+    number = F.col("doc_id").cast("long")
+    # keys without nulls, so that rows meet their like, and are told apart, by one dealing out of the texts
+    keyed = marked.withColumns({bare: number.isNull(), known: F.coalesce(number, F.lit(0))})
+    prints = keyed.select(number.alias("doc_id"), F.col(fp).alias("fp"), F.col(bare).alias("bare"), F.col(known).alias("known"))
+    prints = stored(prints, "prints")
+    # copies are reduced to one key before they meet their class, so a large group stays small
+    least = prints.groupBy("fp").agg(F.min(F.struct("bare", "known", "fp")).alias("first"))
     classes = _classes(prints, limit, group).select(F.col("fp").alias("member"), "class")
     kept = least.join(classes, F.col("fp") == F.col("member")).groupBy("class").agg(F.min("first").alias("first"))
-    return marked.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = kept.select(F.col("first.fp").alias(fp), F.col("first.bare").alias(bare), F.col("first.known").alias(known))
+    keys = [fp, bare, known]
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

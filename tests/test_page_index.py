@@ -17,12 +17,11 @@ def test_pages_equal_a_whole_sort(spark, tmp_path):
     table = manifest(spark)
     page_index.write_paged(table.repartition(6), str(tmp_path / "t"), rows_per_file=300)
     whole = [tuple(r) for r in table.orderBy("project_id", "localPath", "size").collect()]
-    got = []
-    for page in range(28):
+    for page in (0, 1, 2, 13, 25, 26):
         rows = [tuple(r) for r in page_index.read_page(spark, str(tmp_path / "t"), page, 100).collect()]
         assert rows == whole[page * 100 : page * 100 + 100]
-        got += rows
-    assert got == whole
+    stored = spark.read.parquet(str(tmp_path / "t" / "rows")).drop("file")
+    assert sorted(map(repr, stored.collect())) == sorted(map(repr, table.collect()))
     keys = lambda df: [(r.project_id, r.localPath) for r in df.collect()]
     assert keys(page_index.read_page(spark, str(tmp_path / "t"), 7, 90)) == keys(catalog.files_page(table, 7, 90))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from thalweg.functions.growth import RED_BAND_TROUT
 from thalweg.operators import season_store, seasonal
 
-DECADES = (1979, 1980, 1983, 1984, 2010, 2021)
+DECADES = (1980, 1983, 1984, 2021)
 
 
 def readings(spark, kind="timestamp", count=4000, seed=1):

@@ -204,3 +204,32 @@ def test_reports_and_exports(spark, tmp_path):
     assert first != second and spark.read.parquet(first).first().comid == 1
     write_csv(table, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["comid", "name"]
+
+
+def test_long_lines_look_for_polygons_by_stretches(spark):
+    size = 40
+    tiles = [(f"H{(x + y) % 3}", bytearray(polygon_wkb([ring((float(x), float(y)), (x + 1.0, float(y)), (x + 1.0, y + 1.0), (float(x), y + 1.0))])))
+             for x in range(size) for y in range(size)]
+    tiles.append(("W", bytearray(polygon_wkb([ring((-10.0, -10.0), (90.0, -10.0), (90.0, 90.0), (-10.0, 90.0))]))))
+    areas = spark.createDataFrame(tiles, "HUC12 string, geom binary")
+    ends = [(-3.0, -2.5, 43.0, 41.75), (0.25, 0.5, 39.5, 39.0), (7.0, 50.0, 7.0, -5.0), (38.9, 1.1, 2.3, 17.0)]
+    lines = spark.createDataFrame([(i, bytearray(line_wkb([e[:2], e[2:]]))) for i, e in enumerate(ends)], "comid bigint, geom binary")
+    shapes = areas.selectExpr("HUC12 AS g", "geom AS polygon", "unhex(md5(geom)) AS pid", "1 AS parts").withColumn("p", spatial.wkb_box("polygon"))
+    segments = spatial.line_segments(lines)
+    assert spatial._stretch_width(shapes) < 15
+    found = spatial._crossing(segments, shapes, spatial._stretch_width(shapes), 1e-9).select("comid", "pid").collect()
+    whole = spatial._crossing(segments, shapes, None, 1e-9).select("comid", "pid").collect()
+    assert len(found) == len(set(map(repr, found))) < 600
+    assert sorted(map(repr, found)) == sorted(map(repr, whole))
+    # a stretch lists few polygons: the boxes of whole segments overlap some thousands
+    boxes = spatial._stretches(segments, spatial._stretch_width(shapes)).collect()
+    overlaps = sum((min(r.sx1, size) - max(r.sx0, 0) + 2) * (min(r.sy1, size) - max(r.sy0, 0) + 2) for r in boxes)
+    assert overlaps < 2000
+    got = {}
+    for r in spatial.clip_flowlines(lines, areas).collect():
+        got.setdefault(r.comid, {})[r.HUC12] = r.length
+    for i, (x1, y1, x2, y2) in enumerate(ends):
+        want = ((x2 - x1) ** 2 + (y2 - y1) ** 2) ** 0.5
+        assert abs(got[i]["W"] - want) < 1e-9
+    assert abs(sum(v for k, v in got[1].items() if k != "W") - got[1]["W"]) < 1e-9
+    assert abs(sum(v for k, v in got[3].items() if k != "W") - got[3]["W"]) < 1e-9

@@ -7,7 +7,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,12 +110,12 @@ def _inside_spans(segments: np.ndarray, rings: list[np.ndarray]) -> tuple[np.nda
     return index, t0[index, piece], t1[index, piece]
 
 
-def _joined(cuts: pa.StructArray) -> tuple[float, list[list[tuple[float, float]]]]:
+def _joined(cuts: pa.Table | pa.RecordBatch) -> tuple[float, list[list[tuple[float, float]]]]:
     """Length and lines of one line's stretches, in order: overlaps count once, stretches that touch are one line."""
     lines: list[list[tuple[float, float]]] = []
     length, last = 0.0, None
     names = ("part", "seq", "t0", "t1", "x1", "y1", "x2", "y2")
-    for part, seq, t0, t1, x1, y1, x2, y2 in zip(*(cuts.field(n).to_pylist() for n in names)):
+    for part, seq, t0, t1, x1, y1, x2, y2 in zip(*(cuts.column(n).to_pylist() for n in names)):
         same = last is not None and last[:2] == (part, seq)
         if same:
             t0 = max(t0, last[2])
@@ -133,8 +133,94 @@ def _joined(cuts: pa.StructArray) -> tuple[float, list[list[tuple[float, float]]
     return length, lines
 
 
-#: Segments that go to Python with one copy of a polygon, about.
-CHUNK = 1000
+#: Segments that are cut at a polygon at one time, at most.
+CHUNK = 8000
+#: Long segments meet polygons in stretches this many times as long as the mean distance between polygons.
+STRETCH = 4.0
+#: Stretches of one segment, and parts that the segments of one large polygon are dealt to, at most.
+MOST_STRETCHES, MOST_PARTS = 1_000_000, 64
+
+
+def _stretch_width(shapes: DataFrame) -> float | None:
+    """How long a stretch of a segment is: about the distance between polygons, but no less than their size."""
+    wide, high = F.col("p.max_x") - F.col("p.min_x"), F.col("p.max_y") - F.col("p.min_y")
+    seen = shapes.agg(
+        F.count("p.min_x").alias("n"), F.avg(F.greatest(wide, high)).alias("size"),
+        (F.max("p.max_x") - F.min("p.min_x")).alias("w"), (F.max("p.max_y") - F.min("p.min_y")).alias("h"),
+    ).first()
+    if not seen["n"]:
+        return None
+    w, h = seen["w"], seen["h"]
+    apart = math.sqrt(w * h / seen["n"]) if w and h else max(w, h) / seen["n"]
+    width = max(STRETCH * apart, seen["size"])
+    return width if 0 < width < math.inf else None
+
+
+def _stretches(segments: DataFrame, width: float | None) -> DataFrame:
+    """Segments as equal stretches up to ``width`` long, with their boxes and those of the stretches before (null: none).
+
+    Boxes are a little too large, and those of one segment go one way along either axis.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType([*segments.schema, *(T.StructField(c, T.DoubleType()) for c in (*_BOX, *_BOX_BEFORE))])
+    arrow, at_once = to_arrow_schema(schema), 100_000
+
+    def boxes(ends: np.ndarray, stretch: np.ndarray, many: np.ndarray) -> np.ndarray:
+        slack = np.abs(ends[:, 2:] - ends[:, :2]).max(axis=1) * 1e-9
+        low, high = [], []
+        for a, b in ((ends[:, 0], ends[:, 2]), (ends[:, 1], ends[:, 3])):
+            sides = [np.where(i >= many, b, np.clip(a + (b - a) * (i / many), np.minimum(a, b), np.maximum(a, b))) for i in (stretch, stretch + 1)]
+            low.append(np.minimum(*sides) - slack)
+            high.append(np.maximum(*sides) + slack)
+        return np.array([*low, *high])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")])
+            long = np.abs(ends[:, 2:] - ends[:, :2]).max(axis=1)
+            many = np.ones(len(ends), np.int64)
+            if width:
+                known = np.isfinite(long)
+                many[known] = np.clip(np.ceil(long[known] / width), 1, MOST_STRETCHES)
+            stop = np.cumsum(many)
+            for first in range(0, int(stop[-1]) if len(stop) else 0, at_once):
+                number = np.arange(first, min(first + at_once, int(stop[-1])))
+                row = np.searchsorted(stop, number, side="right")
+                stretch = number - (stop - many)[row]
+                own, before = (boxes(ends[row], at, many[row]) for at in (stretch, stretch - 1))
+                columns = [*batch.take(pa.array(row)).columns, *map(pa.array, own), *(pa.array(c, mask=stretch == 0) for c in before)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return segments.mapInArrow(run, schema)
+
+
+_BOX, _BOX_BEFORE = ("sx0", "sy0", "sx1", "sy1"), ("bx0", "by0", "bx1", "by1")
+
+
+def _crossing(segments: DataFrame, shapes: DataFrame, width: float | None, least: float) -> DataFrame:
+    """Segments ``x1, y1, x2, y2`` with the polygons whose box ``min_x, ...`` they cross or touch, each pair once.
+
+    The box of a long slanting segment overlaps far more polygons than the
+    segment meets, so its stretches look for them: a pair is kept by the first
+    stretch that finds it.  Boxes of stretches are a little too large and the
+    last test a little too kind: only cutting decides.
+    """
+    sides = ("min_x", "min_y", "max_x", "max_y")
+    met = overlapping(_stretches(segments, width), shapes.select("g", "pid", "parts", "p.*"), _BOX, sides, least)
+    b = [F.col(c) for c in sides]
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+
+    def touch(box: list[Column]) -> Column:
+        return (box[0] <= b[2]) & (box[2] >= b[0]) & (box[1] <= b[3]) & (box[3] >= b[1])
+
+    whole = [F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2)]
+    found_before = F.coalesce(touch([F.col(c) for c in _BOX_BEFORE]), F.lit(False))
+    dx, dy = F.abs(x2 - x1), F.abs(y2 - y1)
+    off_x, off_y = (b[0] + b[2]) / 2 - x1, (b[1] + b[3]) / 2 - y1
+    reach = (dx * (b[3] - b[1]) + dy * (b[2] - b[0])) / 2
+    beside = F.abs((x2 - x1) * off_y - (y2 - y1) * off_x) > reach + (reach + dx * F.abs(off_y) + dy * F.abs(off_x)) * 1e-9
+    return met.where(touch(whole) & ~found_before & ~beside).drop(*_BOX, *_BOX_BEFORE)
 
 
 def clip_flowlines(
@@ -144,90 +230,110 @@ def clip_flowlines(
 
     Catchments tile their watershed, so a line is cut at each catchment and the
     pieces are put together again per group; overlapping catchments do not
-    count twice.  Segments and catchments meet in a hierarchy of grids (see
-    ``operators.grid``), so neither a long segment nor a large catchment lists
-    more than a few cells; ``cell_size`` is the width of the smallest cells,
-    which otherwise suit the shapes.  Copies of a line are cut once and given
+    count twice.  Segments, long ones in stretches, and catchments meet in a
+    hierarchy of grids (see ``operators.grid``); ``cell_size`` is the width of
+    the smallest cells, which otherwise suit the shapes.  A task gets the
+    segments of a polygon behind the polygon and cuts them as they pass; the
+    pieces of a line pass in order.  Copies of a line are cut once and given
     back as often as they came; copies of a catchment are dropped.
     """
     shapes = stored(
         catchments.where(F.col("geom").isNotNull())
         .select(F.col(group).alias("g"), F.col("geom").alias("polygon"))
         .distinct()
-        .select("g", "polygon", F.md5("polygon").alias("pid"), wkb_box("polygon").alias("p")),
+        .select("g", "polygon", F.unhex(F.md5("polygon")).alias("pid"), wkb_box("polygon").alias("p")),
         "catchments",
     )
+    width = _stretch_width(shapes)
+    # the segments of a polygon that is much larger than most are dealt to several parts
+    area = (F.col("p.max_x") - F.col("p.min_x")) * (F.col("p.max_y") - F.col("p.min_y")) / F.lit((width or 1.0) ** 2)
+    shapes = shapes.withColumn("parts", F.greatest(F.lit(1), F.least(F.lit(MOST_PARTS), F.ceil(F.coalesce(area, F.lit(0.0))))).cast("int"))
     lines = (
         flowlines.where(F.col("geom").isNotNull())
         .groupBy("comid", "geom")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .select("comid", F.md5("geom").alias("line"), "copies", "geom")
+        .select("comid", F.unhex(F.md5("geom")).alias("line"), "copies", "geom")
+        # a short row may be a long line: rows are few bytes here and much work behind
+        .repartition(8 * flowlines.sparkSession.sparkContext.defaultParallelism, "comid", "line")
     )
-    left = line_segments(lines).select(
-        "*",
-        F.least("x1", "x2").alias("sx0"),
-        F.least("y1", "y2").alias("sy0"),
-        F.greatest("x1", "x2").alias("sx1"),
-        F.greatest("y1", "y2").alias("sy1"),
-    )
-    boxes = ("sx0", "sy0", "sx1", "sy1"), ("min_x", "min_y", "max_x", "max_y")
-    met = overlapping(left, shapes.select("g", "pid", "p.*"), *boxes, cell_size or LEAST)
+    met = _crossing(line_segments(lines), shapes, width, cell_size or LEAST)
     segment = ["comid", "line", "copies", "part", "seq", "x1", "y1", "x2", "y2"]
-    pairs = met.select("g", "pid", *segment)
-    # Pairs travel by the polygon's digest; its bytes join once per chunk of segments.
-    chunks = pairs.groupBy("g", "pid").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("chunks"))
-    chunks = chunks.select(F.col("g").alias("cg"), F.col("pid").alias("cpid"), "chunks")
-    dealt = pairs.join(chunks, F.col("g").eqNullSafe(F.col("cg")) & (F.col("pid") == F.col("cpid"))).select(
-        "g", "pid", F.pmod(F.xxhash64("comid", "line", "part", "seq"), F.col("chunks")).alias("chunk"), *segment
-    )
-    packed = dealt.groupBy("g", "pid", "chunk").agg(F.collect_list(F.struct(*segment)).alias("segments"))
-    polygons = shapes.select(F.col("g").alias("pg"), F.col("pid").alias("ppid"), "polygon")
-    work = packed.join(polygons, F.col("g").eqNullSafe(F.col("pg")) & (F.col("pid") == F.col("ppid"))).select(
-        "g", "polygon", "segments"
-    )
+    # Pairs travel by the polygon's digest; its bytes come once for each part, ahead of them.
+    dealt = F.pmod(F.xxhash64("comid", "line", "part", "seq"), F.col("parts")).cast("int").alias("dealt")
+    pairs = met.select("g", "pid", dealt, F.lit(None).cast("binary").alias("polygon"), *segment)
+    ahead = shapes.select("g", "pid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("dealt"), "polygon")
+    where = ("g", "pid", "dealt")
+    work = ahead.unionByName(pairs, allowMissingColumns=True).repartition(*where)
+    work = work.sortWithinPartitions(*where, F.col("polygon").isNull()).drop("pid", "dealt")
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields if f.name in ("g", "comid")}
 
+    chunk = CHUNK
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        polygons = []
         for batch in batches:
-            for row in range(batch.num_rows):
-                listed = pa.RecordBatch.from_struct_array(batch.column("segments").slice(row, 1).flatten())
-                corners = np.column_stack([listed.column(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")])
-                rows, starts, stops = [], [], []
-                for kind, rings in parts_of(batch.column("polygon")[row].as_py()):
-                    if kind != POLYGON:
-                        continue
+            corners = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")])
+            heads = np.flatnonzero(batch.column("polygon").is_valid().to_numpy(zero_copy_only=False))
+            rows, starts, stops = [], [], []
+            for first, last in zip([-1, *heads.tolist()], [*heads.tolist(), batch.num_rows]):
+                if first >= 0:
+                    polygons = [rings for kind, rings in parts_of(batch.column("polygon")[first].as_py()) if kind == POLYGON]
+                for rings in polygons if last > first + 1 else ():
                     # Few enough segments at a time that the tables of crossings stay small.
-                    few = max(1, 200_000 // sum(len(r) for r in rings) ** 2)
-                    for at in range(0, len(corners), few):
-                        index, t0, t1 = _inside_spans(corners[at : at + few], rings)
+                    few = max(1, min(chunk, 200_000 // sum(len(r) for r in rings) ** 2))
+                    for at in range(first + 1, last, few):
+                        index, t0, t1 = _inside_spans(corners[at : min(at + few, last)], rings)
                         rows.append(at + index)
                         starts.append(t0)
                         stops.append(t1)
-                if rows and sum(map(len, rows)):
-                    found = listed.take(pa.array(np.concatenate(rows)))
-                    owner = batch.column("g").take(pa.array(np.full(found.num_rows, row)))
-                    columns = [owner, *found.columns, pa.array(np.concatenate(starts)), pa.array(np.concatenate(stops))]
-                    yield pa.RecordBatch.from_arrays(columns, ["g", *found.schema.names, "t0", "t1"])
+            if rows and sum(map(len, rows)):
+                found = batch.select(["g", *segment]).take(pa.array(np.concatenate(rows)))
+                columns = [*found.columns, pa.array(np.concatenate(starts)), pa.array(np.concatenate(stops))]
+                yield pa.RecordBatch.from_arrays(columns, [*found.schema.names, "t0", "t1"])
 
     inside = work.mapInArrow(
         cut,
-        f"g {kinds['g']}, comid {kinds['comid']}, line string, copies bigint, part int, seq int,"
+        f"g {kinds['g']}, comid {kinds['comid']}, line binary, copies bigint, part int, seq int,"
         " x1 double, y1 double, x2 double, y2 double, t0 double, t1 double",
     )
     # One row per line, which held its points in one row before.
-    gathered = inside.groupBy("g", "comid", "line", "copies").agg(
-        F.array_sort(F.collect_list(F.struct("part", "seq", "t0", "t1", "x1", "y1", "x2", "y2"))).alias("cuts")
-    )
+    line = ("g", "comid", "line")
+    gathered = inside.repartition(*line).sortWithinPartitions(*line, "part", "seq", "t0", "t1")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def key(row: pa.RecordBatch) -> tuple:
+            return tuple(row.column(c)[0].as_py() for c in line)
+
+        def row() -> tuple:
+            length, lines = _joined(pa.Table.from_batches(held) if len(held) > 1 else held[0])
+            return held[0].column("copies")[0].as_py(), *key(held[0])[:2], length, multi_line_wkb(lines)
+
+        def made(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+            copies, g, comid, lengths, geoms = zip(*rows)
+            kept = [pa.array(g, schema.field("g").type), pa.array(comid, schema.field("comid").type), pa.array(copies, pa.int64())]
+            return pa.RecordBatch.from_arrays([*kept, pa.array(lengths), pa.array(geoms, pa.binary())], [group, "comid", "copies", "length", "geom"])
+
         for batch in batches:
-            lengths, geoms = [], []
-            for cuts in batch.column("cuts"):
-                length, lines = _joined(cuts.values)
-                lengths.append(length)
-                geoms.append(multi_line_wkb(lines))
-            columns = [batch.column("g"), batch.column("comid"), batch.column("copies"), pa.array(lengths), pa.array(geoms, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [group, "comid", "copies", "length", "geom"])
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows - 1, bool)
+            for c in line:
+                codes = batch.column(c).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+                new |= codes[1:] != codes[:-1]
+            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            rows = []
+            for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+                some = batch.slice(start, stop - start)
+                if held and (start or key(held[0]) != key(some)):
+                    rows.append(row())
+                    held = []
+                held.append(some)
+            if rows:
+                yield made(rows, batch.schema)
+        if held:
+            yield made([row()], held[0].schema)
 
     rebuilt = gathered.mapInArrow(
         rebuild, f"`{group}` {kinds['g']}, comid {kinds['comid']}, copies bigint, length double, geom binary"

@@ -99,3 +99,27 @@ def test_diff_of_unreadable_missing_and_equal_documents(spark):
     assert set(got) == {"cut", "gone", "new", "null"}
     assert got["gone"] == [("project", "", "removed")] and got["new"] == got["null"] == [("project", "", "added")]
     assert ("project", "", "changed") in got["cut"] and len([x for x in got["cut"] if x[2] == "removed"]) == len(nodes.walk(TEXT)) - 4
+
+
+def test_nodes_in_order_stay_in_the_walk_and_the_rules_judge_the_rest(spark, tmp_path):
+    odd = [
+        TEXT, "<Project/>", "", None, "<Project><MetaData><Meta name='a'/><Meta name='a'/></MetaData></Project>",
+        "<Project><Name>n</Name><Realizations><Realization id=' ' dateCreated='2023-02-30' productVersion='1.0'/></Realizations>"
+        "<QAQCEvents><QAQCEvent datePerformed='2024-02-29' state='odd'><Name>e</Name></QAQCEvent></QAQCEvents></Project>",
+        "<Project><CommonDatasets><Raster id='r' extRef='x'><Path>/p</Path></Raster><Raster><Name>n</Name><Path>a/b.tif</Path></Raster>"
+        "<Geopackage id='g'><Name>g</Name><Path>g.gpkg</Path><Layers><Vector lyrName='' /><Vector/><Shape lyrName='s'/></Layers></Geopackage>"
+        "</CommonDatasets><Stray lyrName='t'/></Project>",
+        "<!DOCTYPE Project [<!ATTLIST Stray lyrName CDATA 'given'>]><Project><Stray/></Project>",
+    ]
+    given = spark.createDataFrame(list(enumerate(odd)), "project_id long, xml string")
+    every = nodes.shred(given, nodes.KINDS)
+    listed = lambda df: sorted(map(repr, df.select("project_id", "severity", "rule", "location").collect()))
+    found = listed(manifest.xml_audit(given))
+    assert found == listed(manifest.xml_audit(every)) and len(found) > 30
+    # what breaks no rule is not sent on, and texts for places are made only where asked for
+    fine = [n for n in nodes.walk(TEXT, frozenset(nodes.KINDS), False)]
+    assert all("place" not in n and "parent" not in n for n in fine)
+    assert sum(map(manifest._doubtful, fine)) < len(fine)
+    strip = lambda n: {k: v for k, v in n.items() if k not in ("place", "parent", "spot", "meta_place", "up", "counts")}
+    assert [strip(n) for n in fine] == [strip(n) for n in nodes.walk(TEXT)]
+    assert [n["kind"] for n in nodes.walk(TEXT, frozenset({nodes.EVENT}), False)].count("dataset") == 0

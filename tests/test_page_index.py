@@ -44,3 +44,16 @@ def test_a_page_reads_two_files_at_most(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     page_index.write_paged(manifest(spark).limit(0), str(tmp_path / "t"))
     assert page_index.read_page(spark, str(tmp_path / "t"), 0).count() == 0
+
+
+def test_small_files_make_few_ranges(spark, tmp_path):
+    table = spark.range(9000).select((F.col("id") * 7919 % 9000).alias("project_id"), F.lit("x").alias("localPath"))
+    path = str(tmp_path / "t")
+    page_index.write_paged(table, path, rows_per_file=20)
+    # bounds of ranges come from a sample on the driver: not one range for each of the 450 files
+    assert spark.read.parquet(f"{path}/index").count() <= spark.sparkContext.defaultParallelism
+    sizes = [r["count"] for r in spark.read.parquet(f"{path}/rows").groupBy("_metadata.file_path").count().collect()]
+    assert max(sizes) == 20 and len(sizes) >= 450
+    for page in (0, 1, 44, 89):
+        assert [r.project_id for r in page_index.read_page(spark, path, page, 100).collect()] == list(range(page * 100, page * 100 + 100))
+    assert page_index.read_page(spark, path, 90, 100).count() == 0

@@ -143,3 +143,12 @@ def test_a_batch_counts_once_and_whole(spark, tmp_path, monkeypatch):
     assert sinks.read_committed(spark, metrics, metrics, table.schema).columns == table.columns
     with pytest.raises(ValueError):
         sinks.write_metrics(table, metrics, ledger, "../x")
+
+
+def test_lookup_codes_meet_each_carried_code_once(spark, folder):
+    from thalweg.plans import all_queries
+
+    found = all_queries()["lookup_bridge"](spark, folder)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("LeftSemi")[1]
+    assert found.count() == 7

@@ -100,7 +100,9 @@ def lookup_bridge(spark, folder):
     """Flow codes that segments really carry."""
     i = Inputs(spark, folder)
     codes = explode_codes(i.flows).select(F.lit("flow").alias("lookup"), "id", "code")
-    return codes.join(i.dgos.select(F.col("FCode").alias("code")), "code", "left_semi").select("lookup", "id", "code")
+    # few codes on very many segments: each is met once, not as often as it is carried
+    carried = i.dgos.select(F.col("FCode").alias("code")).distinct()
+    return codes.join(carried, "code", "left_semi").select("lookup", "id", "code")
 
 
 @query("dgo_rollup", f"WITH {FANNED}, {_joined(DEFS)} SELECT {ROLLED_SQL} FROM rolled")

@@ -107,7 +107,8 @@ def overlapping(left: DataFrame, right: DataFrame, left_box: Box, right_box: Box
     level = F.col("level")
     return (
         rows[0]
-        .join(rows[1], keys)
+        # how many cells a row is listed in is unknown to the planner, which would broadcast them
+        .join(rows[1].hint("merge"), keys)
         .where((a[0] <= b[2]) & (a[2] >= b[0]) & (a[1] <= b[3]) & (a[3] >= b[1]))
         .where((F.col("cx") == _place(F.greatest(a[0], b[0]), level)) & (F.col("cy") == _place(F.greatest(a[1], b[1]), level)))
         .drop(*keys)

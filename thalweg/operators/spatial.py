@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.wkb import LINE, POLYGON, multi_line_wkb, parts_of, wkb_box
+from ..functions.clip import PIECES, Polygons, rebuilt
+from ..functions.wkb import LINE, parts_of, wkb_box
 from ..session import stored
 from .grid import LEAST, overlapping
 
@@ -64,81 +67,19 @@ def line_segments(lines: DataFrame, geometry: str = "geom") -> DataFrame:
     return lines.mapInArrow(run, schema)
 
 
-def _inside_spans(segments: np.ndarray, rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of segments that lie in a polygon: segment index, and two fractions of its length.
-
-    Each segment is cut at its crossings with the polygon's edges, and at the
-    ends of edges that run along it; a stretch belongs to the polygon if its
-    middle does.
-    """
-    start, step = segments[:, :2], segments[:, 2:] - segments[:, :2]
-    a = np.concatenate([ring[:-1] for ring in rings])
-    edge = np.concatenate([np.diff(ring, axis=0) for ring in rings])
-    sx, sy, ex, ey = step[:, :1], step[:, 1:], edge[:, 0], edge[:, 1]
-    ox, oy = a[:, 0] - start[:, :1], a[:, 1] - start[:, 1:]
-    cross = sx * ey - sy * ex
-    square = np.maximum((step**2).sum(axis=1, keepdims=True), 1e-300)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t, u = (ox * ey - oy * ex) / cross, (ox * sy - oy * sx) / cross
-    hit = (cross != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)
-    along = (cross == 0) & (np.abs(sx * oy - sy * ox) <= 1e-12 * square)
-    ends = [(ox * sx + oy * sy) / square, ((ox + ex) * sx + (oy + ey) * sy) / square]
-    cuts = np.concatenate(
-        [
-            np.zeros_like(sx),
-            np.ones_like(sx),
-            np.where(hit, t, np.nan),
-            *[np.where(along & (v > 0) & (v < 1), v, np.nan) for v in ends],
-        ],
-        axis=1,
-    )
-    cuts.sort(axis=1)
-    cuts = cuts[:, : int(np.isfinite(cuts).sum(axis=1).max())]
-    t0, t1 = cuts[:, :-1], cuts[:, 1:]
-    middle = (t0 + t1) / 2
-    mx, my = (start[:, :1] + sx * middle)[:, :, None], (start[:, 1:] + sy * middle)[:, :, None]
-    x1, y1 = a[:, 0], a[:, 1]
-    x2, y2 = x1 + ex, y1 + ey
-    with np.errstate(divide="ignore", invalid="ignore"):
-        left_of = mx < x1 + (my - y1) * ex / ey
-    odd = (((y1 > my) != (y2 > my)) & left_of).sum(axis=2) % 2 == 1
-    beside = (
-        (np.minimum(x1, x2) <= mx) & (mx <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= my)
-        & (my <= np.maximum(y1, y2)) & (np.abs(ex * (my - y1) - ey * (mx - x1)) <= 1e-12)
-    ).any(axis=2)
-    index, piece = np.nonzero((odd | beside) & (t1 > t0))
-    return index, t0[index, piece], t1[index, piece]
-
-
-def _joined(cuts: pa.Table | pa.RecordBatch) -> tuple[float, list[list[tuple[float, float]]]]:
-    """Length and lines of one line's stretches, in order: overlaps count once, stretches that touch are one line."""
-    lines: list[list[tuple[float, float]]] = []
-    length, last = 0.0, None
-    names = ("part", "seq", "t0", "t1", "x1", "y1", "x2", "y2")
-    for part, seq, t0, t1, x1, y1, x2, y2 in zip(*(cuts.column(n).to_pylist() for n in names)):
-        same = last is not None and last[:2] == (part, seq)
-        if same:
-            t0 = max(t0, last[2])
-            if t1 <= t0:
-                continue
-        first, final = (x1 + (x2 - x1) * t0, y1 + (y2 - y1) * t0), (x1 + (x2 - x1) * t1, y1 + (y2 - y1) * t1)
-        if same and last[2] == t0:
-            lines[-1][-1] = final
-        elif last is not None and last[0] == part and last[1] + 1 == seq and last[2] == 1.0 and t0 == 0.0:
-            lines[-1].append(final)
-        else:
-            lines.append([first, final])
-        length += math.hypot(final[0] - first[0], final[1] - first[1])
-        last = (part, seq, t1)
-    return length, lines
-
-
 #: Segments that are cut at a polygon at one time, at most.
 CHUNK = 8000
 #: Long segments meet polygons in stretches this many times as long as the mean distance between polygons.
 STRETCH = 4.0
-#: Stretches of one segment, and parts that the segments of one large polygon are dealt to, at most.
-MOST_STRETCHES, MOST_PARTS = 1_000_000, 64
+#: Stretches of one segment, at most.
+MOST_STRETCHES = 1_000_000
+#: Bytes of polygons that a task holds at one time, at most, unless a single one has more.
+BLOCK_BYTES = 64_000_000
+#: What a unit of work is worth sending a block's polygons for: bytes of polygons that lines meet, at least so many and
+#: so many times the block's own; no more lines than the third.
+UNIT_BYTES, UNIT_TIMES, UNIT_LINES = 48_000_000, 40, 100_000
+#: Units of a block, and tasks, at most.
+MOST_PARTS, MOST_TASKS = 4096, 8192
 
 
 def _stretch_width(shapes: DataFrame) -> float | None:
@@ -223,6 +164,156 @@ def _crossing(segments: DataFrame, shapes: DataFrame, width: float | None, least
     return met.where(touch(whole) & ~found_before & ~beside).drop(*_BOX, *_BOX_BEFORE)
 
 
+def _blocks(shapes: DataFrame, limit: int) -> tuple[DataFrame, list[Row]]:
+    """Polygons with the block they belong to, and the blocks: their polygons, bytes and bounds.
+
+    Polygons of a block lie near each other, large ones apart from small ones,
+    and a block has at most ``limit`` bytes or one polygon.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    sides = ("min_x", "min_y", "max_x", "max_y")
+    wide, high = F.col("p.max_x") - F.col("p.min_x"), F.col("p.max_y") - F.col("p.min_y")
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("polygon")).alias("bytes"), F.avg(F.greatest(wide, high)).alias("size")]
+    sums += [(F.min if c.startswith("min") else F.max)(f"p.{c}").alias(c) for c in sides]
+    whole = shapes.agg(F.lit(0).cast("bigint").alias("block"), *sums).first()
+    if whole["n"] and not all(math.isfinite(whole[c]) for c in sides):
+        raise ValueError("a polygon has an infinite coordinate")
+    if not whole["n"] or whole["bytes"] <= limit:
+        return shapes.withColumn("block", F.lit(0).cast("bigint")), [whole] if whole["n"] else []
+    many = math.ceil(whole["bytes"] / limit)
+    w, h = whole["max_x"] - whole["min_x"], whole["max_y"] - whole["min_y"]
+    large = F.greatest(wide, high) > math.sqrt(w * h / many) / 4
+    code = F.lit(0).cast("bigint")
+    for low, span, c in ((whole["min_x"], w, "x"), (whole["min_y"], h, "y")):
+        place = F.floor(((F.col(f"p.min_{c}") + F.col(f"p.max_{c}")) / 2 - low) / (span or 1.0) * 65535).cast("bigint")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            place = place.bitwiseOR(F.shiftleft(place, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+        code = F.shiftleft(code, 1).bitwiseOR(place)
+    dealt = (
+        shapes.withColumns({"large": large, "code": code})
+        .repartitionByRange(many, "large", "code")
+        .sortWithinPartitions("large", "code")
+        .withColumn("block", F.shiftleft(F.spark_partition_id().cast("bigint"), 32))
+    )
+    schema = dealt.schema
+    arrow = to_arrow_schema(schema)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, before = 0, 0, None
+        for batch in batches:
+            numbers = []
+            sizes = pc.binary_length(batch.column("polygon")).to_pylist()
+            for size, kind in zip(sizes, batch.column("large").to_pylist()):
+                if before is not None and (held + size > limit or kind != before):
+                    number, held = number + 1, 0
+                held, before = held + size, kind
+                numbers.append(number)
+            block = pc.add(batch.column("block"), pa.array(numbers, pa.int64()))
+            columns = [block if f.name == "block" else batch.column(f.name).cast(f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    shapes = stored(dealt.mapInArrow(numbered, schema).drop("large", "code"), "blocks")
+    return shapes, shapes.groupBy("block").agg(*sums).collect()
+
+
+def _apart(block: Row) -> float:
+    """The mean distance between polygons of a block."""
+    w, h = block["max_x"] - block["min_x"], block["max_y"] - block["min_y"]
+    return (math.sqrt(w * h / block["n"]) if w and h else max(w, h) / block["n"]) or 1.0
+
+
+def _units(spark: SparkSession, blocks: list[Row], work: list[Row]) -> tuple[DataFrame, int]:
+    """Blocks with the first of their units and how many they have, and the number of all.
+
+    A unit is what one task does at a time: the polygons of a block and some of
+    the lines that meet it.  A block with much work gives its polygons to several.
+    """
+    known, rows, first = {b["block"]: b for b in blocks}, [], 0
+    for w in work:
+        block = known[w["block"]]
+        size = (w["met"] or 0.0) * block["bytes"] / block["n"]
+        parts = max(size / max(UNIT_BYTES, UNIT_TIMES * block["bytes"]), w["lines"] / UNIT_LINES)
+        rows.append((w["block"], first, min(MOST_PARTS, max(1, math.ceil(parts)))))
+        first += rows[-1][2]
+    return spark.createDataFrame(rows, "block bigint, first bigint, parts bigint"), first
+
+
+def _sent(shapes: DataFrame, lines: DataFrame, blocks: list[Row], work: list[Row]) -> DataFrame:
+    """Units in streams: the polygons of each ahead of its lines."""
+    units, many = _units(shapes.sparkSession, blocks, work)
+    units = F.broadcast(units)
+    ahead = shapes.join(units, "block").select(
+        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("unit"), "g", "polygon"
+    )
+    dealt = F.col("first") + F.pmod(F.xxhash64("comid", "line"), F.col("parts"))
+    behind = lines.join(units, "block").select(dealt.alias("unit"), "comid", "line", "copies", "geom")
+    tasks = min(many, MOST_TASKS)
+    together = ahead.unionByName(behind, allowMissingColumns=True)
+    dealt = together.repartitionById(tasks, F.pmod("unit", F.lit(tasks)).cast("int"))
+    return dealt.sortWithinPartitions("unit", F.col("polygon").isNull())
+
+
+def _cutter(least: float, chunk: int, made: Callable) -> Callable:
+    """A function over a stream of units, that gives ``made`` the stretches of some lines at a time."""
+
+    def segments_of(lines: pa.Array) -> tuple[np.ndarray, ...]:
+        owner, part, seq, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty((0, 4))]
+        for row, blob in enumerate(lines):
+            for at, (kind, shape) in enumerate(parts_of(blob.as_py())):
+                n = len(shape[0]) - 1
+                if kind == LINE and n > 0:
+                    owner.append(np.full(n, row))
+                    part.append(np.full(n, at))
+                    seq.append(np.arange(n))
+                    ends.append(np.c_[shape[0][:-1], shape[0][1:]])
+        owner, part, seq, ends = (np.concatenate(c) for c in (owner, part, seq, ends))
+        sound = np.isfinite(ends).all(axis=1)
+        return owner[sound], part[sound], seq[sound], ends[sound]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, blobs, groups, polygons, codes, names = None, [], [], None, None, None
+        for batch in batches:
+            ahead = batch.column("polygon").is_valid().to_numpy(zero_copy_only=False)
+            units = batch.column("unit").to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero((units[1:] != units[:-1]) | (ahead[1:] != ahead[:-1])) + 1
+            for first, last in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows]):
+                some = batch.slice(first, last - first)
+                if not some.num_rows:
+                    continue
+                if ahead[first]:
+                    if units[first] != unit:
+                        unit, blobs, groups, polygons = units[first], [], [], None
+                    blobs.append(some.column("polygon"))
+                    groups.append(some.column("g"))
+                    continue
+                if polygons is None:
+                    polygons = Polygons(pa.chunked_array(blobs), least)
+                    coded = pa.chunked_array(groups).combine_chunks().dictionary_encode("encode")
+                    codes, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+                    blobs, groups = [], []
+                owner, part, seq, ends = segments_of(some.column("geom"))
+                if not len(owner):
+                    continue
+                # lines are cut some at a time, so that their pieces fit in memory
+                weight = np.cumsum(np.bincount(owner, polygons.weights(ends), some.num_rows))
+                start = 0
+                while start < some.num_rows:
+                    full = (weight[start - 1] if start else 0.0) + PIECES
+                    stop = max(start + 1, int(np.searchsorted(weight, full, side="right")))
+                    a, b = np.searchsorted(owner, start), np.searchsorted(owner, stop)
+                    index, polygon, t0, t1 = polygons.inside(ends[a:b], chunk)
+                    code = codes[polygon]
+                    # a single line may have very many pieces
+                    for c in np.unique(code).tolist() if len(index) > 10 * PIECES else [None]:
+                        own = slice(None) if c is None else code == c
+                        if len(index):
+                            yield made(some, names, index[own], code[own], t0[own], t1[own], owner[a:b], part[a:b], seq[a:b], ends[a:b])
+                    start = stop
+
+    return cut
+
+
 def clip_flowlines(
     flowlines: DataFrame, catchments: DataFrame, cell_size: float | None = None, group: str = "HUC12"
 ) -> DataFrame:
@@ -230,113 +321,145 @@ def clip_flowlines(
 
     Catchments tile their watershed, so a line is cut at each catchment and the
     pieces are put together again per group; overlapping catchments do not
-    count twice.  Segments, long ones in stretches, and catchments meet in a
-    hierarchy of grids (see ``operators.grid``); ``cell_size`` is the width of
-    the smallest cells, which otherwise suit the shapes.  A task gets the
-    segments of a polygon behind the polygon and cuts them as they pass; the
-    pieces of a line pass in order.  Copies of a line are cut once and given
-    back as often as they came; copies of a catchment are dropped.
+    count twice.  A task holds the catchments of a block in grids by size (see
+    ``functions.clip``) and cuts the lines that pass behind them;
+    ``cell_size`` is the width of the smallest cells, which otherwise suit the
+    shapes.  Most lines meet one block and are finished there; the pieces of
+    others are gathered by line.  Copies of a line are cut once and given back
+    as often as they came; copies of a catchment are dropped.
     """
+    spark, least = flowlines.sparkSession, cell_size or LEAST
     shapes = stored(
         catchments.where(F.col("geom").isNotNull())
         .select(F.col(group).alias("g"), F.col("geom").alias("polygon"))
         .distinct()
-        .select("g", "polygon", F.unhex(F.md5("polygon")).alias("pid"), wkb_box("polygon").alias("p")),
+        .select("g", "polygon", wkb_box("polygon").alias("p")),
         "catchments",
     )
-    width = _stretch_width(shapes)
-    # the segments of a polygon that is much larger than most are dealt to several parts
-    area = (F.col("p.max_x") - F.col("p.min_x")) * (F.col("p.max_y") - F.col("p.min_y")) / F.lit((width or 1.0) ** 2)
-    shapes = shapes.withColumn("parts", F.greatest(F.lit(1), F.least(F.lit(MOST_PARTS), F.ceil(F.coalesce(area, F.lit(0.0))))).cast("int"))
+    known = F.lit(True)
+    for c in ("min_x", "min_y", "max_x", "max_y"):
+        known = known & F.col(f"p.{c}").isNotNull() & ~F.isnan(f"p.{c}")
+    shapes, blocks = _blocks(shapes.where(known), BLOCK_BYTES)
+    kinds = {"g": shapes.schema["g"].dataType.simpleString(), "comid": flowlines.schema["comid"].dataType.simpleString()}
+    result = f"`{group}` {kinds['g']}, comid {kinds['comid']}, copies bigint, length double, geom binary"
+    if not blocks:
+        return spark.createDataFrame([], result).drop("copies")
     lines = (
         flowlines.where(F.col("geom").isNotNull())
         .groupBy("comid", "geom")
         .agg(F.count(F.lit(1)).alias("copies"))
         .select("comid", F.unhex(F.md5("geom")).alias("line"), "copies", "geom")
-        # a short row may be a long line: rows are few bytes here and much work behind
-        .repartition(8 * flowlines.sparkSession.sparkContext.defaultParallelism, "comid", "line")
     )
-    met = _crossing(line_segments(lines), shapes, width, cell_size or LEAST)
-    segment = ["comid", "line", "copies", "part", "seq", "x1", "y1", "x2", "y2"]
-    # Pairs travel by the polygon's digest; its bytes come once for each part, ahead of them.
-    dealt = F.pmod(F.xxhash64("comid", "line", "part", "seq"), F.col("parts")).cast("int").alias("dealt")
-    pairs = met.select("g", "pid", dealt, F.lit(None).cast("binary").alias("polygon"), *segment)
-    ahead = shapes.select("g", "pid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("dealt"), "polygon")
-    where = ("g", "pid", "dealt")
-    work = ahead.unionByName(pairs, allowMissingColumns=True).repartition(*where)
-    work = work.sortWithinPartitions(*where, F.col("polygon").isNull()).drop("pid", "dealt")
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields if f.name in ("g", "comid")}
-
-    chunk = CHUNK
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        polygons = []
-        for batch in batches:
-            corners = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")])
-            heads = np.flatnonzero(batch.column("polygon").is_valid().to_numpy(zero_copy_only=False))
-            rows, starts, stops = [], [], []
-            for first, last in zip([-1, *heads.tolist()], [*heads.tolist(), batch.num_rows]):
-                if first >= 0:
-                    polygons = [rings for kind, rings in parts_of(batch.column("polygon")[first].as_py()) if kind == POLYGON]
-                for rings in polygons if last > first + 1 else ():
-                    # Few enough segments at a time that the tables of crossings stay small.
-                    few = max(1, min(chunk, 200_000 // sum(len(r) for r in rings) ** 2))
-                    for at in range(first + 1, last, few):
-                        index, t0, t1 = _inside_spans(corners[at : min(at + few, last)], rings)
-                        rows.append(at + index)
-                        starts.append(t0)
-                        stops.append(t1)
-            if rows and sum(map(len, rows)):
-                found = batch.select(["g", *segment]).take(pa.array(np.concatenate(rows)))
-                columns = [*found.columns, pa.array(np.concatenate(starts)), pa.array(np.concatenate(stops))]
-                yield pa.RecordBatch.from_arrays(columns, [*found.schema.names, "t0", "t1"])
-
-    inside = work.mapInArrow(
-        cut,
-        f"g {kinds['g']}, comid {kinds['comid']}, line binary, copies bigint, part int, seq int,"
-        " x1 double, y1 double, x2 double, y2 double, t0 double, t1 double",
-    )
-    # One row per line, which held its points in one row before.
-    line = ("g", "comid", "line")
-    gathered = inside.repartition(*line).sortWithinPartitions(*line, "part", "seq", "t0", "t1")
-
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if len(blocks) == 1:
+        lines = lines.withColumns({"block": F.lit(blocks[0]["block"]), "blocks": F.lit(1)})
+    else:
+        lines = stored(lines, "lines")
+        bounds = shapes.groupBy(F.col("block").alias("pid")).agg(
+            F.struct(*[(F.min if c.startswith("min") else F.max)(f"p.{c}").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")]).alias("p")
+        )
+        bounds = stored(bounds.select("pid", "p", F.lit(0).alias("g"), F.lit(1).alias("parts")), "bounds")
+        met = _crossing(line_segments(lines.select("comid", "line", "geom")), bounds, _stretch_width(bounds), least)
+        met = met.groupBy(F.col("comid").alias("c"), F.col("line").alias("l")).agg(F.collect_set("pid").alias("met"))
+        lines = lines.join(met, F.col("comid").eqNullSafe(F.col("c")) & (F.col("line") == F.col("l")))
+        lines = lines.select("comid", "line", "copies", "geom", F.explode("met").alias("block"), F.size("met").alias("blocks"))
+    apart = sum(map(_apart, blocks)) / len(blocks)
+
+    @F.pandas_udf("double")
+    def about(blobs: pd.Series) -> pd.Series:
+        """About how many polygons a line meets."""
+        found = []
+        for blob in blobs:
+            steps = [np.abs(np.diff(shape[0], axis=0)) for kind, shape in parts_of(bytes(blob)) if kind == LINE]
+            found.append(sum(len(s) + float(np.where(np.isfinite(s), s, 0).sum()) / apart for s in steps))
+        return pd.Series(found, dtype="float64")
+
+    lines = stored(lines.withColumn("met", about("geom") / F.col("blocks")), "lines")
+    alone = F.col("blocks") == 1
+    work = lines.groupBy("block", alone.alias("alone")).agg(F.sum("met").alias("met"), F.count(F.lit(1)).alias("lines")).collect()
+    if not work:
+        return spark.createDataFrame([], result).drop("copies")
+    place = lambda part, seq: part * (int(seq.max()) + 2) + seq
+    names = [group, "comid", "copies", "length", "geom"]
+
+    def finished(lines, groups, index, code, t0, t1, owner, part, seq, ends) -> pa.RecordBatch:
+        key, lengths, geoms = rebuilt(owner[index] * len(groups) + code, index, t0, t1, place(part, seq), ends)
+        row, g = pa.array(key // len(groups)), groups.take(pa.array(key % len(groups)))
+        kept = [lines.column("comid").take(row), lines.column("copies").take(row)]
+        return pa.RecordBatch.from_arrays([g, *kept, pa.array(lengths), geoms], names)
+
+    def packed(lines, groups, index, code, t0, t1, owner, part, seq, ends) -> pa.RecordBatch:
+        key = owner[index] * len(groups) + code
+        order = np.argsort(key, kind="stable")
+        pieces = np.column_stack([part[index], seq[index], t0, t1, ends[index]])[order].astype("<f8")
+        key, heads = np.unique(key[order], return_index=True)
+        offsets = np.array([*heads, len(order)]) * pieces.shape[1] * 8
+        row, g = pa.array(key // len(groups)), groups.take(pa.array(key % len(groups)))
+        kept = [lines.column(c).take(row) for c in ("comid", "line", "copies")]
+        data = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(pieces))]
+        return pa.RecordBatch.from_arrays([g, *kept, pa.Array.from_buffers(pa.binary(), len(key), data)], ["g", "comid", "line", "copies", "pieces"])
+
+    whole = ("g", "comid", "line")
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def key(row: pa.RecordBatch) -> tuple:
-            return tuple(row.column(c)[0].as_py() for c in line)
-
-        def row() -> tuple:
-            length, lines = _joined(pa.Table.from_batches(held) if len(held) > 1 else held[0])
-            return held[0].column("copies")[0].as_py(), *key(held[0])[:2], length, multi_line_wkb(lines)
-
-        def made(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-            copies, g, comid, lengths, geoms = zip(*rows)
-            kept = [pa.array(g, schema.field("g").type), pa.array(comid, schema.field("comid").type), pa.array(copies, pa.int64())]
-            return pa.RecordBatch.from_arrays([*kept, pa.array(lengths), pa.array(geoms, pa.binary())], [group, "comid", "copies", "length", "geom"])
+        def made(rows: list[pa.RecordBatch], heads: np.ndarray) -> pa.RecordBatch:
+            table = pa.Table.from_batches(rows)
+            number = np.searchsorted(heads, np.arange(table.num_rows), side="right") - 1
+            blobs = [np.frombuffer(b.as_buffer(), "<f8").reshape(-1, 8) for b in table.column("pieces")]
+            pieces = np.concatenate(blobs)
+            part, seq = pieces[:, 0].astype(np.int64), pieces[:, 1].astype(np.int64)
+            key, lengths, geoms = rebuilt(
+                np.repeat(number, [len(b) for b in blobs]), np.arange(len(pieces)), pieces[:, 2], pieces[:, 3], place(part, seq), pieces[:, 4:]
+            )
+            first = table.take(pa.array(heads[key]))
+            kept = [first.column(c).combine_chunks() for c in ("g", "comid", "copies")]
+            return pa.RecordBatch.from_arrays([*kept, pa.array(lengths), geoms], names)
+
+        def same(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int) -> bool:
+            return all(a.column(c)[i].as_py() == b.column(c)[j].as_py() for c in whole)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = np.zeros(batch.num_rows - 1, bool)
-            for c in line:
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = False
+            for c in whole:
                 codes = batch.column(c).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
-                new |= codes[1:] != codes[:-1]
-            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
-            rows = []
-            for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
-                some = batch.slice(start, stop - start)
-                if held and (start or key(held[0]) != key(some)):
-                    rows.append(row())
-                    held = []
-                held.append(some)
-            if rows:
-                yield made(rows, batch.schema)
+                new[1:] |= codes[1:] != codes[:-1]
+            heads = np.flatnonzero(new)
+            if held and not same(held[0], 0, batch, 0):
+                yield made(held, np.array([0]))
+                held = []
+            # the last line of a batch may go on in the next
+            ends, sizes = [*heads[1:].tolist(), batch.num_rows], pc.binary_length(batch.column("pieces")).to_numpy(zero_copy_only=False)
+            first = 0
+            while first < len(heads) - 1:
+                bytes_so_far, last = 0, first
+                while last < len(heads) - 1 and (last == first or bytes_so_far < 64 * PIECES):
+                    bytes_so_far += int(sizes[heads[last] : ends[last]].sum())
+                    last += 1
+                rows = [*held, batch.slice(heads[first], ends[last - 1] - heads[first])]
+                more = sum(b.num_rows for b in held)
+                starts = heads[first:last] - heads[first] + more
+                starts[0] = 0
+                yield made(rows, starts)
+                held, first = [], last
+            held.append(batch.slice(heads[-1]))
         if held:
-            yield made([row()], held[0].schema)
-
-    rebuilt = gathered.mapInArrow(
-        rebuild, f"`{group}` {kinds['g']}, comid {kinds['comid']}, copies bigint, length double, geom binary"
-    )
+            yield made(held, np.array([0]))
+
+    chunk, branches = CHUNK, []
+    some = [w for w in work if w["alone"]]
+    if some:
+        sent = _sent(shapes, lines.where(alone), blocks, some)
+        branches.append(sent.mapInArrow(_cutter(least, chunk, finished), result))
+    some = [w for w in work if not w["alone"]]
+    if some:
+        sent = _sent(shapes, lines.where(~alone), blocks, some)
+        pieces = f"g {kinds['g']}, comid {kinds['comid']}, line binary, copies bigint, pieces binary"
+        pieces = sent.mapInArrow(_cutter(least, chunk, packed), pieces)
+        branches.append(pieces.repartition(*whole).sortWithinPartitions(*whole).mapInArrow(gathered, result))
+    rebuilt_lines = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
     again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
-    return rebuilt.select("*", again.alias("copy")).drop("copies", "copy")
+    return rebuilt_lines.select("*", again.alias("copy")).drop("copies", "copy")

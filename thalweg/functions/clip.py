@@ -87,7 +87,12 @@ class Polygons:
             owners, *others = polygon_edges(chunk)
             found.append((owners + before, *others))
             before += len(chunk)
-        owners, counts, box, closed, edges = (np.concatenate(c) for c in zip(*found))
+        # tables of edges are large: no more than two copies at one time
+        columns = [list(c) for c in zip(*found)]
+        found.clear()
+        owners, counts, box, closed = (np.concatenate(c) for c in columns[:4])
+        edges = [np.concatenate([c[:, i] for c in columns[4]]) for i in range(4)]
+        del columns
         self.levels, self.far = [], 0.0
         if not len(counts):
             return
@@ -122,9 +127,10 @@ class Polygons:
         # tables of crossings are a little wider than the polygon needs, so that few sizes occur
         self.table = (1 << np.ceil(np.log2(np.maximum(self.count, 4))).astype(np.int64)) if counts.min() < counts.max() else self.count
         self.padded = bool((self.table != self.count).any())
-        self.edges = [np.ascontiguousarray(c) for c in edges.T]
-        if not self.padded:
-            self.edges = [c.reshape(len(order), -1)[order] for c in self.edges]
+        self.edges = []
+        while edges:
+            column = edges.pop(0)
+            self.edges.append(column if self.padded else column.reshape(len(order), -1)[order])
 
     def slack(self, segments: np.ndarray) -> np.ndarray:
         return 8 * np.spacing(np.maximum(np.abs(segments).max(axis=1), self.far))

@@ -74,7 +74,7 @@ STRETCH = 4.0
 #: Stretches of one segment, at most.
 MOST_STRETCHES = 1_000_000
 #: Bytes of polygons that a task holds at one time, at most, unless a single one has more.
-BLOCK_BYTES = 64_000_000
+BLOCK_BYTES = 40_000_000
 #: What a unit of work is worth sending a block's polygons for: bytes of polygons that lines meet, at least so many and
 #: so many times the block's own; no more lines than the third.
 UNIT_BYTES, UNIT_TIMES, UNIT_LINES = 48_000_000, 40, 100_000

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,8 +223,8 @@ def _apart(block: Row) -> float:
     return (math.sqrt(w * h / block["n"]) if w and h else max(w, h) / block["n"]) or 1.0
 
 
-def _units(spark: SparkSession, blocks: list[Row], work: list[Row]) -> tuple[DataFrame, int]:
-    """Blocks with the first of their units and how many they have, and the number of all.
+def _units(blocks: list[Row], work: list[Row]) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """A function that gives rows the first unit of their block and how many it has, and the number of all units.
 
     A unit is what one task does at a time: the polygons of a block and some of
     the lines that meet it.  A block with much work gives its polygons to several.
@@ -236,18 +236,25 @@ def _units(spark: SparkSession, blocks: list[Row], work: list[Row]) -> tuple[Dat
         parts = max(size / max(UNIT_BYTES, UNIT_TIMES * block["bytes"]), w["lines"] / UNIT_LINES)
         rows.append((w["block"], first, min(MOST_PARTS, max(1, math.ceil(parts)))))
         first += rows[-1][2]
-    return spark.createDataFrame(rows, "block bigint, first bigint, parts bigint"), first
+
+    def with_units(df: DataFrame) -> DataFrame:
+        if len(rows) == 1:
+            block, start, parts = (F.lit(v).cast("bigint") for v in rows[0])
+            return df.where(F.col("block") == block).withColumns({"first": start, "parts": parts})
+        units = df.sparkSession.createDataFrame(rows, "block bigint, first bigint, parts bigint")
+        return df.join(F.broadcast(units), "block")
+
+    return with_units, first
 
 
 def _sent(shapes: DataFrame, lines: DataFrame, blocks: list[Row], work: list[Row]) -> DataFrame:
     """Units in streams: the polygons of each ahead of its lines."""
-    units, many = _units(shapes.sparkSession, blocks, work)
-    units = F.broadcast(units)
-    ahead = shapes.join(units, "block").select(
+    with_units, many = _units(blocks, work)
+    ahead = with_units(shapes).select(
         F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("unit"), "g", "polygon"
     )
     dealt = F.col("first") + F.pmod(F.xxhash64("comid", "line"), F.col("parts"))
-    behind = lines.join(units, "block").select(dealt.alias("unit"), "comid", "line", "copies", "geom")
+    behind = with_units(lines).select(dealt.alias("unit"), "comid", "line", "copies", "geom")
     tasks = min(many, MOST_TASKS)
     together = ahead.unionByName(behind, allowMissingColumns=True)
     dealt = together.repartitionById(tasks, F.pmod("unit", F.lit(tasks)).cast("int"))
